@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import general
+
+PARTS = [general]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for p in PARTS for k, f in p.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in PARTS for k, s in p.oracle_sql().items()}
