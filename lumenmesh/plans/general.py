@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested
-from ..session import table
+from ..operators import nested, orphans
+from ..session import Scratch, table
 
 
 def _elements(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
@@ -31,6 +31,40 @@ def p1_path_counts(spark: SparkSession, d: str) -> DataFrame:
     return p1_elements(spark, d).groupBy("schema_path").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _references_and_parents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What refers to what, and what there is; payloads are parsed once."""
+    e = _elements(spark, d, ["captured_at"]).where("kind = 'way' or parent_kind in ('way', 'relation') and kind in ('nd', 'member')")
+    e, _ = Scratch(spark, "elements").cut(e.select("captured_at", "kind", "key", F.col("parent_key").try_cast("bigint").alias("parent_key")))
+    table_of = F.when(F.col("kind") == "nd", "way_nd").otherwise("relation_member")
+    inner = e.where("kind <> 'way'").select(table_of.alias("ref_table"), F.col("parent_key").alias("ref_id"), F.col("key").alias("ref_key"), F.col("captured_at").alias("t"))
+    port = lambda n, p: F.concat(F.col("spec_id").cast("string"), F.lit(":"), F.col(n).cast("string"), F.lit("_fso"), F.col(p).cast("string"))
+    ends = F.explode(F.array(port("u", "u_port"), port("v", "v_port")))
+    outer = table(spark, d, "fso_links").select(F.lit("fso_links").alias("ref_table"), F.col("link_id").alias("ref_id"), ends.alias("ref_key"), F.col("loaded_at").alias("t"))
+    nodes = table(spark, d, "osm_nodes").select(F.lit("way_nd").alias("ref_table"), F.col("osm_node_id").cast("string").alias("ref_key"), F.col("loaded_at").alias("t"), F.col("node_version").cast("bigint").alias("version"), F.col("visible").alias("alive"))
+    ways = e.where("kind = 'way'").select(F.lit("relation_member").alias("ref_table"), F.col("key").alias("ref_key"), F.col("captured_at").alias("t"), F.lit(1).cast("bigint").alias("version"), F.lit(True).alias("alive"))
+    ports = table(spark, d, "fso_nodes").select(F.lit("fso_links").alias("ref_table"), port("node", "port").alias("ref_key"), "loaded_at", "retired_at")
+    event = lambda t, version, alive: F.struct(t.alias("t"), F.lit(version).cast("bigint").alias("version"), F.lit(alive).alias("alive"))
+    # a transceiver can only be retired once it is there
+    stays = F.array(event(F.col("loaded_at"), 1, True))
+    goes = F.array(event(F.col("loaded_at"), 1, True), event(F.greatest("loaded_at", "retired_at"), 2, False))
+    turns = ports.select("ref_table", "ref_key", F.inline(F.when(F.col("retired_at").isNull(), stays).otherwise(goes)))
+    return inner.unionByName(outer), nodes.unionByName(ways).unionByName(turns)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = orphans.orphans(*_references_and_parents(spark, d))
+    # transceivers are keyed within their spec; the report names them as the links do
+    return found.withColumn("ref_key", F.element_at(F.split("ref_key", ":"), -1))
+
+
+def p6_pending(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.pending_counts(*_references_and_parents(spark, d))
+
+
+def p6_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
+    return p6_found(spark, d).groupBy("ref_table", "ref_month", "cause").agg(F.count(F.lit(1)).alias("n_orphans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
