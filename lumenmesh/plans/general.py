@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested, orphans
+from ..operators import nested, orphans, proximity
 from ..session import Scratch, table
 
 
@@ -31,6 +31,19 @@ def p1_path_counts(spark: SparkSession, d: str) -> DataFrame:
     return p1_elements(spark, d).groupBy("schema_path").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nodes")
+    near = proximity.near_pairs(nodes, 5.0)
+    rings = proximity.local_rings(table(spark, d, "buildings"), table(spark, d, "map_areas"))
+    inside = proximity.containing_regions(nodes, rings).select(F.col("region").alias("id_1"), F.col("id").alias("id_2"))
+    return near.select(F.lit("near").alias("match_kind"), "*").unionByName(inside.select(F.lit("inside").alias("match_kind"), "*"))
+
+
+def p2_cover_cells(spark: SparkSession, d: str) -> DataFrame:
+    rings = proximity.local_rings(table(spark, d, "buildings"), table(spark, d, "map_areas"))
+    return proximity.polygon_cells(rings, "building_id", "area_id", "xs", "ys").groupBy("level", "interior").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 def _references_and_parents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """What refers to what, and what there is; payloads are parsed once."""
     e = _elements(spark, d, ["captured_at"]).where("kind = 'way' or parent_kind in ('way', 'relation') and kind in ('nd', 'member')")
