@@ -11,8 +11,6 @@ cell is accepted as it is, only one with a boundary cell gets the exact test.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +21,7 @@ from ..session import hot_keys
 #: Metres of a degree of latitude, as the data's local metres define it (a fixed value).
 METRES_PER_DEGREE = 111320
 #: Cell sizes in metres, smallest first; each holds 16 of the next smaller.
-SIZES = (2.0, 8.0, 32.0, 128.0, 512.0)
+SIZES = (4.0, 16.0, 64.0, 256.0)
 #: An unknown coordinate is null, NaN or this number (a fixed value of the data).
 UNKNOWN = -9999.0
 
@@ -80,28 +78,25 @@ def corners(ring_x: np.ndarray, ring_y: np.ndarray) -> np.ndarray | None:
 
 
 def contains(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Even-odd rule for many points at once."""
-    inside = np.zeros(len(x), bool)
-    for (x1, y1), (x2, y2) in zip(p, np.roll(p, -1, axis=0)):
-        if y1 != y2:
-            inside ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-    return inside
+    """Even-odd rule for many points at once: sides by points."""
+    (x1, y1), (x2, y2) = p.T[:, :, None], np.roll(p, -1, axis=0).T[:, :, None]
+    rise = np.where(y1 == y2, 1.0, y2 - y1)
+    hits = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / rise + x1)
+    return hits.sum(axis=0) % 2 == 1
 
 
 def _crossed(p: np.ndarray, x0: np.ndarray, y0: np.ndarray, size: float) -> np.ndarray:
-    """Whether the outline touches each cell: clips every side to every cell."""
-    hit = np.zeros(len(x0), bool)
-    for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0)):
-        t0, t1 = np.zeros(len(x0)), np.ones(len(x0))
-        for a, b, lo in ((ax, bx, x0), (ay, by, y0)):
-            hi, d = lo + size, b - a
-            if d == 0:
-                t1 = np.where((a < lo) | (a > hi), -1.0, t1)
-            else:
-                u, v = (lo - a) / d, (hi - a) / d
-                t0, t1 = np.maximum(t0, np.minimum(u, v)), np.minimum(t1, np.maximum(u, v))
-        hit |= t0 <= t1
-    return hit
+    """Whether the outline touches each cell: clips every side to every cell at once."""
+    ends = np.roll(p, -1, axis=0)
+    t0, t1 = np.zeros((len(p), len(x0))), np.ones((len(p), len(x0)))
+    for axis, lo in ((0, x0), (1, y0)):
+        a, d = p[:, axis, None], (ends - p)[:, axis, None]
+        flat, step = d == 0, np.where(d == 0, 1.0, d)
+        u, v = (lo - a) / step, (lo + size - a) / step
+        apart = flat & ((a < lo) | (a > lo + size))
+        t0 = np.where(flat, t0, np.maximum(t0, np.minimum(u, v)))
+        t1 = np.where(apart, -1.0, np.where(flat, t1, np.minimum(t1, np.maximum(u, v))))
+    return (t0 <= t1).any(axis=0)
 
 
 def cover(p: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,24 +125,25 @@ def cover(p: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray
         cx, cy = (cx[edge, None] * ratio + ox).ravel(), (cy[edge, None] * ratio + oy).ravel()
 
 
+def _cells(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    rows = []
+    for a, b in zip(xs, ys):
+        if (p := corners(a, b)) is None:
+            rows.append(([], [], [], []))
+            continue
+        parts = cover(p)
+        rows.append(tuple(np.concatenate(c) for c in zip(*[(np.full(len(cx), SIZES.index(s), np.int32), cx, cy, i) for s, cx, cy, i in parts])))
+    return pd.DataFrame(rows, columns=["level", "cx", "cy", "interior"])
+
+
 def polygon_cells(regions: DataFrame, region: str, area: str, ring_x: str, ring_y: str) -> DataFrame:
-    """(region, area, level, cx, cy, interior, xs, ys): the cells of each polygon; corners only on boundary cells."""
-    schema = f"region {regions.schema[region].dataType.simpleString()}, area {regions.schema[area].dataType.simpleString()}, level int, cx bigint, cy bigint, interior boolean, xs array<double>, ys array<double>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r, a, xs, ys in zip(b["region"], b["area"], b["xs"], b["ys"]):
-                if (p := corners(xs, ys)) is None:
-                    continue
-                lists = (p[:, 0].tolist(), p[:, 1].tolist())
-                for size, cx, cy, interior in cover(p):
-                    for i in range(0, len(cx), 20_000):
-                        c, n = slice(i, i + 20_000), len(cx[i : i + 20_000])
-                        inner = bool(n and interior[i])
-                        yield pd.DataFrame({"region": [r] * n, "area": [a] * n, "level": SIZES.index(size), "cx": cx[c], "cy": cy[c], "interior": interior[c], "xs": [None if inner else lists[0]] * n, "ys": [None if inner else lists[1]] * n})
-
-    picked = regions.select(F.col(region).alias("region"), F.col(area).alias("area"), F.col(ring_x).alias("xs"), F.col(ring_y).alias("ys")).where("region is not null and area is not null")
-    return picked.mapInPandas(run, schema)
+    """(region, area, level, cx, cy, interior, xs, ys): the cells of each polygon; corners only on boundary cells.
+
+    Regions with a null id or area, and rings that `corners` rejects, have no cells.
+    """
+    r = regions.select(F.col(region).alias("region"), F.col(area).alias("area"), F.col(ring_x).alias("xs"), F.col(ring_y).alias("ys")).where("region is not null and area is not null and size(xs) > 2")
+    c = r.withColumn("c", F.pandas_udf(_cells, "level array<int>, cx array<bigint>, cy array<bigint>, interior array<boolean>")("xs", "ys")).select("region", "area", "xs", "ys", F.inline(F.arrays_zip("c.level", "c.cx", "c.cy", "c.interior")))
+    return c.select("region", "area", "level", "cx", "cy", "interior", *[F.when(~F.col("interior"), F.col(v)).alias(v) for v in ("xs", "ys")])
 
 
 def local_rings(regions: DataFrame, areas: DataFrame, area: str = "area_id", lat: str = "building_lat", lon: str = "building_lon") -> DataFrame:
