@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested, orphans, proximity
+from ..operators import nested, orphans, proximity, quantities
 from ..session import Scratch, table
 
 
@@ -44,6 +44,25 @@ def p2_cover_cells(spark: SparkSession, d: str) -> DataFrame:
     return proximity.polygon_cells(rings, "building_id", "area_id", "xs", "ys").groupBy("level", "interior").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+def p4_capacities(spark: SparkSession, d: str) -> DataFrame:
+    """Every recorded capacity in 1000 bit/s, one row per record, with where its unit was found."""
+    none = F.lit(None).cast("string")
+    configs, links = table(spark, d, "configs"), table(spark, d, "fso_links")
+    # the line names its transceivers before the capacity; links that have a unit need no note
+    said = F.regexp_extract("link_line", r"(?s)^\s*\S+\s+(.*)$", 1)
+    links = links.select("link_id", "capacity", "unit", said.alias("said"), "spec_id")
+    notes = configs.select(F.col("config_id").alias("spec_id"), "spec_note").where("spec_note is not null").groupBy("spec_id").agg(F.max("spec_note").alias("spec_note"))
+    a = quantities.to_common_unit(configs, F.lit(None), none, F.col("link_capacity"), none, "Mbps", "kbps")
+    b = quantities.to_common_unit(links.join(notes, "spec_id", "left"), F.col("capacity"), F.col("unit"), F.col("said"), F.col("spec_note"), "Mbps", "kbps")
+    both = a.select(F.lit("configs").alias("record_table"), F.col("config_id").alias("record_id"), "q").unionByName(b.select(F.lit("fso_links").alias("record_table"), F.col("link_id").alias("record_id"), "q"))
+    out = both.select("record_table", "record_id", F.col("q.result").alias("capacity_kbps"), F.col("q.default_unit").alias("is_mbps"), F.col("q.unit_from").alias("unit_from")).where("capacity_kbps is not null and record_id is not null")
+    return out.groupBy("record_table", "record_id").agg(F.max(F.struct("capacity_kbps", "is_mbps", "unit_from")).alias("m")).select("record_table", "record_id", "m.*")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_capacities(spark, d).where("not is_mbps").select("record_table", "record_id", "capacity_kbps")
+
+
 def _references_and_parents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """What refers to what, and what there is; payloads are parsed once."""
     e = _elements(spark, d, ["captured_at"]).where("kind = 'way' or parent_kind in ('way', 'relation') and kind in ('nd', 'member')")
