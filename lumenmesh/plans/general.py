@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested, orphans, proximity, quantities
+from ..operators import drift, nested, orphans, proximity, quantities
 from ..session import Scratch, table
+from ..sources import stats
 
 
 def _elements(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
@@ -63,6 +64,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_capacities(spark, d).where("not is_mbps").select("record_table", "record_id", "capacity_kbps")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(drift.timeline(table(spark, d, "stat_files")))
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of all files: the known result columns, and two approved fields replayed from the rescue column."""
+    files = table(spark, d, "stat_files")
+    rows = drift.ingest(files, drift.timeline(files), stats.RESULT_ROW)
+    return drift.promote(rows, {"run_seconds": "double", "remark": "string"})
+
+
 def _references_and_parents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """What refers to what, and what there is; payloads are parsed once."""
     e = _elements(spark, d, ["captured_at"]).where("kind = 'way' or parent_kind in ('way', 'relation') and kind in ('nd', 'member')")
