@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .components import connected_groups, group_sizes
+from .leakage import leaked
+from .lookalike import look_alike_pairs, look_classes
+from .packing import bin_fill, pack, token_counts
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +23,32 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return group_sizes(p3_found(spark, d))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(table(spark, d, "documents")))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return bin_fill(p7_containers(spark, d)).groupBy(F.col("unused") == 0).agg(F.count(F.lit(1)).alias("n_bins"), F.sum("n_tokens").alias("n_tokens"), F.sum("unused").alias("unused")).withColumnRenamed("(unused = 0)", "is_full")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, into how many documents."""
+    found = leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_runs").alias("longest"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_pairs(table(spark, d, "documents"))
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_classes(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
