@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general
+from . import general, network
 
-PARTS = [general]
+PARTS = [network, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
