@@ -78,35 +78,54 @@ def meridian_metres(lat1: Column, lat2: Column) -> Column:
     return F.abs(arc(lat2) - arc(lat1))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once instead of copied into every place."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parallel_metres(lat: Column, lon1: Column, lon2: Column, rounds: int = 8) -> Column:
-    """Geodesic distance between two points of one latitude on WGS-84: Vincenty's inverse formula, unrolled.
+    """Geodesic distance between two points of one latitude on WGS-84, by Vincenty's inverse formula.
 
-    Null where it does not converge (nearly antipodal points).
+    Null where it does not converge (nearly antipodal points) and for null arguments.
     """
     f, b = WGS84_F, WGS84_A * (1 - WGS84_F)
+
+    def with_basis(u: Column) -> Column:
+        # u: reduced latitude (sine, cosine) and difference in longitude
+        su, cu, start = u["s"], u["c"], u["l"]
+
+        def angles(lam: Column) -> Column:
+            ss2 = cu * F.sin(lam) * cu * F.sin(lam) + cu * su * (1 - F.cos(lam)) * cu * su * (1 - F.cos(lam))
+            return F.struct(F.sqrt(ss2).alias("ss"), (su * su + cu * cu * F.cos(lam)).alias("cs"), lam.alias("lam"))
+
+        def azimuth(v: Column) -> Column:
+            sa = F.when(v["ss"] == 0, F.lit(0.0)).otherwise(cu * cu * F.sin(v["lam"]) / v["ss"])
+            return F.struct(v["ss"].alias("ss"), v["cs"].alias("cs"), v["lam"].alias("lam"), F.atan2(v["ss"], v["cs"]).alias("sigma"), sa.alias("sa"), (1 - sa * sa).alias("c2"))
+
+        def middle(v: Column) -> Column:
+            cm = F.when(v["c2"] == 0, F.lit(0.0)).otherwise(v["cs"] - 2 * su * su / v["c2"])
+            return F.struct(v.alias("v"), cm.alias("cm"), (F.lit(f / 16) * v["c2"] * (4 + f * (4 - 3 * v["c2"]))).alias("c"))
+
+        def state(lam: Column) -> Column:
+            return _let(_let(angles(lam), azimuth), middle)
+
+        def following(m: Column) -> Column:
+            v, cm, c = m["v"], m["cm"], m["c"]
+            return start + (1 - c) * f * v["sa"] * (v["sigma"] + c * v["ss"] * (cm + c * v["cs"] * (-1 + 2 * cm * cm)))
+
+        def length(m: Column) -> Column:
+            v, cm = m["v"], m["cm"]
+            u2 = v["c2"] * ((WGS84_A**2 - b**2) / b**2)
+            ka = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
+            kb = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+            d = kb * v["ss"] * (cm + kb / 4 * (v["cs"] * (-1 + 2 * cm * cm) - kb / 6 * cm * (-3 + 4 * v["ss"] * v["ss"]) * (-3 + 4 * cm * cm)))
+            return F.when(F.abs(following(m) - v["lam"]) < 1e-9, b * ka * (v["sigma"] - d))
+
+        lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda x, _: _let(state(x), following))
+        return _let(_let(lam, state), length)
+
     u = F.atan(F.lit(1 - f) * F.tan(F.radians(lat)))
-    su, cu = F.sin(u), F.cos(u)
-    start = F.abs(F.radians(lon2 - lon1))
-
-    def step(lam: Column) -> tuple[Column, ...]:
-        ss = F.sqrt((cu * F.sin(lam)) * (cu * F.sin(lam)) + (cu * su - su * cu * F.cos(lam)) * (cu * su - su * cu * F.cos(lam)))
-        cs = su * su + cu * cu * F.cos(lam)
-        sigma = F.atan2(ss, cs)
-        sa = F.when(ss == 0, 0.0).otherwise(cu * cu * F.sin(lam) / ss)
-        c2a = 1 - sa * sa
-        cm = F.when(c2a == 0, 0.0).otherwise(cs - 2 * su * su / c2a)
-        c = F.lit(f / 16) * c2a * (4 + f * (4 - 3 * c2a))
-        nxt = start + (1 - c) * f * sa * (sigma + c * ss * (cm + c * cs * (-1 + 2 * cm * cm)))
-        return ss, cs, sigma, c2a, cm, nxt
-
-    # the rounds run as a fold, so that the expression does not grow with them
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda x, _: step(x)[-1])
-    ss, cs, sigma, c2a, cm, nxt = step(lam)
-    u2 = c2a * (WGS84_A**2 - b**2) / b**2
-    a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-    bb = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-    d = bb * ss * (cm + bb / 4 * (cs * (-1 + 2 * cm * cm) - bb / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm)))
-    return F.when(F.abs(nxt - lam) < 1e-9, b * a * (sigma - d))
+    return _let(F.struct(F.sin(u).alias("s"), F.cos(u).alias("c"), F.abs(F.radians(lon2 - lon1)).alias("l")), with_basis)
 
 
 def grid_ray(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

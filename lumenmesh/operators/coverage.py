@@ -53,7 +53,7 @@ def coverage_ratio(all_targets: DataFrame, covered: DataFrame) -> DataFrame:
 
 def near_nodes_by_cell(nodes: DataFrame, others: DataFrame, radius: float, reach: int = 1) -> DataFrame:
     """(node_id, near_id): nodes in the cells (as wide as the radius) around each node, before any exact test."""
-    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    a = nodes.select("node_id", G.cell(F.col("x"), radius).alias("cx"), G.cell(F.col("y"), radius).alias("cy")).select("node_id", "cy", (F.col("cx") + steps).alias("cx")).select("node_id", "cx", (F.col("cy") + steps).alias("cy"))
+    around = lambda c: F.explode(F.sequence(G.cell(F.col(c), radius) - reach, G.cell(F.col(c), radius) + reach))
+    a = nodes.select("node_id", "y", around("x").alias("cx")).select("node_id", "cx", around("y").alias("cy"))
     b = others.select(F.col("node_id").alias("near_id"), G.cell(F.col("x"), radius).alias("cx"), G.cell(F.col("y"), radius).alias("cy"))
     return a.join(b, ["cx", "cy"]).where("node_id <> near_id").select("node_id", "near_id")

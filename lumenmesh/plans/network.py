@@ -524,7 +524,7 @@ def oracle_sql() -> dict[str, str]:
             select value, count(*) n_lines from lines group by 1"""),
         "graph_file": w(_E, "select unnest(['Nodes:', 'Edges:', 'Gateways:']) as value union all select node_id || ' ' || floor(x)::bigint || ' ' || floor(y)::bigint from n union all select src || ' ' || dst || ' ' || con_type from e union all select node_id::varchar from n where node_id % 50 = 0"),
         "ray_cells": w(_E, "select src, dst, (1 + abs(floor(a.x / 2) - floor(b.x / 2)) + abs(floor(a.y / 2) - floor(b.y / 2)))::bigint n_bins, (1 + abs(floor(a.x / 2) - floor(b.x / 2)) + abs(floor(a.y / 2) - floor(b.y / 2)))::bigint n_distinct from e join n a on a.node_id = src join n b on b.node_id = dst where con_type = 'short'"),
-        "building_bins": "with s as (select s_suppkey building_id, (s_suppkey * 37 % 490)::double x, (s_suppkey * 101 % 490)::double y from supplier) select building_id, bx, by from s, range(0, 26) a(bx), range(0, 26) b(by) where bx between floor(x / 20) and floor((x + 6) / 20) and by between floor(y / 20) and floor((y + 6) / 20)",
+        "building_bins": "with s as (select s_suppkey building_id, (s_suppkey * 37 % 490)::double x, (s_suppkey * 101 % 490)::double y from supplier) select building_id, bx, b.k \"by\" from s, range(0, 26) a(bx), range(0, 26) b(k) where bx between floor(x / 20) and floor((x + 6) / 20) and b.k between floor(y / 20) and floor((y + 6) / 20)",
         "supply_degrees": "with g as (select distinct l_suppkey s, -l_partkey - 1 p from lineitem) select node_id, count(*) degree from (select s node_id from g union all select p from g) group by 1",
         "components": w(_S, ", walk(node_id, c) as (select node_id, node_id from n union select b, c from walk join both_ways on a = node_id where c < b) select node_id, min(c) component from walk group by 1", "recursive "),
         "component_count": w(_S, ", walk(node_id, c) as (select node_id, node_id from n union select b, c from walk join both_ways on a = node_id where c < b) select count(distinct c) n_components from (select node_id, min(c) c from walk group by 1)", "recursive "),
