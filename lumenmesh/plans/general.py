@@ -113,5 +113,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
 
+P4_SQL = r"""
+with notes as (
+  select config_id spec_id, max(case
+    when spec_note like '%megabytes per second%' or spec_note like '%MB/s%' then 8000
+    when lower(spec_note) like '%gbps%' or lower(spec_note) like '%gbit/s%' or lower(spec_note) like '%gigabit per second%' then 1000000
+    when lower(spec_note) like '%kbps%' or lower(spec_note) like '%kbit/s%' then 1
+    when lower(spec_note) like '%mbps%' or lower(spec_note) like '%mbit/s%' or lower(spec_note) like '%megabit per second%' then 1000 end) note_kbps
+  from configs group by 1
+), texts as (
+  select 'configs' record_table, config_id record_id, null::double num, null unit, link_capacity said, null::bigint note_kbps from configs
+  union all
+  select 'fso_links', link_id, capacity, unit, trim(regexp_extract(link_line, '^\S+\s+(.*)$', 1)), note_kbps
+  from fso_links left join notes using (spec_id)
+), parts as (
+  select distinct record_table, record_id, note_kbps,
+    coalesce(num::decimal(30,8), try_cast(try_cast(replace(regexp_extract(said, '[0-9][0-9,.]*(?:e[0-9]+)?'), ',', '') as double) as decimal(30,8))) num,
+    coalesce(unit, nullif(regexp_extract(said, '[0-9][0-9,.]*(?:e[0-9]+)?\s*([A-DF-Za-df-z][A-Za-z]*(?:/[A-Za-z]+)?)', 1), '')) unit
+  from texts
+), scaled as (
+  select *, case when unit is null then null else
+      (case when regexp_matches(unit, '(?i)byte') or regexp_matches(unit, 'B(ps|/s)') then 8 else 1 end)
+      * (case when regexp_matches(unit, '^.i') and not regexp_matches(unit, '(?i)^(bit|kilo|giga|mib?it)') then 1.048576 else 1 end)
+      * (case lower(unit[1]) when 'k' then 1000 when 'm' then 1000000 when 'g' then 1000000000 when 't' then 1000000000000 else 1 end) / 1000 end kbps
+  from parts where num is not null
+), final as (
+  select record_table, record_id, num, coalesce(kbps::decimal(30,8), note_kbps, 1000) kbps from scaled
+)
+select record_table, record_id, max(((num * 1000000)::hugeint * (kbps * 1000000)::hugeint + 500000000000::hugeint) // 1000000000000::hugeint)::bigint capacity_kbps from final where kbps <> 1000 group by 1, 2
+"""
+
+P2_SQL = """
+with n as (
+  select distinct node_id, area_id, node_x x, node_y y, round(node_x * 100)::bigint cx, round(node_y * 100)::bigint cy from nodes
+  where not isnan(node_x) and not isnan(node_y) and node_x <> -9999 and node_y <> -9999
+), near as (
+  select a.node_id id_1, b.node_id id_2 from (select *, unnest([-1, 0, 1]) i from (select *, floor(cx / 500) gx, floor(cy / 500) gy from n)) a
+  join (select *, floor(cx / 500) gx, floor(cy / 500) gy from n) b
+  on a.area_id = b.area_id and b.gx = a.gx + i and b.gy between a.gy - 1 and a.gy + 1 and a.node_id < b.node_id
+  where (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 250000
+), closed as (
+  select distinct building_id, area_id, min_lat, min_lon, case when building_lat[1] = building_lat[-1] and building_lon[1] = building_lon[-1] then building_lat[:-2] else building_lat end la,
+    case when building_lat[1] = building_lat[-1] and building_lon[1] = building_lon[-1] then building_lon[:-2] else building_lon end lo
+  from buildings join map_areas using (area_id) where len(building_lat) > 2
+), corner as (
+  select building_id, area_id, unnest(range(1, len(la) + 1)) k, len(la) m, [(v - min_lat) * 111320 for v in la] xs, [(v - min_lon) * 111320 * cos(radians(min_lat)) for v in lo] ys from closed where len(la) > 2
+), side as (
+  select building_id, area_id, xs[k] x1, ys[k] y1, xs[k % m + 1] x2, ys[k % m + 1] y2, list_min(xs) lx, list_max(xs) hx, list_min(ys) ly, list_max(ys) hy from corner
+), inside as (
+  select building_id id_1, node_id id_2 from side join n on side.area_id = n.area_id and x between lx and hx and y between ly and hy
+  group by 1, 2 having count(*) filter ((y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1
+)
+select 'near' match_kind, id_1, id_2 from near union all select 'inside', id_1, id_2 from inside
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL}
