@@ -55,16 +55,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 P3_SQL = """
 with recursive links as (
-  select distinct src a, dst b from graph_edges
-  where src is not null and dst is not null and con_type is distinct from 'non_edge'
+  select distinct src a, dst b from graph_edges where src is not null and dst is not null and con_type is distinct from 'non_edge'
 ), step as (select a, b from links union select b, a from links),
-walk(node_id, seed) as (
-  select a, a from step union select b, b from step union select node_id, node_id from graph_gateways
-  union
-  select step.b, walk.seed from walk join step on step.a = walk.node_id where walk.seed < step.b
+v as (select a node_id from step union select node_id from graph_gateways where node_id is not null),
+walk(node_id, group_id) using key (node_id) as (
+  select node_id, node_id from v
+  union (
+    select b, min(w.group_id) from walk w join step on step.a = w.node_id join recurring.walk o on o.node_id = b
+    where w.group_id < o.group_id group by 1
+  )
 )
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": P3_SQL + "select node_id, group_id from walk",
+        "p3_group_sizes": P3_SQL + "select group_id, count(*) n_nodes from walk group by 1",
+    }
