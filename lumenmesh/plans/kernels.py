@@ -64,12 +64,12 @@ def capped_edges(pairs, caps: dict[str, int], max_edges: int | None = None, port
 
 
 def legacy_edges(points, short: float, long: float, max_short: int, max_long: int, max_edges: int) -> list[tuple[int, int, str]]:
-    """The legacy edge rule: ordered pairs whose second node is none of the last two, self-loops included.
+    """The legacy edge rule: ordered pairs, self-loops included; the last node is never first, the last two never second.
 
-    Each order of a pair is offered once; an edge that is there already takes room again.
+    Each order of a pair is offered once; an edge that is there already takes room, and counts, again.
     """
-    n, used_s, used_l, seen = len(points), [0] * len(points), [0] * len(points), {}
-    for a in range(n):
+    n, used_s, used_l, seen, offered = len(points), [0] * len(points), [0] * len(points), {}, 0
+    for a in range(n - 1):
         for b in range(n - 2):
             d2 = (points[a][0] - points[b][0]) ** 2 + (points[a][1] - points[b][1]) ** 2
             if d2 <= short * short:
@@ -82,7 +82,8 @@ def legacy_edges(points, short: float, long: float, max_short: int, max_long: in
                 used[a] += 1
                 used[b] += 1
                 seen[min(a, b), max(a, b)] = t
-                if len(seen) >= max_edges:
+                offered += 1
+                if offered == max_edges:
                     return [(u, v, k) for (u, v), k in sorted(seen.items())]
     return [(u, v, k) for (u, v), k in sorted(seen.items())]
 
