@@ -168,6 +168,7 @@ def greedy_cover(points: dict[int, tuple[float, float]], gateways: list[int], gr
         bins.setdefault((int(x // grid.radius), int(y // grid.radius)), []).append(n)
     covered: set[tuple[int, int]] = set()
     total = (int(grid.max_x // grid.spacing) + 1) * (int(grid.max_y // grid.spacing) + 1)
+    last = dict(left)  # what a node was queued with; a count that falls to 0 is not queued again
     heap = [(-c, n) for n, c in left.items() if n not in set(gateways)]
     heapq.heapify(heap)
     reach = 2 if exact_decrement else 1
@@ -187,6 +188,7 @@ def greedy_cover(points: dict[int, tuple[float, float]], gateways: list[int], gr
                     if m in left and m not in done and (k := sum(c in fresh for c in circle[m])):
                         left[m] -= k
                         if left[m] > 0:
+                            last[m] = left[m]
                             heapq.heappush(heap, (-left[m], m))
         return True
 
@@ -195,7 +197,7 @@ def greedy_cover(points: dict[int, tuple[float, float]], gateways: list[int], gr
         out.append(g)
     while heap and len(covered) < total:
         c, n = heapq.heappop(heap)
-        if n in done or (-c != left[n] and left[n] > 0):
+        if n in done or -c != last[n]:
             continue
         done.add(n)
         if choose(n):

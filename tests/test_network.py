@@ -32,6 +32,22 @@ def test_seeded_edge_counts(seeded_pairs, cap, n):
     assert len(K.capped_edges(seeded_pairs, {"short": cap, "long": cap}, 1_000_000)) == n
 
 
+@pytest.mark.parametrize(("cap", "n_cover", "recorded"), [(50, None, 129), (5, 99, 219)])
+def test_seeded_cover_and_backbone(seeded_pairs, cap, n_cover, recorded):
+    """The cover is that of a clean heap with ascending ids; the recorded backbone sizes hold as a band.
+
+    Which of several shortest paths a backbone follows depends on the order of ties: here the smallest id.
+    """
+    r = random.Random(101593)
+    xy = [(r.uniform(0, 500), r.uniform(0, 500)) for _ in range(1000)]
+    e = K.capped_edges(seeded_pairs, {"short": cap, "long": cap}, 1_000_000)
+    short = K.graph_of([x[:2] for x in e if x[2] == "short"], range(1000))
+    gates = K.select_gateways(short, 1000, 0.01, r)
+    cover = K.greedy_cover(dict(enumerate(xy)), gates, K.Grid(5.0, 50.0, 500.0, 500.0))
+    assert n_cover is None or len(cover) == n_cover
+    assert abs(len(K.backbone(short, gates, cover)) - recorded) <= 0.1 * recorded
+
+
 def test_seeded_gateways(seeded_pairs):
     for cap, first in ((50, [756, 231]), (5, [754, 866])):
         r = random.Random(101593)
