@@ -526,6 +526,12 @@ def oracle_sql() -> dict[str, str]:
         "ray_cells": w(_E, "select src, dst, (1 + abs(floor(a.x / 2) - floor(b.x / 2)) + abs(floor(a.y / 2) - floor(b.y / 2)))::bigint n_bins, (1 + abs(floor(a.x / 2) - floor(b.x / 2)) + abs(floor(a.y / 2) - floor(b.y / 2)))::bigint n_distinct from e join n a on a.node_id = src join n b on b.node_id = dst where con_type = 'short'"),
         "building_bins": "with s as (select s_suppkey building_id, (s_suppkey * 37 % 490)::double x, (s_suppkey * 101 % 490)::double y from supplier) select building_id, bx, b.k \"by\" from s, range(0, 26) a(bx), range(0, 26) b(k) where bx between floor(x / 20) and floor((x + 6) / 20) and b.k between floor(y / 20) and floor((y + 6) / 20)",
         "supply_degrees": "with g as (select distinct l_suppkey s, -l_partkey - 1 p from lineitem) select node_id, count(*) degree from (select s node_id from g union all select p from g) group by 1",
+        "supply_components": """with recursive g as (select distinct l_suppkey s, -l_partkey - 1 p from lineitem), step as (select s a, p b from g union all select p, s from g),
+            walk(node_id, component) using key (node_id) as (select distinct a, a from step union (select b, min(w.component) from walk w join step on step.a = w.node_id join recurring.walk o on o.node_id = b where w.component < o.component group by 1))
+            select node_id, component from walk""",
+        "supply_hops": """with recursive g as (select distinct l_suppkey s, -l_partkey - 1 p from lineitem), step as (select s a, p b from g union all select p, s from g),
+            walk(node_id, hops) using key (node_id) as (select 1::bigint, 0 union (select b, min(w.hops) + 1 from walk w join step on step.a = w.node_id left join recurring.walk o on o.node_id = b where o.node_id is null group by 1))
+            select hops, count(*) n_nodes from walk group by 1""",
         "components": w(_S, ", walk(node_id, c) as (select node_id, node_id from n union select b, c from walk join both_ways on a = node_id where c < b) select node_id, min(c) component from walk group by 1", "recursive "),
         "component_count": w(_S, ", walk(node_id, c) as (select node_id, node_id from n union select b, c from walk join both_ways on a = node_id where c < b) select count(distinct c) n_components from (select node_id, min(c) c from walk group by 1)", "recursive "),
         "shortest_path_lengths": w(_S, ", walk(source, node_id, hops) using key (source, node_id) as (select node_id, node_id, 0 from n where node_id % 50 = 0 union (select w.source, b, min(w.hops) + 1 from walk w join both_ways on a = w.node_id left join recurring.walk o on o.source = w.source and o.node_id = b where o.node_id is null group by 1, 2)) select source, node_id, hops from walk", "recursive "),

@@ -85,8 +85,8 @@ def run_all(spark, scenarios: list[Scenario], on_sample: Callable | None = None)
 
 def master_rows(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
     """One averaged row for each scenario; flows count at most what the gateways carry."""
-    s = rows.join(scenarios.select("run_id", "max_short_per_node", "max_long_per_node"), "run_id")
-    keys = ["run_id", "number_of_fso_per_node", "max_short_per_node", "max_long_per_node", "percent_of_pattern_nodes"]
+    keys = ["run_id", "fso_per_node", "max_short_per_node", "max_long_per_node", "pattern_percent"]
+    s = rows.join(scenarios.select(*keys), "run_id")
     return s.groupBy(*keys).agg(
         F.avg("static_avg_max_flow").alias("avg_static_flow"),
         F.avg(F.least("statc_upperbound_max_flow", "total_gateway_capacity_static")).alias("avg_static_bound"),
