@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import hot_keys
+from ..session import Scratch, hot_keys
 
 #: Metres of a degree of latitude, as the data's local metres define it (a fixed value).
 METRES_PER_DEGREE = 111320
@@ -47,7 +47,8 @@ def near_pairs(points: DataFrame, distance: float, point: str = "node_id", area:
     meet it are copied to all of them. The list of such cells has a proven bound, see `hot_keys`.
     """
     r = round(distance / unit)
-    p = known_points(points, point, area, x, y)
+    # written once: counted, searched for crowds and joined with itself
+    p, _ = Scratch(points.sparkSession, "near").cut(known_points(points, point, area, x, y))
     grid = lambda c: F.round(F.col(c) / F.lit(unit)).cast("bigint").alias(c)
     p = p.select("id", "area", grid("x"), grid("y"))
     cell = lambda c: F.floor(F.col(c) / F.lit(r)).cast("bigint")
@@ -159,9 +160,12 @@ def containing_regions(points: DataFrame, regions: DataFrame, point: str = "node
     or NaN corner contain nothing. Points as in `near_pairs`. Only points in boundary cells are tested.
     Points of a crowded cell are spread over salts, to which the cells that cover it are copied.
     """
-    cells = polygon_cells(regions.dropDuplicates([region, ring_x, ring_y]), region, area, ring_x, ring_y)
-    p = known_points(points, point, area, x, y)
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / s).cast("bigint").alias("cx"), F.floor(F.col("y") / s).cast("bigint").alias("cy")) for k, s in enumerate(SIZES)])
+    tmp = Scratch(points.sparkSession, "inside")
+    cells, _ = tmp.cut(polygon_cells(regions.dropDuplicates([region, ring_x, ring_y]), region, area, ring_x, ring_y))
+    p, _ = tmp.cut(known_points(points, point, area, x, y))
+    # points are placed in cells of the sizes in use only: at most len(SIZES) values are looked up
+    used = sorted(r[0] for r in cells.select("level").distinct().collect()) or [0]
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / SIZES[k]).cast("bigint").alias("cx"), F.floor(F.col("y") / SIZES[k]).cast("bigint").alias("cy")) for k in used])
     at = ["area", "level", "cx", "cy"]
     placed = p.select("id", "area", "x", "y", F.inline(levels))
     hot = F.broadcast(hot_keys(p.select("area", F.floor(F.col("x") / SIZES[-1]).cast("bigint").alias("hx"), F.floor(F.col("y") / SIZES[-1]).cast("bigint").alias("hy")), ["area", "hx", "hy"], hot_rows))
