@@ -278,6 +278,17 @@ def plot_segments(spark, d):
     return text.plot_edges(edges(spark, d).where("con_type = 'short'"), nodes(spark, d))
 
 
+def plot_node_kinds(spark, d):
+    return text.plot_nodes(nodes(spark, d), gateways(spark, d), nodes(spark, d).where("node_id % 2 = 0"))
+
+
+def building_box(spark, d):
+    """The box around all buildings of each area."""
+    b = table(spark, d, "buildings")
+    low, high = (lambda c: F.min(F.array_min(c))), (lambda c: F.max(F.array_max(c)))
+    return b.groupBy("area_id").agg(low("building_lat").alias("min_lat"), high("building_lat").alias("max_lat"), low("building_lon").alias("min_lon"), high("building_lon").alias("max_lon"))
+
+
 def building_metres(spark, d):
     """Corners of all buildings in metres north and east of their area's origin, on the ellipsoid."""
     b = table(spark, d, "buildings").join(table(spark, d, "map_areas"), "area_id").select("building_id", "min_lat", "min_lon", F.posexplode(F.arrays_zip("building_lat", "building_lon")).alias("pos", "p")).distinct()
@@ -325,6 +336,28 @@ def greedy_cover(spark, d):
     return _scenario(spark, d, lambda _, p, a, s, g: enumerate(_cover(p, g)), "turn bigint, node_id bigint")
 
 
+def gateway_choice(spark, d):
+    """Gateways as the scenarios choose them: one of each component, then random ones up to the quota."""
+    return _scenario(spark, d, lambda _, p, a, s, g: enumerate(K.select_gateways(s, len(a), 0.02, SEED)), "turn bigint, node_id bigint")
+
+
+def disconnected_cover(spark, d):
+    """Covering nodes that the backbone does not reach."""
+    on_tree = graph.endpoints(backbone_tree(spark, d)).select("node_id").union(gateways(spark, d)).distinct()
+    return greedy_cover(spark, d).select("node_id").join(on_tree, "node_id", "left_anti")
+
+
+def path_benefits(spark, d):
+    """What the paths between gateways' trees and other nodes are worth: hops stand for their new nodes."""
+    paths = graph.bfs(edges(spark, d).where("con_type = 'short'"), gateways(spark, d)).where("hops > 0").select(F.col("source").alias("src"), F.col("node_id").alias("dst"), F.col("hops").alias("n_new"))
+    return measures.benefits(paths, source_potential(spark, d), sink_potential(spark, d))
+
+
+def best_path(spark, d):
+    """The path of most benefit; ties go to the smallest ends."""
+    return path_benefits(spark, d).orderBy(F.desc("benefit"), "src", "dst").limit(1)
+
+
 def backbone_tree(spark, d):
     return _scenario(spark, d, lambda _, p, a, s, g: K.edges_of(K.backbone(s, g, _cover(p, g))), "src bigint, dst bigint")
 
@@ -439,7 +472,8 @@ nodes_per_target legacy_targets_per_node uncovered_targets coverage_ratio induce
 node_set_intersect node_set_union far_from_gateways gateway_capacity pattern_sample upper_bound_per_pattern
 dynamic_bound_per_pattern average_bound link_numbering dynamic_spec_links spec_file graph_file ray_cells building_bins
 sight_edges coarse_sight_edges supply_degrees supply_components components component_count bfs_levels shortest_path_lengths
-supply_hops gateway_per_component thinned_nodes plot_segments building_metres capped_edges flow_arcs greedy_cover backbone_tree
+supply_hops gateway_per_component thinned_nodes plot_segments plot_node_kinds building_box building_metres capped_edges flow_arcs
+gateway_choice greedy_cover disconnected_cover backbone_tree path_benefits best_path
 degree_reduction max_flow_value source_potential sink_potential dynamic_augment static_augment static_pattern_flows
 dynamic_pattern_flows average_flows equivalent_static_ports relaxed_bound scenario_rows master_rows""".split()
 
@@ -537,5 +571,7 @@ def oracle_sql() -> dict[str, str]:
         "shortest_path_lengths": w(_S, ", walk(source, node_id, hops) using key (source, node_id) as (select node_id, node_id, 0 from n where node_id % 50 = 0 union (select w.source, b, min(w.hops) + 1 from walk w join both_ways on a = w.node_id left join recurring.walk o on o.source = w.source and o.node_id = b where o.node_id is null group by 1, 2)) select source, node_id, hops from walk", "recursive "),
         "bfs_levels": w(_S, ", walk(node_id, hops) using key (node_id) as (select node_id, 0 from n where node_id % 50 = 0 union (select b, min(w.hops) + 1 from walk w join both_ways on a = w.node_id left join recurring.walk o on o.node_id = b where o.node_id is null group by 1)) select node_id, hops from walk", "recursive "),
         "plot_segments": w(_E, "select src, dst, con_type, a.x x1, a.y y1, b.x x2, b.y y2 from e join n a on a.node_id = src join n b on b.node_id = dst where con_type = 'short'"),
+        "plot_node_kinds": w(_N, "select node_id, x, y, case when node_id % 50 = 0 then 'gateway' when node_id % 2 = 0 then 'member' else 'other' end kind from n"),
+        "building_box": "select area_id, min(list_min(building_lat)) min_lat, max(list_max(building_lat)) max_lat, min(list_min(building_lon)) min_lon, max(list_max(building_lon)) max_lon from buildings group by 1",
         "flow_arcs": w(_E, "select 1.0::double capacity, 2 * (select count(*) from e where con_type = 'short') n_arcs union all select 'inf'::double, (select count(*) from n)"),
     }
