@@ -78,9 +78,20 @@ def corners(ring_x: np.ndarray, ring_y: np.ndarray) -> np.ndarray | None:
     return p if len(p) >= 3 else None
 
 
+def _turned(p: np.ndarray) -> np.ndarray:
+    """The end of the side that starts at each corner."""
+    return np.concatenate((p[1:], p[:1]))
+
+
+def _grid(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All cells (x, y) from the first to the last of both axes."""
+    xs, ys = np.arange(first[0], last[0] + 1), np.arange(first[1], last[1] + 1)
+    return np.tile(xs, len(ys)), np.repeat(ys, len(xs))
+
+
 def contains(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Even-odd rule for many points at once: sides by points."""
-    (x1, y1), (x2, y2) = p.T[:, :, None], np.roll(p, -1, axis=0).T[:, :, None]
+    (x1, y1), (x2, y2) = p.T[:, :, None], _turned(p).T[:, :, None]
     rise = np.where(y1 == y2, 1.0, y2 - y1)
     hits = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / rise + x1)
     return hits.sum(axis=0) % 2 == 1
@@ -88,16 +99,20 @@ def contains(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _crossed(p: np.ndarray, x0: np.ndarray, y0: np.ndarray, size: float) -> np.ndarray:
     """Whether the outline touches each cell: clips every side to every cell at once."""
-    ends = np.roll(p, -1, axis=0)
-    t0, t1 = np.zeros((len(p), len(x0))), np.ones((len(p), len(x0)))
+    steps = _turned(p) - p
+    first, last = np.zeros((len(p), len(x0))), np.ones((len(p), len(x0)))
     for axis, lo in ((0, x0), (1, y0)):
-        a, d = p[:, axis, None], (ends - p)[:, axis, None]
-        flat, step = d == 0, np.where(d == 0, 1.0, d)
-        u, v = (lo - a) / step, (lo + size - a) / step
-        apart = flat & ((a < lo) | (a > lo + size))
-        t0 = np.where(flat, t0, np.maximum(t0, np.minimum(u, v)))
-        t1 = np.where(apart, -1.0, np.where(flat, t1, np.minimum(t1, np.maximum(u, v))))
-    return (t0 <= t1).any(axis=0)
+        a, d = p[:, axis, None], steps[:, axis, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = (lo - a) / d
+            v = u + size / d
+        flat = d[:, 0] == 0
+        if flat.any():  # a side along the other axis is in the cell's strip or it is not
+            within = (a[flat] >= lo) & (a[flat] <= lo + size)
+            u[flat], v[flat] = np.where(within, 0.0, 2.0), np.where(within, 1.0, 2.0)
+        np.maximum(first, np.minimum(u, v), out=first)
+        np.minimum(last, np.maximum(u, v), out=last)
+    return (first <= last).any(axis=0)
 
 
 def cover(p: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,18 +126,20 @@ def cover(p: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray
     out = []
     size = SIZES[k]
     first, last = np.floor(low / size).astype(np.int64), np.floor(high / size).astype(np.int64)
-    cx, cy = (g.ravel() for g in np.meshgrid(np.arange(first[0], last[0] + 1), np.arange(first[1], last[1] + 1)))
+    cx, cy = _grid(first, last)
     while True:
         edge = _crossed(p, cx * size, cy * size, size)
-        full = ~edge & contains(p, (cx + 0.5) * size, (cy + 0.5) * size)
-        out.append((size, cx[full], cy[full], np.ones(full.sum(), bool)))
+        rest = np.flatnonzero(~edge)
+        if len(rest):  # cells off the outline are wholly inside or wholly outside
+            full = rest[contains(p, (cx[rest] + 0.5) * size, (cy[rest] + 0.5) * size)]
+            out.append((size, cx[full], cy[full], np.ones(len(full), bool)))
         if k == 0:
             out.append((size, cx[edge], cy[edge], np.zeros(edge.sum(), bool)))
             return out
         k -= 1
         ratio = round(size / SIZES[k])
         size = SIZES[k]
-        ox, oy = (g.ravel() for g in np.meshgrid(np.arange(ratio), np.arange(ratio)))
+        ox, oy = _grid((0, 0), (ratio - 1, ratio - 1))
         cx, cy = (cx[edge, None] * ratio + ox).ravel(), (cy[edge, None] * ratio + oy).ravel()
 
 
@@ -149,8 +166,10 @@ def polygon_cells(regions: DataFrame, region: str, area: str, ring_x: str, ring_
 
 def local_rings(regions: DataFrame, areas: DataFrame, area: str = "area_id", lat: str = "building_lat", lon: str = "building_lon") -> DataFrame:
     """Rings as local metres of their area, in xs and ys. Regions of an unknown area are dropped."""
-    r = regions.join(areas.select(F.col("area_id").alias(area), "min_lat", "min_lon"), area)
-    return r.withColumn("xs", F.transform(lat, lambda v: (v - F.col("min_lat")) * METRES_PER_DEGREE)).withColumn("ys", F.transform(lon, lambda v: (v - F.col("min_lon")) * METRES_PER_DEGREE * F.cos(F.radians("min_lat"))))
+    r = regions.join(areas.select(F.col("area_id").alias(area), F.col("min_lat").alias("_lat0"), F.col("min_lon").alias("_lon0")), area)
+    xs = F.transform(lat, lambda v: (v - F.col("_lat0")) * METRES_PER_DEGREE)
+    ys = F.transform(lon, lambda v: (v - F.col("_lon0")) * METRES_PER_DEGREE * F.cos(F.radians("_lat0")))
+    return r.withColumns({"xs": xs, "ys": ys}).drop("_lat0", "_lon0")
 
 
 def containing_regions(points: DataFrame, regions: DataFrame, point: str = "node_id", area: str = "area_id", x: str = "node_x", y: str = "node_y", region: str = "building_id", ring_x: str = "xs", ring_y: str = "ys", hot_rows: int = 100_000) -> DataFrame:
