@@ -455,15 +455,13 @@ def relaxed_bound(spark, d):
 
 
 def scenario_rows(spark, d):
-    """Statistics rows of two small seeded scenarios, two samples each."""
-    return pipeline.run_all(spark, [pipeline.small_scenario(n_samples=2), pipeline.small_scenario(n_samples=2, fso_per_node=3, experiment_name="small_3")])
+    """Statistics rows of all scenarios in `configs`; run_id is config_id."""
+    return pipeline.run_all(spark, pipeline.table_scenarios(table(spark, d, "configs")))
 
 
 def master_rows(spark, d):
-    from ..sources.config import config_frame
-
-    s = [pipeline.small_scenario(n_samples=2), pipeline.small_scenario(n_samples=2, fso_per_node=3, experiment_name="small_3")]
-    return pipeline.master_rows(pipeline.run_all(spark, s), config_frame(spark, s))
+    s = pipeline.table_scenarios(table(spark, d, "configs"))
+    return pipeline.master_rows(pipeline.run_all(spark, s), s)
 
 
 NAMES = """distance_pairs edge_types typed_edges edge_type_lookup degree_by_type degree_summary isolated_nodes arg_max_degree

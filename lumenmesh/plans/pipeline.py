@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import fields, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import half_away_py
+from ..operators import quantities
 from ..sources.config import Scenario, config_frame
 from ..sources.stats import RESULT_ROW
 from . import kernels as K
@@ -65,8 +66,38 @@ def synthetic_sample(s: Scenario, sample_no: int) -> tuple[dict, K.Graph, K.Grap
     return dict(enumerate(xy)), adj, short, gateways, r
 
 
-def run_all(spark, scenarios: list[Scenario], on_sample: Callable | None = None) -> DataFrame:
-    """Statistics rows of all samples of all scenarios: (run_id, sample_no, *RESULT_ROW)."""
+#: What all recorded scenarios share; it stands in where a row of `configs` has no value.
+RECORDED = Scenario("synthetic", 101593, "", 0.01, 1000.0, 2, 10, 5.0, 50.0, 50.0, 1000.0, "", "", 0.1, 10, 200, 1, 1000, 500, 500, 1_000_000, 500.0, 500.0)
+#: Edges per node of each type that the first words of an experiment's name stand for.
+CAPS = {"dense": 500, "med_dense": 50, "sparse": 5}
+
+
+def table_scenarios(configs: DataFrame) -> DataFrame:
+    """Scenarios of a `configs` table, laid out as `config_frame` does, run_id being config_id.
+
+    Capacities are brought to Mbps. The caps on edges per node come from the experiment's name; without a
+    known one they are those of dense graphs, the loosest recorded. All else the table lacks is as recorded.
+    """
+    q = quantities.to_common_unit(configs, F.lit(None), F.lit(None).cast("string"), F.col("link_capacity"), F.lit(None).cast("string"), "Mbps", "bps")
+    cap = F.lit(None).cast("bigint")
+    for name, n in CAPS.items():
+        cap = F.when(F.col("experiment_name").startswith(f"{name}_"), n).otherwise(cap)
+    known = {
+        "seed": "seed", "experiment_name": "experiment_name", "gateway_to_node_ratio": "gateway_to_node_ratio", "fso_per_node": "fso_per_node", "fso_per_gateway": "fso_per_gateway",
+        "max_short_edge_length": "max_short_edge_length", "max_long_edge_length": "max_long_edge_length", "pattern_percent": "percent_of_pattern_nodes", "n_nodes": "number_of_nodes",
+    }
+    given = {ours: F.col(theirs) for ours, theirs in known.items()} | {"gateway_to_node_ratio": F.nanvl("gateway_to_node_ratio", F.lit(None).cast("double")), "link_capacity": F.col("q.result") / 1e6, "max_short_per_node": cap, "max_long_per_node": cap}
+    kind = {"int": "bigint", "float": "double", "str": "string"}
+    columns = [F.coalesce(given.get(f.name, F.lit(None)), F.lit(getattr(RECORDED, f.name))).cast(kind[f.type]).alias(f.name) for f in fields(Scenario)]
+    return q.select(F.col("config_id").alias("run_id"), *columns).distinct()
+
+
+def run_all(spark, scenarios: list[Scenario] | DataFrame, on_sample: Callable | None = None) -> DataFrame:
+    """Statistics rows of all samples of all scenarios: (run_id, sample_no, *RESULT_ROW).
+
+    scenarios: a list, or a table as `config_frame` lays it out. A sample is a task of its own, as far as
+    hashing keeps them apart; few rows would else be put into one task.
+    """
     names = [f for f in Scenario.__dataclass_fields__]
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
@@ -79,7 +110,9 @@ def run_all(spark, scenarios: list[Scenario], on_sample: Callable | None = None)
             rows.append({"run_id": r["run_id"], "sample_no": k} | measure(s, adj, plan, gateways, s.seed + 1000 * k))
         return pd.DataFrame(rows)
 
-    samples = config_frame(spark, scenarios).withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.col("n_samples").cast("int"))))
+    frame = scenarios if isinstance(scenarios, DataFrame) else config_frame(spark, scenarios)
+    samples = frame.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.col("n_samples").cast("int"))))
+    samples = samples.repartition(min(max(1, samples.count()), 10_000), "run_id", "sample_no")
     return samples.groupBy("run_id", "sample_no").applyInPandas(one, ROW_SCHEMA)
 
 

@@ -9,7 +9,7 @@ import pytest
 from lumenmesh.functions import geometry as G
 from lumenmesh.operators import capped, coverage, graph, sight
 from lumenmesh.plans import kernels as K
-from lumenmesh.plans import pipeline, relaxation
+from lumenmesh.plans import network, pipeline, relaxation
 from lumenmesh.sources import config, osm, points, stats, text
 from pyspark.sql import functions as F
 
@@ -231,6 +231,19 @@ def test_statistics_row(spark, small):
     assert pipeline.master_rows(rows, config.config_frame(spark, [s])).count() == 1
 
 
+def test_scenario_rows_plan_the_configs_table(spark, tmp_path):
+    rows = [(7, "sparse_10_2", 11, 0.05, "0.5 Gbps", 2, 8, 80.0, 400.0, 10, 30), (8, None, 12, float("nan"), None, 3, 8, 80.0, 400.0, 50, 40), (9, "dense_10_2", 11, None, "500", 2, 8, 80.0, 400.0, 10, 30)]
+    schema = "config_id bigint, experiment_name string, seed bigint, gateway_to_node_ratio double, link_capacity string, fso_per_node int, fso_per_gateway int, max_short_edge_length double, max_long_edge_length double, percent_of_pattern_nodes int, number_of_nodes int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "configs.parquet"))
+    s = {r["run_id"]: r for r in pipeline.table_scenarios(spark.read.parquet(str(tmp_path / "configs.parquet"))).collect()}
+    assert [s[k]["link_capacity"] for k in (7, 8, 9)] == [500.0, 1000.0, 500.0] and [s[k]["gateway_to_node_ratio"] for k in (7, 8, 9)] == [0.05, 0.01, 0.01]
+    assert [s[k]["max_short_per_node"] for k in (7, 8, 9)] == [5, 500, 500] and {r["n_patterns"] for r in s.values()} == {200}
+    got = {r["run_id"]: r for r in network.scenario_rows(spark, str(tmp_path)).collect()}
+    assert {k: (r["sample_no"], r["number_of_nodes_in_input_graph"], r["percent_of_pattern_nodes"]) for k, r in got.items()} == {7: (1, 30, 10), 8: (1, 40, 50), 9: (1, 30, 10)}
+    assert got[7]["total_gateway_capacity_dynamic"] == got[7]["number_of_fso_per_gateway"] * got[7]["number_of_gateways"] * 500.0
+    assert {r["run_id"] for r in network.master_rows(spark, str(tmp_path)).collect()} == {7, 8, 9}
+
+
 def test_equivalent_dynamic_graph_respects_ports(small):
     s, p, adj, short, gates, plan = small
     nodes = sorted(set(plan["dynamic"]) - set(gates))[:6]
