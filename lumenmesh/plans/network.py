@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import capped, coverage, graph, measures, sight
-from ..session import table
+from ..session import Scratch, table
 from ..sources import text
 from . import kernels as K
 from . import pipeline, relaxation
@@ -403,36 +403,72 @@ def static_augment(spark, d):
     return _scenario(spark, d, lambda _, p, a, s, g: K.edges_of(_static(p, a, s, g)[0]), "src bigint, dst bigint")
 
 
-def _each_pattern(k: int, g: K.Graph, gates: list[int], flow: Callable, spread: int) -> Iterator[tuple]:
+def _networks(spark: SparkSession, d: str) -> DataFrame:
+    """The static and the dynamic network after augmentation, with the port limits; computed once and written."""
+
+    def run(k, p, a, s, g):
+        r = _reduced(p, s, g)
+        pn, pg = K.port_caps(r, g, PER_NODE, PER_GATEWAY)
+        room = K.half_away_py(0.1 * len(r))
+        net = K.augment_static(a, r, g, pn, pg, room)[0] if k else K.augment_dynamic(a, r, g, room)[0]
+        return (("static" if k else "dynamic", n, sorted(net[n]), pn, pg) for n in sorted(net))
+
+    return Scratch(spark, "networks").cut(_scenario(spark, d, run, "network string, node_id bigint, neighbours array<bigint>, per_node bigint, per_gateway bigint", 2))[0]
+
+
+def _network(a: pd.DataFrame) -> tuple[K.Graph, list[int], int, int]:
+    """(graph, gateways, port limits) of the rows of one network."""
+    g = {int(n): {int(v) for v in vs} for n, vs in zip(a["node_id"], a["neighbours"])}
+    return g, [n for n in sorted(g) if n % 50 == 0], int(a["per_node"].iloc[0]), int(a["per_gateway"].iloc[0])
+
+
+def _each_pattern(k: int, g: K.Graph, gates: list[int], flow: Callable, seed: int, spread: int) -> Iterator[tuple]:
     c = sorted(set(g) - set(gates))
     if c:
         size, n = K.pattern_size(len(c), PERCENT, PATTERNS)
         for i in range(k, n, spread):
-            yield (i, *flow(K.pattern(c, size, SEED, i)))
+            yield (i, *flow(K.pattern(c, size, seed, i)))
+
+
+def _pattern_flows(networks: DataFrame, kind: str, spread: int = 8) -> DataFrame:
+    """Flow and bound of each pattern on one of the networks; seeds and limits are those of `pipeline.measure`."""
+
+    def one(key: tuple, a: pd.DataFrame) -> pd.DataFrame:
+        g, gates, pn, pg = _network(a)
+        flow = (lambda ns: K.static_pattern_flow(g, gates, ns)) if kind == "static" else (lambda ns: K.dynamic_pattern_flow(g, gates, pn, pg, ns))
+        return pd.DataFrame(list(_each_pattern(int(key[0]), g, gates, flow, SEED + (kind == "dynamic"), spread)), columns=["pattern_id", "max_flow", "upper_bound"])
+
+    parts = networks.where(F.col("network") == kind).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return parts.repartition(spread, "part").groupBy("part").applyInPandas(one, "pattern_id bigint, max_flow double, upper_bound double")
 
 
 def static_pattern_flows(spark, d):
-    return _scenario(spark, d, lambda k, p, a, s, g: _each_pattern(k, r := _reduced(p, s, g), g, lambda ns: K.static_pattern_flow(r, g, ns), 8), "pattern_id bigint, max_flow double, upper_bound double", 8)
+    return _pattern_flows(_networks(spark, d), "static")
 
 
 def dynamic_pattern_flows(spark, d):
-    return _scenario(spark, d, lambda k, p, a, s, g: _each_pattern(k, r := _reduced(p, s, g), g, lambda ns: K.dynamic_pattern_flow(r, g, PER_NODE, PER_GATEWAY, ns), 8), "pattern_id bigint, max_flow double, upper_bound double", 8)
+    return _pattern_flows(_networks(spark, d), "dynamic")
 
 
 def average_flows(spark, d):
-    a = static_pattern_flows(spark, d).select(F.lit("static").alias("network"), "*").union(dynamic_pattern_flows(spark, d).select(F.lit("dynamic"), "*"))
+    n = _networks(spark, d)
+    a = _pattern_flows(n, "static").select(F.lit("static").alias("network"), "*").union(_pattern_flows(n, "dynamic").select(F.lit("dynamic"), "*"))
     return a.groupBy("network").agg(F.count(F.lit(1)).alias("n_patterns"), (F.avg("max_flow") * CAPACITY).alias("avg_flow"), (F.avg("upper_bound") * CAPACITY).alias("avg_bound"))
 
 
 def equivalent_static_ports(spark, d):
-    def run(_, p, a, s, g):
-        r = _reduced(p, s, g)
-        pn, pg = K.port_caps(r, g, PER_NODE, PER_GATEWAY)
-        start = K.average_static_flow(r, g, PERCENT, PATTERNS, SEED)
-        goal, _ = K.average_dynamic_flow(r, g, pn, pg, PERCENT, PATTERNS, SEED)
-        return [K.equivalent_static(r, a, g, pn, pg, goal, PERCENT, PATTERNS, SEED, start)[1:] + (goal,)]
-
-    return _scenario(spark, d, run, "per_node bigint, per_gateway bigint, avg_flow double, avg_bound double, goal double")
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        static, g, pn, pg = _network(a[a["network"] == "static"])
+        dynamic = _network(a[a["network"] == "dynamic"])[0]
+        start = K.average_static_flow(static, g, PERCENT, PATTERNS, SEED)
+        goal, _ = K.average_dynamic_flow(dynamic, g, pn, pg, PERCENT, PATTERNS, SEED + 1)
+        adj = K.graph_of(b[["src", "dst"]].itertuples(index=False))
+        row = K.equivalent_static(static, adj, g, pn, pg, goal, PERCENT, PATTERNS, SEED + 2, start)[1:] + (goal,)
+        return pd.DataFrame([row], columns=["per_node", "per_gateway", "avg_flow", "avg_bound", "goal"])
+
+    part = F.lit(0).alias("part")
+    n = _networks(spark, d).select("*", part)
+    return n.groupBy("part").cogroup(edges(spark, d).select("src", "dst", part).groupBy("part")).applyInPandas(one, "per_node bigint, per_gateway bigint, avg_flow double, avg_bound double, goal double")
 
 
 def relaxed_bound(spark, d):

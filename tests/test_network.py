@@ -244,6 +244,36 @@ def test_scenario_rows_plan_the_configs_table(spark, tmp_path):
     assert {r["run_id"] for r in network.master_rows(spark, str(tmp_path)).collect()} == {7, 8, 9}
 
 
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """A folder with a small `embeddings` table, and its scenario graph: points, all edges, short edges, gateways."""
+    r = random.Random(5)
+    rows = [(i, [0.0, r.uniform(-0.45, -0.2), r.uniform(-0.45, -0.2)]) for i in range(200)]
+    d = str(tmp_path_factory.mktemp("crowd"))
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    e = network.edges(spark, d).collect()
+    points = {n["node_id"]: (n["x"], n["y"]) for n in network.nodes(spark, d).collect()}
+    adj = K.graph_of([(x["src"], x["dst"]) for x in e], points)
+    short = K.graph_of([(x["src"], x["dst"]) for x in e if x["con_type"] == "short"], points)
+    return d, points, adj, short, [0, 50, 100, 150]
+
+
+def test_flows_are_measured_on_the_augmented_networks(spark, crowd):
+    d, points, adj, short, gates = crowd
+    red = network._reduced(points, short, gates)
+    pn, pg = K.port_caps(red, gates, network.PER_NODE, network.PER_GATEWAY)
+    room = K.half_away_py(0.1 * len(red))
+    static, dynamic = K.augment_static(adj, red, gates, pn, pg, room)[0], K.augment_dynamic(adj, red, gates, room)[0]
+    how = (network.PERCENT, network.PATTERNS)
+    start, goal = K.average_static_flow(static, gates, *how, network.SEED), K.average_dynamic_flow(dynamic, gates, pn, pg, *how, network.SEED + 1)
+    assert len(K.edges_of(dynamic)) > len(K.edges_of(static)) > len(K.edges_of(red))
+    got = {r["network"]: (r["avg_flow"], r["avg_bound"]) for r in network.average_flows(spark, d).collect()}
+    for kind, want in (("static", start), ("dynamic", goal)):
+        assert got[kind] == pytest.approx([v * network.CAPACITY for v in want])
+    want = K.equivalent_static(static, adj, gates, pn, pg, goal[0], *how, network.SEED + 2, start)[1:]
+    assert tuple(network.equivalent_static_ports(spark, d).first()) == pytest.approx((*want, goal[0]))
+
+
 def test_equivalent_dynamic_graph_respects_ports(small):
     s, p, adj, short, gates, plan = small
     nodes = sorted(set(plan["dynamic"]) - set(gates))[:6]
