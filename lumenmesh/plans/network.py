@@ -347,10 +347,29 @@ def disconnected_cover(spark, d):
     return greedy_cover(spark, d).select("node_id").join(on_tree, "node_id", "left_anti")
 
 
+def _started(p, a, s, g):
+    """The graph that the dynamic augmentation starts with: the reduced backbone and all edges among its nodes."""
+    r = _reduced(p, s, g)
+    return {n: r[n] | a[n] & set(r) for n in r}
+
+
 def path_benefits(spark, d):
-    """What the paths between gateways' trees and other nodes are worth: hops stand for their new nodes."""
-    paths = graph.bfs(edges(spark, d).where("con_type = 'short'"), gateways(spark, d)).where("hops > 0").select(F.col("source").alias("src"), F.col("node_id").alias("dst"), F.col("hops").alias("n_new"))
-    return measures.benefits(paths, source_potential(spark, d), sink_potential(spark, d))
+    """What the shortest paths over all edges between any two network nodes are worth per node not yet in the network."""
+
+    def run(k, p, a, s, g):
+        net = _started(p, a, s, g)
+        res = K.residual(net, set(g))
+        for u in sorted(net):
+            if u % 8 == k and K.source_potential(res, u, set(g)) > 0:
+                parent = K.bfs_tree(a, [u])[1]
+                for v in sorted(net):
+                    if v in parent and (new := sum(x not in net for x in K.path_to(parent, v))):
+                        yield u, v, new
+
+    paths = _scenario(spark, d, run, "src bigint, dst bigint, n_new bigint", 8)
+    source = _scenario(spark, d, lambda k, p, a, s, g: _potentials(K.source_potential, k, _started(p, a, s, g), g, 8), "node_id bigint, potential double", 8)
+    sink = _scenario(spark, d, lambda k, p, a, s, g: _potentials(lambda r, n, _: K.sink_potential(r, n, g), k, _started(p, a, s, g), g, 8), "node_id bigint, potential double", 8)
+    return measures.benefits(paths, source, sink)
 
 
 def best_path(spark, d):

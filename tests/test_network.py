@@ -274,6 +274,24 @@ def test_flows_are_measured_on_the_augmented_networks(spark, crowd):
     assert tuple(network.equivalent_static_ports(spark, d).first()) == pytest.approx((*want, goal[0]))
 
 
+def test_best_path_is_the_first_that_is_augmented(spark, crowd):
+    d, points, adj, short, gates = crowd
+    red = network._reduced(points, short, gates)
+    net = {n: adj[n] & set(red) for n in red}
+    res = K.residual(net, set(gates))
+    want = {}
+    for u, v in itertools.permutations(sorted(net), 2):
+        hops, parent = K.bfs_tree(adj, [u])
+        new = sum(x not in net for x in K.path_to(parent, v)) if v in hops else 0
+        flow = min(K.source_potential(res, u, set(gates)), K.sink_potential(res, v, set(gates)))
+        if new and flow > 0:
+            want[u, v] = flow / new
+    assert {(r["src"], r["dst"]): r["benefit"] for r in network.path_benefits(spark, d).collect()} == want
+    best = network.best_path(spark, d).first()
+    path = K.augment_dynamic(adj, red, gates, 1)[1][0]
+    assert (best["src"], best["dst"]) == (path[0], path[-1])
+
+
 def test_equivalent_dynamic_graph_respects_ports(small):
     s, p, adj, short, gates, plan = small
     nodes = sorted(set(plan["dynamic"]) - set(gates))[:6]
