@@ -504,9 +504,10 @@ def relaxed_bound(spark, d):
             for c in grid.cells(*p[n], border_only=False):
                 by.setdefault(c, []).append(n)
         prog = relaxation.placement_program(adj, near, g, [by[c] for c in sorted(by)], len(r), 8)
-        return [(len(prog.low), len(prog.rows), prog.solve(rounds=2000)[0])]
+        done = prog.certify()
+        return [(len(prog.low), len(prog.rows), done.bound, done.gap, done.converged)]
 
-    return _scenario(spark, d, run, "n_variables bigint, n_constraints bigint, bound double")
+    return _scenario(spark, d, run, "n_variables bigint, n_constraints bigint, bound double, gap double, converged boolean")
 
 
 def scenario_rows(spark, d):

@@ -6,12 +6,22 @@ Constraints are coordinate rows; the program is solved by a primal-dual hybrid g
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
 
 from .kernels import Graph, edges_of
 
 
+class Solution(NamedTuple):
+    bound: float
+    residual: float
+    gap: float
+    x: np.ndarray
+    converged: bool
+    rounds: int
+
+
 class Program:
     """maximise c.x subject to A.x <= b (or = b) and bounds, built row by row."""
 
@@ -37,33 +47,71 @@ class Program:
         """(row, column, value) of the constraint matrix."""
         return [(r, i, v) for r, (cols, vals, _, _) in enumerate(self.rows) for i, v in zip(cols, vals)]
 
-    def solve(self, rounds: int = 20_000, tolerance: float = 1e-4) -> tuple[float, np.ndarray]:
-        r, c, v = (np.array(a) for a in zip(*self.coordinates()))
+    def certify(self, rounds: int = 20_000, tolerance: float = 1e-4) -> Solution:
+        """Solves the program until residual and gap, relative to the sizes of b and the goal, are within the tolerance.
+
+        The bound is the least dual objective met. It holds for any multipliers, so also if rounds run out; only
+        how close it is to the optimum is then unknown, and `converged` is false. Steps are restarted from the
+        better of the last and the mean iterate, and balanced anew at each restart.
+        """
         m, n = len(self.rows), len(self.low)
+        sizes = [len(x[0]) for x in self.rows]
+        r = np.repeat(np.arange(m), sizes)
+        c = np.fromiter((i for x in self.rows for i in x[0]), np.int64, len(r))
+        v = np.fromiter((w for x in self.rows for w in x[1]), float, len(r))
         b = np.array([x[2] for x in self.rows])
         equal = np.array([x[3] for x in self.rows])
         cost = np.zeros(n)
         for i, w in self.goal.items():
             cost[i] = -w
         low, high = np.array(self.low), np.array(self.high)
+        times, back = (lambda x: np.bincount(r, v * x[c], m)), (lambda y: np.bincount(c, v * y[r], n))
         # diagonal steps: each row and column is scaled by its own absolute sum
         tau = 0.9 / np.maximum(np.bincount(c, np.abs(v), n), 1e-9)
         sigma = 0.9 / np.maximum(np.bincount(r, np.abs(v), m), 1e-9)
+        scale = 1 + float(np.max(np.abs(b), initial=0.0))
+
+        def judge(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+            """(dual objective, residual, gap) as a maximum; columns take the bound that their reduced cost asks for."""
+            reduced = cost + back(y)
+            end = np.where(reduced > 0, low, high)
+            dual = float(b @ y - np.sum(np.where(reduced == 0, 0.0, reduced) * np.where(reduced == 0, 0.0, end)))
+            off = times(x) - b
+            off = float(np.max(np.where(equal, np.abs(off), np.maximum(off, 0)), initial=0.0)) / scale
+            value = float(-cost @ x)
+            return dual, off, abs(dual - value) / (1 + abs(dual) + abs(value)) if np.isfinite(dual) else np.inf
+
         x, y = np.clip(np.zeros(n), low, high), np.zeros(m)
-        sx, sy, k = np.zeros(n), np.zeros(m), 0
+        x0, y0, sx, sy, k, since, weight = x, y, np.zeros(n), np.zeros(m), 0, np.inf, 1.0
+        best = np.inf
         for t in range(1, rounds + 1):
-            x1 = np.clip(x - tau * (cost + np.bincount(c, v * y[r], n)), low, high)
-            y1 = y + sigma * (np.bincount(r, v * (2 * x1 - x)[c], m) - b)
+            x1 = np.clip(x - tau / weight * (cost + back(y)), low, high)
+            y1 = y + sigma * weight * (times(2 * x1 - x) - b)
             y = np.where(equal, y1, np.maximum(y1, 0))
             x = x1
             sx, sy, k = sx + x, sy + y, k + 1
-            if t % 1000 == 0:
-                ax = sx / k
-                off = np.bincount(r, v * ax[c], m) - b
-                if np.max(np.where(equal, np.abs(off), np.maximum(off, 0))) < tolerance:
-                    return float(-cost @ ax), ax
-                x, y, sx, sy, k = ax, sy / k, np.zeros(n), np.zeros(m), 0
-        return float(-cost @ x), x
+            if t % 100 and t < rounds:
+                continue
+            marks = [(*judge(*p), p) for p in ((x, y), (sx / k, sy / k))]
+            best = min(best, *(d for d, *_ in marks))
+            dual, off, gap, at = min(marks, key=lambda q: max(q[1], q[2]))
+            error = max(off, gap)
+            if error <= tolerance:
+                return Solution(best, off, gap, at[0], True, t)
+            if error <= 0.5 * since or k >= 0.3 * t:
+                dx, dy = np.linalg.norm((at[0] - x0) / np.sqrt(tau)), np.linalg.norm((at[1] - y0) / np.sqrt(sigma))
+                if dx > 1e-9 and dy > 1e-9:
+                    weight = float(np.sqrt(weight * dy / dx))
+                x, y = at
+                x0, y0, sx, sy, k, since = x, y, np.zeros(n), np.zeros(m), 0, error
+        return Solution(best, off, gap, at[0], False, rounds)
+
+    def solve(self, rounds: int = 20_000, tolerance: float = 1e-4) -> tuple[float, np.ndarray]:
+        """(bound, primal solution); raises ArithmeticError if rounds run out before both are within the tolerance."""
+        s = self.certify(rounds, tolerance)
+        if not s.converged:
+            raise ArithmeticError(f"not solved in {rounds} rounds: residual {s.residual:.2g}, gap {s.gap:.2g}")
+        return s.bound, s.x
 
 
 def placement_program(adj: Graph, short: Graph, sinks: list[int], targets: list[list[int]], n_max: int, d_max: int) -> Program:

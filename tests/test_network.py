@@ -310,6 +310,25 @@ def test_relaxed_program_bounds_the_flow():
     assert (x >= -1e-6).all()
 
 
+def test_relaxed_bound_is_certified():
+    """maximise x + y, x + 2y <= 4, 3x + y <= 6, both at most 10: 2.8 at (1.6, 1.2)."""
+    p = relaxation.Program()
+    x, y = p.var("x", high=10.0), p.var("y", high=10.0)
+    p.row([(x, 1.0), (y, 2.0)], 4.0)
+    p.row([(x, 3.0), (y, 1.0)], 6.0)
+    p.goal = {x: 1.0, y: 1.0}
+    s = p.certify(tolerance=1e-6)
+    assert s.converged and s.bound >= 2.8 - 1e-9 and s.bound == pytest.approx(2.8, abs=1e-4) and s.x == pytest.approx([1.6, 1.2], abs=1e-3)
+    early = p.certify(rounds=3, tolerance=1e-9)
+    assert not early.converged and early.bound >= 2.8 - 1e-9
+    with pytest.raises(ArithmeticError):
+        p.solve(rounds=3, tolerance=1e-9)
+    for seed in range(4):
+        i = points.random_program_instance(seed, 8, 14, 2, 3, short_share=1.0)
+        s = relaxation.placement_program(i["adj"], i["short"], i["sinks"], i["targets"], 8, 8).certify()
+        assert s.converged and s.bound >= K.max_flow(i["adj"], i["sinks"]) - 1e-6
+
+
 def test_spec_counts_and_round_trip(spark, tmp_path):
     e = spark.createDataFrame([(1, 2), (2, 3)], "src bigint, dst bigint")
     n = _nodes(spark, [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0), (4, 9.0, 9.0)])
