@@ -490,20 +490,23 @@ def equivalent_static_ports(spark, d):
     return n.groupBy("part").cogroup(edges(spark, d).select("src", "dst", part).groupBy("part")).applyInPandas(one, "per_node bigint, per_gateway bigint, avg_flow double, avg_bound double, goal double")
 
 
-def relaxed_bound(spark, d):
-    """Bound of the relaxed program over the reduced backbone and the edges among its nodes."""
+def relaxed_bound(spark, d, n_max: int | None = None):
+    """Bound of the relaxed program over all nodes and edges, for networks that cover what the reduced backbone covers.
+
+    n_max is the number of nodes besides the gateways; by default that of the reduced backbone and what the
+    augmentation may add. `converged` is false if the program was not solved to the tolerance; the bound holds anyway.
+    """
 
     def run(_, p, a, s, g):
         r = _reduced(p, s, g)
-        keep = set(r)
-        adj = {n: a[n] & keep for n in r}
-        near = {n: s[n] & keep for n in r}
         grid = K.Grid(SPACING, RADIUS, SIDE, SIDE)
         by: dict = {}
-        for n in sorted(r):
+        for n in sorted(a):
             for c in grid.cells(*p[n], border_only=False):
                 by.setdefault(c, []).append(n)
-        prog = relaxation.placement_program(adj, near, g, [by[c] for c in sorted(by)], len(r), 8)
+        covered = sorted({c for n in r for c in grid.cells(*p[n], border_only=False)})
+        size = len(r) + K.half_away_py(0.1 * len(r)) if n_max is None else n_max
+        prog = relaxation.placement_program(a, s, g, [by[c] for c in covered], size, 8)
         done = prog.certify()
         return [(len(prog.low), len(prog.rows), done.bound, done.gap, done.converged)]
 

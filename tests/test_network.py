@@ -329,6 +329,23 @@ def test_relaxed_bound_is_certified():
         assert s.converged and s.bound >= K.max_flow(i["adj"], i["sinks"]) - 1e-6
 
 
+def test_relaxed_bound_is_over_the_whole_graph(crowd, monkeypatch):
+    """Runs the query's kernel on a corner of the scenario; all nodes and edges are in the program, and n_max binds."""
+    _, points, adj, short, _ = crowd
+    near = sorted(points, key=lambda n: points[n])[:40]
+    adj, short = ({n: g[n] & set(near) for n in near} for g in (adj, short))
+    gates = [n for n in near if adj[n]][:2]
+    monkeypatch.setattr(network, "_scenario", lambda spark, d, run, schema: list(run(0, {n: points[n] for n in near}, adj, short, gates)))
+    (n_vars, _, loose, _, _), = network.relaxed_bound(None, None)
+    (_, _, tight, _, _), = network.relaxed_bound(None, None, 1)
+    n, m = len(near), len(K.edges_of(adj))
+    assert n_vars == 5 * n + 6 * m
+    assert tight < loose
+    red = network._reduced({n: points[n] for n in near}, short, gates)
+    dyn = K.augment_dynamic(adj, red, gates, K.half_away_py(0.1 * len(red)))[0]
+    assert loose >= K.max_flow(dyn, gates) - 1e-6
+
+
 def test_spec_counts_and_round_trip(spark, tmp_path):
     e = spark.createDataFrame([(1, 2), (2, 3)], "src bigint, dst bigint")
     n = _nodes(spark, [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0), (4, 9.0, 9.0)])
