@@ -49,6 +49,8 @@ def measure(s: Scenario, adj: K.Graph, plan: dict, gateways: list[int], seed: in
 
 def synthetic_sample(s: Scenario, sample_no: int) -> tuple[dict, K.Graph, K.Graph, list[int], random.Random]:
     """Points, graphs and gateways of a sample; the first one is fixed by the seed alone."""
+    if s.graph_type != "synthetic":
+        raise ValueError(f"scenarios of graph type {s.graph_type!r} can't be planned, only synthetic ones")
     r = random.Random(s.seed if sample_no == 1 else f"{s.seed}:{sample_no}")
     xy = [(r.uniform(0, s.max_x), r.uniform(0, s.max_y)) for _ in range(s.n_nodes)]
     pairs = []

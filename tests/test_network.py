@@ -292,6 +292,14 @@ def test_best_path_is_the_first_that_is_augmented(spark, crowd):
     assert (best["src"], best["dst"]) == (path[0], path[-1])
 
 
+def test_map_scenarios_are_refused(spark):
+    s = pipeline.small_scenario(graph_type="map", n_nodes=0)
+    with pytest.raises(ValueError, match="'map'"):
+        pipeline.synthetic_sample(s, 1)
+    with pytest.raises(Exception, match="graph type 'map'"):
+        pipeline.run_all(spark, [s]).collect()
+
+
 def test_equivalent_dynamic_graph_respects_ports(small):
     s, p, adj, short, gates, plan = small
     nodes = sorted(set(plan["dynamic"]) - set(gates))[:6]
