@@ -1,18 +1,23 @@
 """Points near other points, and the regions that contain points.
 
-Near pairs: points are hashed to square cells as wide as the distance; a point meets the points of its
-own cell and of four of the eight around it, so each pair of cells meets once.
+Both are answered by adaptive covers. A region is covered by square cells: those wholly inside it are interior,
+those that its outline touches are boundary cells and are split further. Points join on their cell; a match
+with an interior cell is accepted as it is, only one with a boundary cell gets the exact test.
 
-Containing regions: every polygon is covered by square cells of several sizes. Starting from the largest
-cells that touch it, a cell that lies fully inside is kept as interior, one that the outline crosses is
-split further, down to the smallest size. A point joins on its cell of each size: a match with an interior
-cell is accepted as it is, only one with a boundary cell gets the exact test.
+Near pairs: the region of a point is the disc around it, covered by cells whose diagonal does not exceed the
+distance. Each disc lists just the cells it touches, of half its neighbourhood, so each pair meets once.
+
+Containing regions: polygons are covered by cells of 4 m times powers of 4, whatever their extent. Boundary
+cells carry only the sides that can decide about points within them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import isqrt
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +25,24 @@ from ..session import Scratch, hot_keys
 
 #: Metres of a degree of latitude, as the data's local metres define it (a fixed value).
 METRES_PER_DEGREE = 111320
-#: Cell sizes in metres, smallest first; each holds 16 of the next smaller.
-SIZES = (4.0, 16.0, 64.0, 256.0)
+#: Width in metres of the cells of level 0; those of the next level are RATIO times as wide.
+LEAST_SIZE, RATIO = 4.0, 4
+#: Levels below the first one of a polygon. Its outline is followed down to this part of its extent; what is
+#: coarser than level 0 then is left to the exact test.
+DEPTH = 4
 #: An unknown coordinate is null, NaN or this number (a fixed value of the data).
 UNKNOWN = -9999.0
+#: Cells beyond this number in either direction are not told apart; they accept nothing without a test.
+FAR = 2**50
+#: Sides worked on at once in a task.
+CHUNK = 4_000
 
 
 def known(c: str) -> F.Column:
-    return F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) != F.lit(UNKNOWN)) & (F.abs(F.col(c)) < 1e12)
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) != F.lit(UNKNOWN))
 
 
-def known_points(points: DataFrame, point: str, area: str, x: str, y: str) -> DataFrame:
+def known_points(points: DataFrame, point: str = "node_id", area: str = "area_id", x: str = "node_x", y: str = "node_y") -> DataFrame:
     """Distinct (id, area, x, y) of points with a known position; null ids or areas match nothing."""
     p = points.select(F.col(point).alias("id"), F.col(area).alias("area"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     return p.where(F.col("id").isNotNull() & F.col("area").isNotNull() & known("x") & known("y")).distinct()
@@ -42,26 +54,47 @@ def near_pairs(points: DataFrame, distance: float, point: str = "node_id", area:
     Positions are snapped to multiples of `unit`, the precision they are recorded in, and compared as
     integers, so that a pair at exactly the distance is not lost to rounding. Unknown positions match
     nothing; repeated rows count once; an empty table gives no pairs. Extra columns are ignored.
+    """
+    p, _ = Scratch(points.sparkSession, "near").cut(known_points(points, point, area, x, y))
+    return near_known(p, distance, unit, hot_rows)
+
+
+def near_known(p: DataFrame, distance: float, unit: float = 0.01, hot_rows: int = 2_000) -> DataFrame:
+    """`near_pairs` of what `known_points` gave, written to a table.
 
-    A crowded cell is split: each of its points is given one of several salts, and the points that
-    meet it are copied to all of them. The list of such cells has a proven bound, see `hot_keys`.
+    A crowded cell is split in both directions: its points are spread over salts, and so are the discs
+    that reach it; each is copied to the salts of the other. The list of such cells has a proven bound:
+    25 for each of those that `hot_keys` gives.
     """
     r = round(distance / unit)
-    # written once: counted, searched for crowds and joined with itself
-    p, _ = Scratch(points.sparkSession, "near").cut(known_points(points, point, area, x, y))
-    grid = lambda c: F.round(F.col(c) / F.lit(unit)).cast("bigint").alias(c)
-    p = p.select("id", "area", grid("x"), grid("y"))
-    cell = lambda c: F.floor(F.col(c) / F.lit(r)).cast("bigint")
-    homes = p.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
-    hot = F.broadcast(hot_keys(homes, ["area", "cx", "cy"], hot_rows))
-    n = F.coalesce("n_salts", F.lit(1))
-    homes = homes.join(hot, ["area", "cx", "cy"], "left").select(*homes.columns, F.pmod(F.xxhash64("id"), n).cast("int").alias("salt"))
-    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
-    guests = p.select("*", F.inline(steps))
-    guests = guests.select(F.col("id").alias("id_b"), "area", F.col("x").alias("xb"), F.col("y").alias("yb"), (cell("x") + F.col("dx")).alias("cx"), (cell("y") + F.col("dy")).alias("cy"), ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("same"))
-    guests = guests.join(hot, ["area", "cx", "cy"], "left").select(*guests.columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+    s = max(1, isqrt(r * r // 2))  # the diagonal of a cell does not exceed the distance
+    reach = -(-r // s)
+    snapped = lambda c: F.round(F.col(c) / F.lit(unit)).alias(c)
+    cell = lambda c: F.least(F.greatest(F.floor(F.col(c) / F.lit(s)), F.lit(-FAR)), F.lit(FAR)).cast("bigint")
+    p = p.select("id", "area", snapped("x"), snapped("y")).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    at = ["area", "cx", "cy"]
+    crowd = hot_keys(p, at, hot_rows)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
+    spread = crowd.select("area", "cx", "cy", "n_salts", F.inline(around)).select("area", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"), F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("n_salts")).otherwise(0).alias("own"), "n_salts")
+    hot = F.broadcast(spread.groupBy(*at).agg(F.greatest(F.max("own"), F.lit(1)).alias("n_homes"), F.sum("n_salts").cast("int").alias("n_guests")))
+    n_homes, n_guests = F.coalesce("n_homes", F.lit(1)), F.coalesce("n_guests", F.lit(1))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    salt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    homes = p.join(hot, at, "left").select(*p.columns, salt(n_homes).alias("salt"), copies(n_guests).alias("salt_b"))
+    # the cells of half the neighbourhood that the disc touches, by their least and greatest distance
+    offset = lambda v, c: F.when(F.abs(F.col(c)) < FAR, F.col(v) - F.col(c) * s).otherwise(0.0)
+    ox, oy = offset("x", "cx"), offset("y", "cy")
+    gap = lambda k, o: F.greatest(k * s - o, o - (k + 1) * s + 1, F.lit(0.0))
+    far = lambda k, o: F.greatest(F.abs(k * s - o), F.abs((k + 1) * s - 1 - o))
+    half = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(0, reach + 1) for j in range(-reach, reach + 1) if i > 0 or j >= 0])
+    touched = F.filter(half, lambda c: gap(c["i"], ox) * gap(c["i"], ox) + gap(c["j"], oy) * gap(c["j"], oy) <= r * r)
+    near_by = (F.abs(F.col("cx")) < FAR) & (F.abs(F.col("cy")) < FAR)
+    guests = p.select("*", F.inline(touched))
+    certain = near_by & (far(F.col("i"), ox) ** 2 + far(F.col("j"), oy) ** 2 <= r * r)
+    guests = guests.select(F.col("id").alias("id_b"), "id", "area", F.col("x").alias("xb"), F.col("y").alias("yb"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"), ((F.col("i") == 0) & (F.col("j") == 0)).alias("same"), certain.alias("interior"))
+    guests = guests.join(hot, at, "left").select("id_b", "area", "xb", "yb", "cx", "cy", "same", "interior", copies(n_homes).alias("salt"), salt(n_guests).alias("salt_b"))
     dx, dy = F.col("x") - F.col("xb"), F.col("y") - F.col("yb")
-    met = homes.join(guests, ["area", "cx", "cy", "salt"]).where((dx * dx + dy * dy <= r * r) & F.when(F.col("same"), F.col("id") < F.col("id_b")).otherwise(F.col("id") != F.col("id_b")))
+    met = homes.join(guests, [*at, "salt", "salt_b"]).where(F.when(F.col("same"), F.col("id") < F.col("id_b")).otherwise(F.col("id") != F.col("id_b")) & (F.col("interior") | (dx * dx + dy * dy <= r * r)))
     # a pair meets in one cell only, unless an id has several positions
     return met.select(F.least("id", "id_b").alias("id_1"), F.greatest("id", "id_b").alias("id_2")).distinct()
 
@@ -78,90 +111,187 @@ def corners(ring_x: np.ndarray, ring_y: np.ndarray) -> np.ndarray | None:
     return p if len(p) >= 3 else None
 
 
-def _turned(p: np.ndarray) -> np.ndarray:
-    """The end of the side that starts at each corner."""
-    return np.concatenate((p[1:], p[:1]))
-
-
-def _grid(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All cells (x, y) from the first to the last of both axes."""
-    xs, ys = np.arange(first[0], last[0] + 1), np.arange(first[1], last[1] + 1)
-    return np.tile(xs, len(ys)), np.repeat(ys, len(xs))
-
-
 def contains(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Even-odd rule for many points at once: sides by points."""
-    (x1, y1), (x2, y2) = p.T[:, :, None], _turned(p).T[:, :, None]
+    (x1, y1), (x2, y2) = p.T[:, :, None], np.concatenate((p[1:], p[:1])).T[:, :, None]
     rise = np.where(y1 == y2, 1.0, y2 - y1)
     hits = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / rise + x1)
     return hits.sum(axis=0) % 2 == 1
 
 
-def _crossed(p: np.ndarray, x0: np.ndarray, y0: np.ndarray, size: float) -> np.ndarray:
-    """Whether the outline touches each cell: clips every side to every cell at once."""
-    steps = _turned(p) - p
-    first, last = np.zeros((len(p), len(x0))), np.ones((len(p), len(x0)))
-    for axis, lo in ((0, x0), (1, y0)):
-        a, d = p[:, axis, None], steps[:, axis, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            u = (lo - a) / d
-            v = u + size / d
-        flat = d[:, 0] == 0
-        if flat.any():  # a side along the other axis is in the cell's strip or it is not
-            within = (a[flat] >= lo) & (a[flat] <= lo + size)
-            u[flat], v[flat] = np.where(within, 0.0, 2.0), np.where(within, 1.0, 2.0)
-        np.maximum(first, np.minimum(u, v), out=first)
-        np.minimum(last, np.maximum(u, v), out=last)
-    return (first <= last).any(axis=0)
+def size_of(level: int) -> float:
+    return LEAST_SIZE * float(RATIO) ** level
+
+
+def _runs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, position within the owner) of counts[k] items for each owner k."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Sides:
+    """The sides of many polygons in flat arrays."""
+
+    def __init__(self, rings: list[np.ndarray]):
+        self.n = np.array([len(p) for p in rings])
+        self.start = np.cumsum(self.n) - self.n
+        p = np.concatenate(rings)
+        q = np.concatenate([np.concatenate((r[1:], r[:1])) for r in rings])
+        self.x1, self.y1, self.x2, self.y2 = p[:, 0], p[:, 1], q[:, 0], q[:, 1]
+        self.low = np.minimum.reduceat(p, self.start, axis=0)
+        self.high = np.maximum.reduceat(p, self.start, axis=0)
+
+    def touch(self, side: np.ndarray, x0: np.ndarray, y0: np.ndarray, size: float) -> np.ndarray:
+        """Whether each side touches the closed cell it is paired with."""
+        first, last = np.zeros(len(side)), np.ones(len(side))
+        for a, b, lo in ((self.x1, self.x2, x0), (self.y1, self.y2, y0)):
+            a, d = a[side], b[side] - a[side]
+            flat = d == 0
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                u, v = (lo - a) / d, (lo + size - a) / d
+            if flat.any():  # a side along the other axis is in the cell's strip or it is not
+                within = (a[flat] >= lo[flat]) & (a[flat] <= lo[flat] + size)
+                u[flat], v[flat] = np.where(within, 0.0, 2.0), np.where(within, 1.0, 2.0)
+            np.maximum(first, np.minimum(u, v), out=first)
+            np.minimum(last, np.maximum(u, v), out=last)
+        return first <= last
+
+    def inside(self, poly: np.ndarray, x: np.ndarray, cy: np.ndarray, size: float) -> np.ndarray:
+        """Even-odd rule for centres of cells: each row of cells of a polygon is scanned once."""
+        out = np.zeros(len(poly), bool)
+        rows, row = np.unique(np.stack((poly, cy)), axis=1, return_inverse=True)
+        row = row.ravel()
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(rows.shape[1] + 1))
+        work = np.cumsum(self.n[rows[0]]) // (64 * CHUNK)
+        for k in np.unique(work):
+            some = np.flatnonzero(work == k)
+            owner, nth = _runs(self.n[rows[0, some]])
+            side = self.start[rows[0, some[owner]]] + nth
+            y = (rows[1, some[owner]] + 0.5) * size
+            hit = (self.y1[side] > y) != (self.y2[side] > y)
+            side, y, owner = side[hit], y[hit], owner[hit]
+            cut = (self.x2[side] - self.x1[side]) * (y - self.y1[side]) / (self.y2[side] - self.y1[side]) + self.x1[side]
+            q = order[ends[some[0]] : ends[some[-1] + 1]]
+            # cuts and centres in order of row and place: a centre is inside if an odd number of cuts lies behind it
+            keys = np.concatenate((owner, row[q] - some[0]))
+            turn = np.lexsort((np.repeat([0, 1], [len(cut), len(q)]), np.concatenate((cut, x[q])), keys))
+            is_cut = turn < len(cut)
+            seen = np.cumsum(is_cut)
+            total = np.cumsum(np.bincount(owner, minlength=len(some)))
+            behind = np.empty(len(turn), np.int64)
+            behind[turn] = total[keys[turn]] - seen
+            out[q] = behind[len(cut) :] % 2 == 1
+        return out
+
+
+def cover_all(rings: list[np.ndarray]) -> Iterator[tuple]:
+    """(polygon, level, cell x, cell y, is interior, sides, sides of each cell) of the cells that cover polygons, level by level.
+
+    A polygon starts with cells no wider than it is; those that its outline touches are split, DEPTH times
+    at most. Sides are numbers in `_Sides`, of boundary cells only: those that cross the cell's strip of
+    rows and do not end left of it; no other can change the even-odd rule for a point of the cell.
+    """
+    g = _Sides(rings)
+    extent = (g.high - g.low).max(axis=1)
+    top = np.floor(np.log(np.maximum(extent / LEAST_SIZE, 1.0)) / np.log(RATIO)).astype(int)
+    # far from the origin cells must be so wide that their numbers are exact
+    far = np.abs(np.stack((g.low, g.high))).max(axis=(0, 2)) / FAR
+    exact = np.ceil(np.log(np.maximum(far / LEAST_SIZE, 1.0)) / np.log(RATIO)).astype(int)
+    top = np.maximum(top, exact)
+    least = np.maximum(exact, top - DEPTH)
+    none = np.zeros(0, np.int64)
+    poly = cx = cy = cell = side = none
+    for k in range(top.max(), -1, -1):
+        size = size_of(k)
+        new = np.flatnonzero(top == k)
+        if len(new):
+            first, last = np.floor(g.low[new] / size).astype(np.int64), np.floor(g.high[new] / size).astype(np.int64)
+            width = last - first + 1
+            owner, nth = _runs(width[:, 0] * width[:, 1])
+            own, pos = _runs(g.n[new[owner]])
+            cell, side = np.concatenate((cell, own + len(poly))), np.concatenate((side, g.start[new[owner[own]]] + pos))
+            poly = np.concatenate((poly, new[owner]))
+            cx, cy = np.concatenate((cx, first[owner, 0] + nth % width[owner, 0])), np.concatenate((cy, first[owner, 1] + nth // width[owner, 0]))
+        if not len(poly):
+            continue
+        hit = g.touch(side, cx[cell] * size, cy[cell] * size, size)
+        cell, side = cell[hit], side[hit]
+        edge = np.zeros(len(poly), bool)
+        edge[cell] = True
+        rest = np.flatnonzero(~edge)  # cells off the outline are wholly inside or wholly outside
+        if len(rest):
+            full = rest[g.inside(poly[rest], (cx[rest] + 0.5) * size, cy[rest], size)]
+            yield poly[full], k, cx[full], cy[full], np.ones(len(full), bool), none, np.zeros(len(full), np.int64)
+        done = np.flatnonzero(edge & (least[poly] == k))
+        if len(done):
+            yield (poly[done], k, cx[done], cy[done], np.zeros(len(done), bool), *_deciding(g, poly[done], cx[done] * size, cy[done] * size, size))
+        split = np.flatnonzero(edge & (least[poly] < k))
+        number = np.full(len(poly), -1)
+        number[split] = np.arange(len(split))
+        keep = number[cell] >= 0
+        n = RATIO * RATIO
+        cell, side = (number[cell[keep]][:, None] * n + np.arange(n)).ravel(), np.repeat(side[keep], n)
+        poly = np.repeat(poly[split], n)
+        cx, cy = (cx[split, None] * RATIO + np.arange(n) % RATIO).ravel(), (cy[split, None] * RATIO + np.arange(n) // RATIO).ravel()
+
+
+def _deciding(g: _Sides, poly: np.ndarray, x0: np.ndarray, y0: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sides, sides of each cell) that can be hit by a ray from a point of a cell along x."""
+    found, counts = [], np.zeros(len(poly), np.int64)
+    work = np.cumsum(g.n[poly]) // (64 * CHUNK)
+    slack = size * 1e-6
+    for k in np.unique(work):
+        some = np.flatnonzero(work == k)
+        owner, nth = _runs(g.n[poly[some]])
+        side, at = g.start[poly[some[owner]]] + nth, some[owner]
+        ok = (np.maximum(g.y1[side], g.y2[side]) >= y0[at] - slack) & (np.minimum(g.y1[side], g.y2[side]) <= y0[at] + size + slack)
+        ok &= (np.maximum(g.x1[side], g.x2[side]) >= x0[at] - slack) & (g.y1[side] != g.y2[side])
+        found.append(side[ok])
+        counts[some] = np.bincount(owner[ok], minlength=len(some))
+    return np.concatenate(found), counts
 
 
 def cover(p: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
-    """(size, cell x, cell y, is interior) of the cells that cover a polygon, adaptively split.
-
-    The first size is the largest of SIZES that is no wider than the polygon; a polygon wider than many
-    of the largest cells just has many of them.
-    """
-    low, high = p.min(axis=0), p.max(axis=0)
-    k = max([i for i, s in enumerate(SIZES) if s <= max(high - low)], default=0)
-    out = []
-    size = SIZES[k]
-    first, last = np.floor(low / size).astype(np.int64), np.floor(high / size).astype(np.int64)
-    cx, cy = _grid(first, last)
-    while True:
-        edge = _crossed(p, cx * size, cy * size, size)
-        rest = np.flatnonzero(~edge)
-        if len(rest):  # cells off the outline are wholly inside or wholly outside
-            full = rest[contains(p, (cx[rest] + 0.5) * size, (cy[rest] + 0.5) * size)]
-            out.append((size, cx[full], cy[full], np.ones(len(full), bool)))
-        if k == 0:
-            out.append((size, cx[edge], cy[edge], np.zeros(edge.sum(), bool)))
-            return out
-        k -= 1
-        ratio = round(size / SIZES[k])
-        size = SIZES[k]
-        ox, oy = _grid((0, 0), (ratio - 1, ratio - 1))
-        cx, cy = (cx[edge, None] * ratio + ox).ravel(), (cy[edge, None] * ratio + oy).ravel()
-
-
-def _cells(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b in zip(xs, ys):
-        if (p := corners(a, b)) is None:
-            rows.append(([], [], [], []))
-            continue
-        parts = cover(p)
-        rows.append(tuple(np.concatenate(c) for c in zip(*[(np.full(len(cx), SIZES.index(s), np.int32), cx, cy, i) for s, cx, cy, i in parts])))
-    return pd.DataFrame(rows, columns=["level", "cx", "cy", "interior"])
+    """(size, cell x, cell y, is interior) of the cells that cover one polygon, adaptively split."""
+    return [(size_of(k), cx, cy, inner) for _, k, cx, cy, inner, _, _ in cover_all([p])]
 
 
 def polygon_cells(regions: DataFrame, region: str, area: str, ring_x: str, ring_y: str) -> DataFrame:
-    """(region, area, level, cx, cy, interior, xs, ys): the cells of each polygon; corners only on boundary cells.
+    """(region, area, level, cx, cy, interior, x1, y1, x2, y2): the cells of each polygon; sides only on boundary cells.
 
-    Regions with a null id or area, and rings that `corners` rejects, have no cells.
+    Regions with a null id or area, and rings that `corners` rejects, have no cells. Polygons are covered
+    many at a time, in pieces of about CHUNK sides.
     """
-    r = regions.select(F.col(region).alias("region"), F.col(area).alias("area"), F.col(ring_x).alias("xs"), F.col(ring_y).alias("ys")).where("region is not null and area is not null and size(xs) > 2")
-    c = r.withColumn("c", F.pandas_udf(_cells, "level array<int>, cx array<bigint>, cy array<bigint>, interior array<boolean>")("xs", "ys")).select("region", "area", "xs", "ys", F.inline(F.arrays_zip("c.level", "c.cx", "c.cy", "c.interior")))
-    return c.select("region", "area", "level", "cx", "cy", "interior", *[F.when(~F.col("interior"), F.col(v)).alias(v) for v in ("xs", "ys")])
+    r = regions.select(F.col(region).alias("region"), F.col(area).alias("area"), F.col(ring_x).cast("array<double>").alias("xs"), F.col(ring_y).cast("array<double>").alias("ys")).where("region is not null and area is not null and size(xs) > 2 and size(xs) = size(ys)")
+    schema = f"region {r.schema['region'].dataType.simpleString()}, area {r.schema['area'].dataType.simpleString()}, level int, cx bigint, cy bigint, interior boolean, " + ", ".join(f"{c} array<double>" for c in ("x1", "y1", "x2", "y2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, areas = b.column(0), b.column(1)
+            rings, at, n = [], [], 0
+            for i, (xs, ys) in enumerate(zip(b.column(2), b.column(3))):
+                if (p := corners(xs.values.to_numpy(zero_copy_only=False), ys.values.to_numpy(zero_copy_only=False))) is not None:
+                    rings.append(p)
+                    at.append(i)
+                    n += len(p)
+                if rings and (n >= CHUNK or i + 1 == b.num_rows):
+                    yield from _batches(rings, ids.take(pa.array(at)), areas.take(pa.array(at)))
+                    rings, at, n = [], [], 0
+            if rings:
+                yield from _batches(rings, ids.take(pa.array(at)), areas.take(pa.array(at)))
+
+    return r.mapInArrow(run, schema)
+
+
+def _batches(rings: list[np.ndarray], ids: pa.Array, areas: pa.Array) -> Iterator[pa.RecordBatch]:
+    g = _Sides(rings)
+    names = ["region", "area", "level", "cx", "cy", "interior", "x1", "y1", "x2", "y2"]
+    for poly, k, cx, cy, inner, side, counts in cover_all(rings):
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v[side])) for v in (g.x1, g.y1, g.x2, g.y2)]
+        of = pa.array(poly)
+        yield pa.RecordBatch.from_arrays([ids.take(of), areas.take(of), pa.array(np.full(len(poly), k, np.int32)), pa.array(cx), pa.array(cy), pa.array(inner), *lists], names=names)
 
 
 def local_rings(regions: DataFrame, areas: DataFrame, area: str = "area_id", lat: str = "building_lat", lon: str = "building_lon") -> DataFrame:
@@ -177,29 +307,38 @@ def containing_regions(points: DataFrame, regions: DataFrame, point: str = "node
 
     Rings may be open or closed and concave; null, empty, unequal or short rings and rings with a null
     or NaN corner contain nothing. Points as in `near_pairs`. Only points in boundary cells are tested.
-    Points of a crowded cell are spread over salts, to which the cells that cover it are copied.
     """
-    tmp = Scratch(points.sparkSession, "inside")
-    cells, _ = tmp.cut(polygon_cells(regions.dropDuplicates([region, ring_x, ring_y]), region, area, ring_x, ring_y))
-    p, _ = tmp.cut(known_points(points, point, area, x, y))
-    # points are placed in cells of the sizes in use only: at most len(SIZES) values are looked up
+    p, _ = Scratch(points.sparkSession, "inside").cut(known_points(points, point, area, x, y))
+    return containing_known(p, regions, area, region, ring_x, ring_y, hot_rows)
+
+
+def containing_known(p: DataFrame, regions: DataFrame, area: str = "area_id", region: str = "building_id", ring_x: str = "xs", ring_y: str = "ys", hot_rows: int = 100_000) -> DataFrame:
+    """`containing_regions` of what `known_points` gave, written to a table.
+
+    Points outside the widest cells in use are dropped first; the others are placed in a cell of each
+    level in use. Points of a crowded cell are spread over salts, to which the cells in it are copied.
+    """
+    rings = regions.select(region, area, ring_x, ring_y).dropDuplicates()
+    cells, _ = Scratch(p.sparkSession, "cells").cut(polygon_cells(rings, region, area, ring_x, ring_y))
+    # a level for each power of 4 between the least cells and the widest polygon
     used = sorted(r[0] for r in cells.select("level").distinct().collect()) or [0]
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / SIZES[k]).cast("bigint").alias("cx"), F.floor(F.col("y") / SIZES[k]).cast("bigint").alias("cy")) for k in used])
-    at = ["area", "level", "cx", "cy"]
-    placed = p.select("id", "area", "x", "y", F.inline(levels))
-    hot = F.broadcast(hot_keys(p.select("area", F.floor(F.col("x") / SIZES[-1]).cast("bigint").alias("hx"), F.floor(F.col("y") / SIZES[-1]).cast("bigint").alias("hy")), ["area", "hx", "hy"], hot_rows))
-    up = lambda c: F.floor((F.col(c) + 0.5) * F.element_at(F.array(*map(F.lit, SIZES)), F.col("level") + 1) / SIZES[-1]).cast("bigint")
-    big = lambda df: df.withColumn("hx", up("cx")).withColumn("hy", up("cy")).join(hot, ["area", "hx", "hy"], "left").withColumn("n_salts", F.coalesce("n_salts", F.lit(1)))
-    placed = big(placed).select(*placed.columns, F.pmod(F.xxhash64("id"), F.col("n_salts")).cast("int").alias("salt"))
-    cells = big(cells).select(*cells.columns, F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"))
-    met = placed.join(cells, [*at, "salt"])
-    return met.where(F.col("interior") | ring_contains("xs", "ys", "x", "y")).select("region", "id").distinct()
-
-
-def ring_contains(xs: str, ys: str, x: str, y: str) -> F.Column:
-    """The exact even-odd test as an expression over arrays of corners."""
-    x1, y1, px, py = F.col(xs), F.col(ys), F.col(x), F.col(y)
-    turned = lambda a: F.concat(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, 1))
-    sides = F.arrays_zip(x1.alias("x1"), y1.alias("y1"), turned(x1).alias("x2"), turned(y1).alias("y2"))
+    top = used[-1]
+    cell = lambda c, k: F.floor(F.col(c) / F.lit(size_of(k))).cast("bigint")
+    wide = ["area", "hx", "hy"]
+    cells = cells.withColumns({h: F.expr(f"shiftright({c}, 2 * ({top} - level))") for h, c in (("hx", "cx"), ("hy", "cy"))})
+    p = p.select("*", cell("x", top).alias("hx"), cell("y", top).alias("hy"))
+    hot = F.broadcast(hot_keys(p.select(*wide), wide, hot_rows))
+    n = F.coalesce("n_salts", F.lit(1))
+    met = p.join(cells.select(*wide).distinct(), wide, "left_semi").join(hot, wide, "left")
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), cell("x", k).alias("cx"), cell("y", k).alias("cy")) for k in used])
+    placed = met.select("id", "area", "x", "y", F.pmod(F.xxhash64("id"), n).cast("int").alias("salt"), F.inline(levels))
+    cells = cells.join(hot, wide, "left").select("region", "area", "level", "cx", "cy", "interior", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+    met = placed.join(cells, ["area", "level", "cx", "cy", "salt"])
+    return met.where(F.col("interior") | sides_contain("x", "y")).select("region", "id").distinct()
+
+
+def sides_contain(x: str, y: str) -> F.Column:
+    """The exact even-odd test as an expression over the deciding sides x1, y1, x2, y2 of a boundary cell."""
+    px, py = F.col(x), F.col(y)
     crosses = lambda s: ((s.y1 > py) != (s.y2 > py)) & (px < (s.x2 - s.x1) * (py - s.y1) / (s.y2 - s.y1) + s.x1)
-    return F.size(F.filter(sides, crosses)) % 2 == 1
+    return F.size(F.filter(F.arrays_zip("x1", "y1", "x2", "y2"), crosses)) % 2 == 1

@@ -33,10 +33,10 @@ def p1_path_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "nodes")
-    near = proximity.near_pairs(nodes, 5.0)
+    nodes, _ = Scratch(spark, "places").cut(proximity.known_points(table(spark, d, "nodes")))
+    near = proximity.near_known(nodes, 5.0)
     rings = proximity.local_rings(table(spark, d, "buildings"), table(spark, d, "map_areas"))
-    inside = proximity.containing_regions(nodes, rings).select(F.col("region").alias("id_1"), F.col("id").alias("id_2"))
+    inside = proximity.containing_known(nodes, rings).select(F.col("region").alias("id_1"), F.col("id").alias("id_2"))
     return near.select(F.lit("near").alias("match_kind"), "*").unionByName(inside.select(F.lit("inside").alias("match_kind"), "*"))
 
 

@@ -79,12 +79,40 @@ def test_cover_splits_interior_from_boundary():
     pts = r.uniform(-10, 70, (3000, 2))
     truth = proximity.contains(p, pts[:, 0], pts[:, 1])
     cells = {(s, int(a), int(b)): bool(i) for s, cx, cy, inner in proximity.cover(p) for a, b, i in zip(cx, cy, inner)}
+    sizes = {s for s, _, _ in cells}
     for (x, y), inside in zip(pts, truth):
-        hit = [cells[k] for s in proximity.SIZES if (k := (s, int(x // s), int(y // s))) in cells]
+        hit = [cells[k] for s in sizes if (k := (s, int(x // s), int(y // s))) in cells]
         assert len(hit) <= 1 and (bool(hit) or not inside) and (not (hit and hit[0]) or inside)
     assert any(cells.values()) and len({s for s, _, _ in cells}) > 1
 
 
+def test_cover_of_any_extent(spark):
+    """A round region of 1,000 km has no more cells than one of 1 km; all points agree with the plain rule."""
+    r = np.random.default_rng(2)
+    turn = np.linspace(0, 2 * np.pi, 200, endpoint=False)
+    sizes, rows, pts = {}, [], []
+    for k, radius in enumerate((15.0, 500.0, 500_000.0, 1e18)):
+        ring = radius * np.stack((np.cos(turn) * 1.1, np.sin(turn) * (1 + 0.3 * np.sin(5 * turn))), axis=1)
+        sizes[radius] = sum(len(cx) for _, cx, _, _ in proximity.cover(ring))
+        rows.append((k, 1, ring[:, 0].tolist(), ring[:, 1].tolist()))
+        pts.append(r.uniform(-1.4, 1.4, (200, 2)) * radius)
+    assert sizes[500_000.0] < 10_000 and sizes[1e18] < 10_000
+    pts = np.concatenate(pts)
+    reg = spark.createDataFrame(rows, "building_id bigint, area_id bigint, xs array<double>, ys array<double>")
+    df = spark.createDataFrame([(i, 1, float(a), float(b)) for i, (a, b) in enumerate(pts)], "node_id bigint, area_id bigint, node_x double, node_y double")
+    want = {(k, i) for k, _, xs, ys in rows for i in np.flatnonzero(proximity.contains(np.array([xs, ys]).T, pts[:, 0], pts[:, 1])).tolist()}
+    assert {tuple(x) for x in proximity.containing_regions(df, reg).collect()} == want
+
+
+def test_containing_keeps_equal_rings_of_two_areas_and_far_places(spark):
+    ring = ([0.0, 10.0, 10.0, 0.0], [0.0, 0.0, 10.0, 10.0])
+    away = ([2e15, 2e15 + 16, 2e15 + 16, 2e15], [0.0, 0.0, 16.0, 16.0])
+    reg = spark.createDataFrame([(1, 1, *ring), (1, 2, *ring), (2, 1, *away)], "building_id bigint, area_id bigint, xs array<double>, ys array<double>")
+    pts = spark.createDataFrame([(1, 1, 5.0, 5.0), (2, 2, 5.0, 5.0), (3, 1, 2e15 + 8, 8.0), (4, 1, 2e15 + 9, 9.0), (5, 1, 1e300, 0.0), (6, 1, float("inf"), 0.0), (7, 1, 1e300, 0.0), (8, 1, 1e300, 6.0)], "node_id bigint, area_id bigint, node_x double, node_y double")
+    assert sorted(map(tuple, proximity.containing_regions(pts, reg).collect())) == [(1, 1), (1, 2), (2, 3), (2, 4)]
+    assert sorted(map(tuple, proximity.near_pairs(pts, 5.0).collect())) == [(3, 4), (5, 7)]
+
+
 def test_containing_regions(spark):
     regions = [(1, 1, [0.0, 10.0, 10.0, 0.0], [0.0, 0.0, 10.0, 10.0]), (1, 1, [0.0, 10.0, 10.0, 0.0], [0.0, 0.0, 10.0, 10.0]), (2, 1, None, None), (3, 1, [], []), (4, 1, [0.0, 1.0], [0.0, 1.0]), (5, 1, [0.0, 9.0, 0.0], [0.0, 0.0, 0.0]), (6, 1, [0.0, None, 3.0], [0.0, 1.0, 2.0]), (7, 1, [0.0, 300.0, 300.0, 0.0, 0.0], [0.0, 0.0, 300.0, 300.0, 0.0]), (8, 2, [0.0, 10.0, 10.0], [0.0, 0.0, 10.0]), (9, 1, [1.0, 2.0, 3.0], [1.0])]
     reg = spark.createDataFrame(regions, "building_id bigint, area_id bigint, xs array<double>, ys array<double>")
