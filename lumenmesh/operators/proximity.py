@@ -14,6 +14,7 @@ cells carry only the sides that can decide about points within them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import isqrt
 
 import numpy as np
@@ -64,41 +65,68 @@ def near_known(p: DataFrame, distance: float, unit: float = 0.01, hot_rows: int
 
     A crowded cell is split in both directions: its points are spread over salts, and so are the discs
     that reach it; each is copied to the salts of the other. The list of such cells has a proven bound:
-    25 for each of those that `hot_keys` gives.
+    (2 * reach + 1) ** 2 for each of those that `crowded` gives.
     """
     r = round(distance / unit)
     s = max(1, isqrt(r * r // 2))  # the diagonal of a cell does not exceed the distance
     reach = -(-r // s)
     snapped = lambda c: F.round(F.col(c) / F.lit(unit)).alias(c)
     cell = lambda c: F.least(F.greatest(F.floor(F.col(c) / F.lit(s)), F.lit(-FAR)), F.lit(FAR)).cast("bigint")
+    # positions within the cell; those of cells that are not told apart stay as they are
+    offset = lambda v, c: F.when(F.abs(F.col(c)) < FAR, F.col(v) - F.col(c) * s).otherwise(F.col(v))
     p = p.select("id", "area", snapped("x"), snapped("y")).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    p = p.select("id", "area", offset("x", "cx").alias("ox"), offset("y", "cy").alias("oy"), "cx", "cy")
     at = ["area", "cx", "cy"]
-    crowd = hot_keys(p, at, hot_rows)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
-    spread = crowd.select("area", "cx", "cy", "n_salts", F.inline(around)).select("area", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"), F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("n_salts")).otherwise(0).alias("own"), "n_salts")
-    hot = F.broadcast(spread.groupBy(*at).agg(F.greatest(F.max("own"), F.lit(1)).alias("n_homes"), F.sum("n_salts").cast("int").alias("n_guests")))
-    n_homes, n_guests = F.coalesce("n_homes", F.lit(1)), F.coalesce("n_guests", F.lit(1))
-    copies = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    salt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    homes = p.join(hot, at, "left").select(*p.columns, salt(n_homes).alias("salt"), copies(n_guests).alias("salt_b"))
+    around = lambda half: F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(0 if half else -reach, reach + 1) for j in range(-reach, reach + 1) if not half or i > 0 or j >= 0]))
+    self_ = (F.col("i") == 0) & (F.col("j") == 0)
+    homes, guests = p.withColumn("salt", F.lit(0)).withColumn("salt_b", F.lit(0)), p.select("*", around(True))
     # the cells of half the neighbourhood that the disc touches, by their least and greatest distance
-    offset = lambda v, c: F.when(F.abs(F.col(c)) < FAR, F.col(v) - F.col(c) * s).otherwise(0.0)
-    ox, oy = offset("x", "cx"), offset("y", "cy")
+    plain = (F.abs(F.col("cx")) < FAR) & (F.abs(F.col("cy")) < FAR)
+    square = lambda v: v * v
     gap = lambda k, o: F.greatest(k * s - o, o - (k + 1) * s + 1, F.lit(0.0))
     far = lambda k, o: F.greatest(F.abs(k * s - o), F.abs((k + 1) * s - 1 - o))
-    half = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(0, reach + 1) for j in range(-reach, reach + 1) if i > 0 or j >= 0])
-    touched = F.filter(half, lambda c: gap(c["i"], ox) * gap(c["i"], ox) + gap(c["j"], oy) * gap(c["j"], oy) <= r * r)
-    near_by = (F.abs(F.col("cx")) < FAR) & (F.abs(F.col("cy")) < FAR)
-    guests = p.select("*", F.inline(touched))
-    certain = near_by & (far(F.col("i"), ox) ** 2 + far(F.col("j"), oy) ** 2 <= r * r)
-    guests = guests.select(F.col("id").alias("id_b"), "id", "area", F.col("x").alias("xb"), F.col("y").alias("yb"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"), ((F.col("i") == 0) & (F.col("j") == 0)).alias("same"), certain.alias("interior"))
-    guests = guests.join(hot, at, "left").select("id_b", "area", "xb", "yb", "cx", "cy", "same", "interior", copies(n_homes).alias("salt"), salt(n_guests).alias("salt_b"))
-    dx, dy = F.col("x") - F.col("xb"), F.col("y") - F.col("yb")
-    met = homes.join(guests, [*at, "salt", "salt_b"]).where(F.when(F.col("same"), F.col("id") < F.col("id_b")).otherwise(F.col("id") != F.col("id_b")) & (F.col("interior") | (dx * dx + dy * dy <= r * r)))
+    i, j, ox, oy = (F.col(c) for c in ("i", "j", "ox", "oy"))
+    guests = guests.where(~plain | (square(gap(i, ox)) + square(gap(j, oy)) <= r * r))
+    shifted = lambda o, c, k: F.when(F.abs(F.col(c)) < FAR, o - k * s).otherwise(o)
+    guests = guests.select(F.col("id").alias("id_b"), "area", shifted(ox, "cx", i).alias("xb"), shifted(oy, "cy", j).alias("yb"), (F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), self_.alias("same"), (plain & (square(far(i, ox)) + square(far(j, oy)) <= r * r)).alias("interior"))
+    guests = guests.withColumn("salt", F.lit(0)).withColumn("salt_b", F.lit(0))
+    steps = [[F.col("area"), *[F.floor(F.col(c) / k).alias(c) for c in ("cx", "cy")]] for k in (256, 16, 1)]
+    if (crowd := crowded(p, at, steps, hot_rows)[-1]) is not None:
+        spread = crowd.select(*at, "n_salts", around(False)).select("area", (F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.when(self_, F.col("n_salts")).otherwise(1).alias("own"), "n_salts")
+        hot = F.broadcast(spread.groupBy(*at).agg(F.max("own").alias("n_homes"), F.sum("n_salts").cast("int").alias("n_guests")))
+        n_homes, n_guests = F.coalesce("n_homes", F.lit(1)), F.coalesce("n_guests", F.lit(1))
+        copies = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        salt = lambda v, n: F.pmod(F.xxhash64(v), n).cast("int")
+        homes = p.join(hot, at, "left").select(*p.columns, salt("id", n_homes).alias("salt"), copies(n_guests).alias("salt_b"))
+        guests = guests.drop("salt", "salt_b").join(hot, at, "left").select(*guests.columns[:-2], copies(n_homes).alias("salt"), salt("id_b", n_guests).alias("salt_b"))
+    dx, dy = F.col("ox") - F.col("xb"), F.col("oy") - F.col("yb")
+    met = homes.join(guests, [*at, "salt", "salt_b"] if crowd is not None else at).where(F.when(F.col("same"), F.col("id") < F.col("id_b")).otherwise(F.col("id") != F.col("id_b")) & (F.col("interior") | (dx * dx + dy * dy <= r * r)))
     # a pair meets in one cell only, unless an id has several positions
     return met.select(F.least("id", "id_b").alias("id_1"), F.greatest("id", "id_b").alias("id_2")).distinct()
 
 
+def crowded(p: DataFrame, names: list[str], steps: list[list[F.Column]], hot_rows: int) -> list[DataFrame | None]:
+    """For each step, from wide cells to narrow ones within them, the cells of too many points, as `hot_keys` has them.
+
+    Narrow cells are counted only within crowded wide ones; None stands for no crowd. The lists are small
+    tables of a proven bound.
+    """
+    rows, out, within = p.count(), [], None
+    tmp = Scratch(p.sparkSession, "crowds")
+    for step in steps:
+        if rows <= hot_rows or (out and out[-1] is None):
+            out.append(None)
+            continue
+        q = p
+        if within is not None:
+            wide, found = within
+            q = p.withColumns({f"_{n}": c for n, c in zip(names, wide)}).join(F.broadcast(found.select(*[F.col(n).alias(f"_{n}") for n in names])), [f"_{n}" for n in names], "left_semi")
+        found, _ = tmp.cut(hot_keys(q.select(*[c.alias(n) for n, c in zip(names, step)]), names, hot_rows, total=rows))
+        within = step, found
+        out.append(None if found.isEmpty() else found)
+    return out
+
+
 def corners(ring_x: np.ndarray, ring_y: np.ndarray) -> np.ndarray | None:
     """The corners of a ring without the repeated first one; None if it has fewer than three or a bad value."""
     if ring_x is None or ring_y is None or len(ring_x) != len(ring_y) or len(ring_x) < 3:
@@ -315,26 +343,30 @@ def containing_regions(points: DataFrame, regions: DataFrame, point: str = "node
 def containing_known(p: DataFrame, regions: DataFrame, area: str = "area_id", region: str = "building_id", ring_x: str = "xs", ring_y: str = "ys", hot_rows: int = 100_000) -> DataFrame:
     """`containing_regions` of what `known_points` gave, written to a table.
 
-    Points outside the widest cells in use are dropped first; the others are placed in a cell of each
-    level in use. Points of a crowded cell are spread over salts, to which the cells in it are copied.
+    Points are joined with the cells of each level in use; those of a crowded cell are spread over salts,
+    to which the polygons' cells there are copied.
     """
+    tmp = Scratch(p.sparkSession, "cells")
     rings = regions.select(region, area, ring_x, ring_y).dropDuplicates()
-    cells, _ = Scratch(p.sparkSession, "cells").cut(polygon_cells(rings, region, area, ring_x, ring_y))
-    # a level for each power of 4 between the least cells and the widest polygon
-    used = sorted(r[0] for r in cells.select("level").distinct().collect()) or [0]
-    top = used[-1]
-    cell = lambda c, k: F.floor(F.col(c) / F.lit(size_of(k))).cast("bigint")
-    wide = ["area", "hx", "hy"]
-    cells = cells.withColumns({h: F.expr(f"shiftright({c}, 2 * ({top} - level))") for h, c in (("hx", "cx"), ("hy", "cy"))})
-    p = p.select("*", cell("x", top).alias("hx"), cell("y", top).alias("hy"))
-    hot = F.broadcast(hot_keys(p.select(*wide), wide, hot_rows))
-    n = F.coalesce("n_salts", F.lit(1))
-    met = p.join(cells.select(*wide).distinct(), wide, "left_semi").join(hot, wide, "left")
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), cell("x", k).alias("cx"), cell("y", k).alias("cy")) for k in used])
-    placed = met.select("id", "area", "x", "y", F.pmod(F.xxhash64("id"), n).cast("int").alias("salt"), F.inline(levels))
-    cells = cells.join(hot, wide, "left").select("region", "area", "level", "cx", "cy", "interior", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
-    met = placed.join(cells, ["area", "level", "cx", "cy", "salt"])
-    return met.where(F.col("interior") | sides_contain("x", "y")).select("region", "id").distinct()
+    cells, path = tmp.cut(polygon_cells(rings, region, area, ring_x, ring_y), by="level")
+    # a level for each power of RATIO between the least cells and the widest polygon
+    used = sorted((r[0] for r in cells.select("level").distinct().collect()), reverse=True)
+    at = ["area", "cx", "cy"]
+    cell = lambda c, k: F.floor(F.col(c) / F.lit(size_of(k))).cast("bigint").alias(f"c{c}")
+    steps = [[F.col("area"), cell("x", k), cell("y", k)] for k in used]
+    met = []
+    for k, step, hot in zip(used, steps, crowded(p, at, steps, hot_rows)):
+        # read alone, so that the planner knows the size of each level
+        some = p.sparkSession.read.schema(cells.drop("level").schema).parquet(f"{path}/level={k}")
+        placed, keys = p.select("id", "x", "y", *step), at
+        if hot is not None:
+            n, keys = F.coalesce("n_salts", F.lit(1)), [*at, "salt"]
+            placed = placed.join(F.broadcast(hot), at, "left").select(*placed.columns, F.pmod(F.xxhash64("id"), n).cast("int").alias("salt"))
+            some = some.join(F.broadcast(hot), at, "left").select(*some.columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+        met.append(placed.join(some, keys).where(F.col("interior") | sides_contain("x", "y")).select("region", "id"))
+    if not met:
+        return cells.join(p, F.lit(False)).select("region", "id")
+    return reduce(DataFrame.union, met).distinct()
 
 
 def sides_contain(x: str, y: str) -> F.Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(cpus: str | int = "*", app: str = "lumenmesh", **conf: str) -> SparkSession:
@@ -38,11 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 
-    Only where the session names none (tests, local runs) a temporary folder is made and set.
+    Where the session names none, a temporary folder of this machine is made and set if the master is local;
+    on a cluster its executors would each write to a disk of their own, so there it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lumenmesh-")
+        atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -51,24 +59,52 @@ class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     Unlike an executor-local cache they survive the loss of any executor. `drop` removes one as soon
-    as no later step reads it, so an iterative operator keeps only its last rounds on disk.
+    as no later step reads it, so an iterative operator keeps only its last rounds on disk. What a result
+    still reads has to outlive this object: `clean` removes it once results are written, and so does the
+    end of the Python process that made it.
     """
 
+    made: ClassVar[dict[str, SparkSession]] = {}
+
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def cut(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def cut(self, df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+        """(the table as read again, its path); with `by`, in a folder for each value of that column."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
+        self.made[self.root] = self.spark
+        (df.write if by is None else df.write.partitionBy(by)).parquet(path)
+        kept = df.schema if by is None else T.StructType([f for f in df.schema if f.name != by] + [df.schema[by]])
+        return self.spark.read.schema(kept).parquet(path), path
 
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, path)
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> None:
+        """Removes all tables of a session; results that are not written yet can't be read after this."""
+        for root in [r for r, s in cls.made.items() if s is spark]:
+            _delete(spark, root)
+            del cls.made[root]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean_at_exit() -> None:
+    for spark in {id(s): s for s in Scratch.made.values()}.values():
+        try:
+            Scratch.clean(spark)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            pass
+
+
+atexit.register(_clean_at_exit)
 
 
 def hot_keys(df: DataFrame, keys: list[str], threshold: int, max_hot: int = 10_000, total: int | None = None) -> DataFrame:
@@ -82,6 +118,3 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int, max_hot: int = 10_0
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("n_salts"))
 
-
-def env_dir(name: str, default: str) -> str:
-    return os.environ.get(name, default)
