@@ -5,9 +5,10 @@ those that its outline touches are boundary cells and are split further. Points
 with an interior cell is accepted as it is, only one with a boundary cell gets the exact test.
 
 Near pairs: the region of a point is the disc around it, covered by cells whose diagonal does not exceed the
-distance. Each disc lists just the cells it touches, of half its neighbourhood, so each pair meets once.
+distance: its own cell is interior, of the others each disc lists those of half the neighbourhood that it
+touches, so each pair meets once.
 
-Containing regions: polygons are covered by cells of 4 m times powers of 4, whatever their extent. Boundary
+Containing regions: polygons are covered by cells of 8 m times powers of 4, whatever their extent. Boundary
 cells carry only the sides that can decide about points within them.
 """
 
@@ -27,7 +28,7 @@ from ..session import Scratch, hot_keys
 #: Metres of a degree of latitude, as the data's local metres define it (a fixed value).
 METRES_PER_DEGREE = 111320
 #: Width in metres of the cells of level 0; those of the next level are RATIO times as wide.
-LEAST_SIZE, RATIO = 4.0, 4
+LEAST_SIZE, RATIO = 8.0, 4
 #: Levels below the first one of a polygon. Its outline is followed down to this part of its extent; what is
 #: coarser than level 0 then is left to the exact test.
 DEPTH = 4
@@ -77,30 +78,36 @@ def near_known(p: DataFrame, distance: float, unit: float = 0.01, hot_rows: int
     p = p.select("id", "area", snapped("x"), snapped("y")).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
     p = p.select("id", "area", offset("x", "cx").alias("ox"), offset("y", "cy").alias("oy"), "cx", "cy")
     at = ["area", "cx", "cy"]
-    around = lambda half: F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(0 if half else -reach, reach + 1) for j in range(-reach, reach + 1) if not half or i > 0 or j >= 0]))
-    self_ = (F.col("i") == 0) & (F.col("j") == 0)
-    homes, guests = p.withColumn("salt", F.lit(0)).withColumn("salt_b", F.lit(0)), p.select("*", around(True))
+    around = lambda half: F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(0 if half else -reach, reach + 1) for j in range(-reach, reach + 1) if not half or i > 0 or j > 0]))
+    i, j, ox, oy = (F.col(c) for c in ("i", "j", "ox", "oy"))
     # the cells of half the neighbourhood that the disc touches, by their least and greatest distance
     plain = (F.abs(F.col("cx")) < FAR) & (F.abs(F.col("cy")) < FAR)
     square = lambda v: v * v
     gap = lambda k, o: F.greatest(k * s - o, o - (k + 1) * s + 1, F.lit(0.0))
     far = lambda k, o: F.greatest(F.abs(k * s - o), F.abs((k + 1) * s - 1 - o))
-    i, j, ox, oy = (F.col(c) for c in ("i", "j", "ox", "oy"))
-    guests = guests.where(~plain | (square(gap(i, ox)) + square(gap(j, oy)) <= r * r))
+    discs = p.select("*", around(True)).where(~plain | (square(gap(i, ox)) + square(gap(j, oy)) <= r * r))
     shifted = lambda o, c, k: F.when(F.abs(F.col(c)) < FAR, o - k * s).otherwise(o)
-    guests = guests.select(F.col("id").alias("id_b"), "area", shifted(ox, "cx", i).alias("xb"), shifted(oy, "cy", j).alias("yb"), (F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), self_.alias("same"), (plain & (square(far(i, ox)) + square(far(j, oy)) <= r * r)).alias("interior"))
-    guests = guests.withColumn("salt", F.lit(0)).withColumn("salt_b", F.lit(0))
+    inner = plain & (square(far(i, ox)) + square(far(j, oy)) <= r * r)
+    discs = discs.select(F.col("id").alias("id_b"), "area", shifted(ox, "cx", i).alias("xb"), shifted(oy, "cy", j).alias("yb"), (F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), inner.alias("interior"))
     steps = [[F.col("area"), *[F.floor(F.col(c) / k).alias(c) for c in ("cx", "cy")]] for k in (256, 16, 1)]
+    homes, keys, split = p, at, lambda df, v, as_home: df
     if (crowd := crowded(p, at, steps, hot_rows)[-1]) is not None:
-        spread = crowd.select(*at, "n_salts", around(False)).select("area", (F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.when(self_, F.col("n_salts")).otherwise(1).alias("own"), "n_salts")
-        hot = F.broadcast(spread.groupBy(*at).agg(F.max("own").alias("n_homes"), F.sum("n_salts").cast("int").alias("n_guests")))
-        n_homes, n_guests = F.coalesce("n_homes", F.lit(1)), F.coalesce("n_guests", F.lit(1))
-        copies = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        salt = lambda v, n: F.pmod(F.xxhash64(v), n).cast("int")
-        homes = p.join(hot, at, "left").select(*p.columns, salt("id", n_homes).alias("salt"), copies(n_guests).alias("salt_b"))
-        guests = guests.drop("salt", "salt_b").join(hot, at, "left").select(*guests.columns[:-2], copies(n_homes).alias("salt"), salt("id_b", n_guests).alias("salt_b"))
-    dx, dy = F.col("ox") - F.col("xb"), F.col("oy") - F.col("yb")
-    met = homes.join(guests, [*at, "salt", "salt_b"] if crowd is not None else at).where(F.when(F.col("same"), F.col("id") < F.col("id_b")).otherwise(F.col("id") != F.col("id_b")) & (F.col("interior") | (dx * dx + dy * dy <= r * r)))
+        near = crowd.select("area", "cx", "cy", "n_salts", around(False)).select("area", (F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(1).alias("n_homes"), "n_salts")
+        near = near.union(crowd.select(*at, "n_salts", "n_salts")).groupBy(*at).agg(F.max("n_homes").alias("n_homes"), F.sum("n_salts").cast("int").alias("n_discs"))
+        hot, keys = F.broadcast(near), [*at, "salt", "salt_b"]
+        sizes = {c: F.coalesce(c, F.lit(1)) for c in ("n_homes", "n_discs")}
+
+        def split(df: DataFrame, v: str, as_home: bool) -> DataFrame:
+            mine, others = ("n_homes", "n_discs") if as_home else ("n_discs", "n_homes")
+            salt, copy = F.pmod(F.xxhash64(v), sizes[mine]).cast("int"), F.explode(F.sequence(F.lit(0), sizes[others] - 1))
+            return df.join(hot, at, "left").select(*df.columns, *([salt.alias("salt"), copy.alias("salt_b")] if as_home else [copy.alias("salt"), salt.alias("salt_b")]))
+
+    homes = split(p, "id", True)
+    exact = lambda a, b: square(ox - F.col(a)) + square(oy - F.col(b)) <= r * r
+    others = split(p, "id", False).withColumnsRenamed({"id": "id_b", "ox": "xb", "oy": "yb"})
+    same = homes.join(others, keys).where((F.col("id") < F.col("id_b")) & (plain | exact("xb", "yb")))
+    apart = homes.join(split(discs, "id_b", False), keys).where((F.col("id") != F.col("id_b")) & (F.col("interior") | exact("xb", "yb")))
+    met = same.select("id", "id_b").union(apart.select("id", "id_b"))
     # a pair meets in one cell only, unless an id has several positions
     return met.select(F.least("id", "id_b").alias("id_1"), F.greatest("id", "id_b").alias("id_2")).distinct()
 
