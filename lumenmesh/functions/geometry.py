@@ -166,7 +166,7 @@ def crosses(ax: Column, ay: Column, bx: Column, by: Column, ring: Column, eps: f
         return F.when((F.abs(den) > eps) & (t > 0) & (t < 1) & (v >= -eps) & (v <= 1 + eps), t)
 
     cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(sides, cut), lambda t: t.isNotNull())))
-    spans = F.filter(F.zip_with(cuts, F.slice(cuts, 2, 10_000), lambda p, q: F.when(q - p > 1e-7, (p + q) / 2)), lambda m: m.isNotNull())
+    spans = F.filter(F.zip_with(cuts, F.slice(cuts, F.lit(2), F.size(cuts)), lambda p, q: F.when(q - p > 1e-7, (p + q) / 2)), lambda m: m.isNotNull())
 
     def side_of(m: Column) -> Column:
         """1 strictly inside, -1 strictly outside, 0 on the outline."""

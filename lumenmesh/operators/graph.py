@@ -130,32 +130,33 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_hops: int = 1_000_000) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame, together: bool = False) -> DataFrame:
     """(source, node_id, hops, parent): shortest paths by hops from each source; parent is the least one.
 
-    sources: node_id. A source has hops 0 and a null parent; nodes out of reach have no row.
+    sources: node_id. A source has hops 0 and a null parent; nodes out of reach have no row. With `together`
+    all sources spread as one front: each node has one row, of the least source that is nearest.
+    Levels are appended to one table until one reaches nothing new, so the plan does not grow with the depth.
     """
     tmp = Scratch(edges.sparkSession, "bfs")
     both = edges.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.a", "e.b").where("a is not null and b is not null and a <> b").distinct()
     both, _ = tmp.cut(both)
-    seen, _ = tmp.cut(sources.where("node_id is not null").select(F.col("node_id").cast("bigint").alias("source"), F.col("node_id").cast("bigint").alias("node_id"), F.lit(0).alias("hops"), F.lit(None).cast("bigint").alias("parent")).distinct())
-    levels, front, hops = [seen], seen, 0
-    last: DataFrame | None = None
-    while hops < max_hops:
-        hops += 1
-        reached = front.select("source", F.col("node_id").alias("a")).join(both, "a").groupBy("source", F.col("b").alias("node_id")).agg(F.min("a").alias("parent"))
+    keys = ["node_id"] if together else ["source", "node_id"]
+    start = sources.where("node_id is not null").select(F.col("node_id").cast("bigint").alias("source"), F.col("node_id").cast("bigint").alias("node_id"), F.lit(0).alias("hops"), F.lit(None).cast("bigint").alias("parent")).distinct()
+    fronts, path = [], f"{tmp.root}/levels"
+    level = lambda k: edges.sparkSession.read.schema(start.schema).parquet(f"{path}/hops_no={k}")
+    start.write.parquet(f"{path}/hops_no=0")
+    fronts.append(level(0))
+    while not fronts[-1].isEmpty():
+        told = fronts[-1].select("source", F.col("node_id").alias("a")).join(both, "a").select("source", F.col("b").alias("node_id"), "a")
+        best = F.min(F.struct("source", "a")).alias("m") if together else F.min(F.struct("a")).alias("m")
+        reached = told.groupBy(*keys).agg(best)
         # what a level reaches lies in that level, the one before or the next
-        for old in [front] + ([last] if last is not None else []):
-            reached = reached.join(old.select("source", "node_id"), ["source", "node_id"], "left_anti")
-        nxt, _ = tmp.cut(reached.select("source", "node_id", F.lit(hops).alias("hops"), "parent"))
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        last, front = front, nxt
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+        for old in fronts[-2:]:
+            reached = reached.join(old.select(*keys), keys, "left_anti")
+        k = len(fronts)
+        reached.select(F.col("m.source") if together else F.col("source"), "node_id", F.lit(k).alias("hops"), F.col("m.a").alias("parent")).write.parquet(f"{path}/hops_no={k}")
+        fronts.append(level(k))
+    return edges.sparkSession.read.schema(start.schema).parquet(path).select("source", "node_id", "hops", "parent")
 
 
 def path_edges(paths: DataFrame, path: str = "path") -> DataFrame:

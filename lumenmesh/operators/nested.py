@@ -95,7 +95,7 @@ def label_record(payload: str | None, payload_kind: str | None) -> list[dict]:
             if isinstance(root, dict) and isinstance(root.get("osm"), dict):
                 root = root["osm"]
     except (ValueError, RecursionError, ET.ParseError) as e:
-        return [{"error": f"{type(e).__name__}: {e}"[:300]}]
+        return [{"error": f"{type(e).__name__}: {e}"}]
     known: dict[tuple[int, ...], tuple[str, str, str | None]] = {(): ("", "extract", None)}
     out: list[dict] = []
     stack: list[tuple[tuple[int, ...], object]] = [((), root)]

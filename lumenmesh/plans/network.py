@@ -254,7 +254,7 @@ def component_count(spark, d):
 
 
 def bfs_levels(spark, d):
-    return graph.bfs(edges(spark, d).where("con_type = 'short'"), gateways(spark, d)).groupBy("node_id").agg(F.min("hops").alias("hops"))
+    return graph.bfs(edges(spark, d).where("con_type = 'short'"), gateways(spark, d), together=True).select("node_id", "hops")
 
 
 def shortest_path_lengths(spark, d):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import Scratch
 
 NODE = "_id bigint, _lat double, _lon double"
 _TAGS = "array<struct<_k: string, _v: string>>"
@@ -63,6 +64,17 @@ def local_metres(rings: DataFrame) -> DataFrame:
 
 
 def corner_nodes(rings: DataFrame) -> DataFrame:
-    """(node_id, building_id, x, y): every corner is a node; ids follow building and position."""
-    c = rings.select("building_id", F.posexplode("ring").alias("pos", "p"))
-    return c.select((F.col("building_id") * 1_000_000 + F.col("pos")).alias("node_id"), "building_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    """(node_id, building_id, pos, x, y): every corner is a node; ids are consecutive, in the order of building and position.
+
+    Buildings are numbered by the corners before them: counts of ranges of buildings are summed first, so that
+    no task sees more than a range.
+    """
+    sized = rings.where("building_id is not null and size(ring) > 0").select("building_id", "ring", F.size("ring").cast("bigint").alias("n"))
+    spark = rings.sparkSession
+    ranged, _ = Scratch(spark, "corners").cut(sized.repartitionByRange("building_id").sortWithinPartitions("building_id").withColumn("part", F.spark_partition_id()))
+    # as many rows as ranges; windows over ranges and within each of them
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("n"))
+    offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("building_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    first = ranged.withColumn("within", within).join(offsets, "part").select("building_id", (F.col("before") + F.col("within")).alias("first"), F.posexplode("ring").alias("pos", "p"))
+    return first.select((F.col("first") + F.col("pos")).alias("node_id"), "building_id", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
