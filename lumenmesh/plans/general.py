@@ -70,8 +70,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     """All rows of all files: the known result columns, and two approved fields replayed from the rescue column."""
-    files = table(spark, d, "stat_files")
-    rows = drift.ingest(files, drift.timeline(files), stats.RESULT_ROW)
+    rows = drift.ingest(table(spark, d, "stat_files"), stats.RESULT_ROW)
     return drift.promote(rows, {"run_seconds": "double", "remark": "string"})
 
 

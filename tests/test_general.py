@@ -223,13 +223,12 @@ def test_ingest_rescues_and_promotes(spark):
     t = datetime(2024, 1, 1)
     rows = [(1, 1, 1, ",", "a,b", "1,2\n3,x", t), (2, 1, 2, ",", "a,bb,extra", "5,6,7.5\n", t), (3, 1, 3, ",", None, "8,9,10,11", t), (3, 1, 3, ",", None, "8,9,10,12", t + timedelta(1)), (4, 2, 1, ",", None, "1", t), (5, None, 1, ",", "a", "1", t), (6, 1, 4, ",", "a", None, t)]
     files = spark.createDataFrame(rows, FILE)
-    read = drift.timeline(files)
-    got = drift.ingest(files, read, {"a": "int", "b": "int"})
+    got = drift.ingest(files, {"a": "int", "b": "int"})
     by = {(r["file_id"], r["row_no"]): (r["a"], r["b"], r["_rescued"]) for r in got.collect()}
-    assert by == {(1, 1): (1, 2, None), (1, 2): (3, None, '{"b":"x"}'), (2, 1): (5, 6, '{"extra":"7.5"}'), (3, 1): (8, 9, '{"extra":"10","field_4":"12"}'), (4, 1): (None, None, '{"field_1":"1"}')}
+    assert by == {(1, 1): (1, 2, None), (1, 2): (3, None, '{"b":"x"}'), (2, 1): (5, 6, '{"extra":"7.5"}'), (3, 1): (8, 9, '{"extra":"10","field_4":"12"}'), (4, 1): (None, None, '{"field_1":"1"}'), (5, 1): (1, None, None)}
     more = drift.promote(got, {"extra": "double", "b": "string"})
     by = {(r["file_id"], r["row_no"]): (r["b"], r["extra"], r["_rescued"]) for r in more.collect()}
-    assert by == {(1, 1): ("2", None, None), (1, 2): ("x", None, None), (2, 1): ("6", 7.5, None), (3, 1): ("9", 10.0, '{"field_4":"12"}'), (4, 1): (None, None, '{"field_1":"1"}')}
+    assert by == {(1, 1): ("2", None, None), (1, 2): ("x", None, None), (2, 1): ("6", 7.5, None), (3, 1): ("9", 10.0, '{"field_4":"12"}'), (4, 1): (None, None, '{"field_1":"1"}'), (5, 1): (None, None, None)}
     assert drift.changes(drift.timeline(files.limit(0))).count() == 0
 
 
