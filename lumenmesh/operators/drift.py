@@ -316,7 +316,7 @@ def timeline(files: DataFrame, least_block: int = 256) -> DataFrame:
     header keeps the layout before it; before the first header there is none, and no change. An empty
     table gives no rows. Extra columns are ignored.
     """
-    return timeline_of(profiles(files), least_block)
+    return timeline_of(Scratch(files.sparkSession, "profiles").cut(profiles(files))[0], least_block)
 
 
 def timeline_of(found: DataFrame, least_block: int = 256) -> DataFrame:
