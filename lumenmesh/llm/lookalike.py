@@ -96,13 +96,21 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
+class _Rewriter:
+    """The automaton of a set of rules, and the characters without which it rewrites nothing."""
+
+    def __init__(self, rules: tuple[tuple[str, str], ...]):
+        self.automaton = ahocorasick.Automaton()
+        # one character of each rule that is the rarest kind it has
+        self.signs = frozenset(max(x) for x, _ in rules)
+        for x, y in rules:
+            self.automaton.add_word(x, (len(x), y))
+        self.automaton.make_automaton()
+
+
 @lru_cache(maxsize=8)
-def _automaton(rules: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for x, y in rules:
-        a.add_word(x, (len(x), y))
-    a.make_automaton()
-    return a
+def _rewriter(rules: tuple[tuple[str, str], ...]) -> _Rewriter:
+    return _Rewriter(rules)
 
 
 def rules_of(counts: dict[str, int] | None = None) -> tuple[tuple[str, str], ...]:
@@ -111,11 +119,13 @@ def rules_of(counts: dict[str, int] | None = None) -> tuple[tuple[str, str], ...
 
 def canonical(text: str, rules: tuple[tuple[str, str], ...]) -> str:
     """The consistent form of a text; a second application changes nothing."""
-    automaton = _automaton(rules)
-    t = unicodedata.normalize("NFD", text)
+    rewriter = _rewriter(rules)
+    t = text if text.isascii() else unicodedata.normalize("NFD", text)
     while True:
+        if rewriter.signs.isdisjoint(t):
+            return t if t.isascii() else unicodedata.normalize("NFC", t)
         out, at = [], 0
-        for end, (n, y) in automaton.iter_long(t):
+        for end, (n, y) in rewriter.automaton.iter_long(t):
             out += (t[at : end + 1 - n], y)
             at = end + 1
         if not out:

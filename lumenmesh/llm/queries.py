@@ -38,7 +38,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Which items leaked, into how many documents."""
     found = leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_runs").alias("longest"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_runs").alias("most_places"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -111,6 +111,14 @@ def test_words_of_dressed_text():
     assert leakage.words_of("STRASSE", RULES) == leakage.words_of("Straße", RULES)
 
 
+def test_brackets_that_are_no_markup():
+    for t in ("if a <b and then many words follow here until c > d", "[figure] if a <b and then many words follow here until c > d [see above]", "1 <2 or 3> 2", "a<b>c</b>"):
+        got = leakage.words_of(t, RULES)
+        assert got == [w for w in "".join(c if c.isalnum() else " " for c in t.replace("<b>", " ").replace("</b>", " ")).split()]
+    for t in ("<B CLASS='x'>a", "<x-note data-k=1 />a", "[URL=http://x.example/a?b=c]a[/URL]", "[quote author=x date=12]a[/quote]", "<!-- b > c -->a", "<br/>a<hr>", "<input disabled>a", "[*]a", "<td nowrap colspan=2>a"):
+        assert leakage.words_of(t, RULES) == ["a"], t
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_search_loses_no_run(seed):
     r = random.Random(seed)
@@ -149,6 +157,26 @@ def test_leaked_table(spark):
     assert leakage.leaked(d.limit(0), i).count() == 0 and leakage.leaked(d, i.limit(0)).count() == 0
 
 
+def test_many_items_read_the_documents_once(spark):
+    """60,000 items in three indexes: the texts are read into words once, and nothing is lost."""
+    r = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = [_item(r, vocabulary, 16) for _ in range(60_000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    want = {(n, 997 * n) for n in range(1, 60)}
+    docs = [(n, f"{_item(r, vocabulary, 30)} <i>{' '.join(texts[i].split()[1:15])}</i> {_item(r, vocabulary, 30)}") for n, i in sorted(want)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").mapInPandas(counted, "doc_id bigint, text string")
+    got = leakage.leaked(df, items)
+    assert {tuple(x)[:2] for x in got.collect()} == want and reads.value == len(docs)
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(0, 40), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_plan_places_everything_once(counts):
