@@ -59,6 +59,7 @@ SAME = [
     ("　", " "), ("раураl", "paypal"), ("ΑΒΕ", "ABE"), ("ⅿaⅰⅼ", "mail"), ("ⅻ", "xii"), ("ё", "ë"), ("е́", "é"), ("ｶﾞ", "ガ"), ("﻿x", "x"), ("𠀀a⁠", "𠀀a"),
     ("a‍́", "á"), ("ﬁne", "fine"), ("ø", "o​̸"), ("", "‎"),
 ]
+SAME += [("ραυl", "paul"), ("ᎪᏢ ꓐꓳ Ⲟ", "AP BO O"), ("𝐀𝑏𝟗", "Ab9"), ("ℓ", "l"), ("ǆ", "dž"), ("ĳ", "ij"), ("wait…", "wait..."), ("‼", "!!"), ("co‑op", "co-op"), ("іij", "iĳ"), ("ⅰii", "ⅲ")]
 OTHER = [("résumé", "resume"), ("Node", "node"), ("patterns", "pattems"), ("1", "①"), ("m2", "m²"), ("l", "1"), ("O", "0"), ("a b", "a  b"), ("a。", "a."), ("ß", "β"), ("a\nb", "a b"), ("й", "и"), ("ä", "a")]
 
 
@@ -95,6 +96,10 @@ def test_pairs_and_classes(spark):
     assert (0, 3) not in want and (6, 7) in want and (8, 9) in want
     cls = {r["doc_id"]: (r["class_id"], r["n_spellings"]) for r in lookalike.look_classes(df).collect()}
     assert cls[3] == (0, 3) and cls[10] == (10, 1) and 5 not in cls
+    links = {r["doc_id"]: r["n_links"] for r in lookalike.look_classes(df).collect()}
+    assert links == {i: sum(i in p for p in want) for i in looks}
+    for block in (1, 2):
+        assert {tuple(x) for x in lookalike.look_alike_pairs(df, block=block).collect()} == want
     assert lookalike.look_alike_pairs(df.limit(0)).count() == 0
 
 
