@@ -106,38 +106,46 @@ class Index:
     def search(self, terms: set[int]) -> list[int]:
         """Items whose score for the terms reaches 1, by block-max WAND."""
         found = []
-        end = len(self.ids)
-        cursors = sorted([self.docs[t][0], t, 0] for t in terms)  # next item, term, position; kept in order
-        while cursors:
-            bound, pivot = 0.0, None
+        docs, weights, blocks, most = self.docs, self.weights, self.blocks, self.most
+        cursors = sorted([docs[t][0], t, 0] for t in terms)  # next item, term, position; kept in order
+        while True:
+            bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += self.most[c[1]]
+                bound += most[c[1]]
                 if bound >= 1:
                     pivot = k
                     break
-            if pivot is None:
+            if pivot < 0:
                 return found
             item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+            pivot += 1
+            while pivot < len(cursors) and cursors[pivot][0] == item:
                 pivot += 1
-            ahead = cursors[: pivot + 1]
+            ahead = cursors[:pivot]
+            del cursors[:pivot]
             # the blocks that would hold the pivot item bound its score more tightly
-            spots = [bisect_left(self.docs[t], item, at) for _, t, at in ahead]
-            bound = sum(self.blocks[c[1]][s // BLOCK] for c, s in zip(ahead, spots) if s < len(self.docs[c[1]]))
-            if bound >= 1:
-                score = sum(self.weights[c[1]][s] for c, s in zip(ahead, spots) if s < len(self.docs[c[1]]) and self.docs[c[1]][s] == item)
-                if score >= 1:
-                    found.append(item)
-                after = item + 1
-            else:  # no item before the first of these blocks ends, or before the next cursor, can do
-                ends = [self.docs[c[1]][min(len(self.docs[c[1]]), (s // BLOCK + 1) * BLOCK) - 1] + 1 for c, s in zip(ahead, spots) if s < len(self.docs[c[1]])]
-                after = max(item + 1, min([*ends, *(c[0] for c in cursors[pivot + 1 : pivot + 2])], default=end))
+            bound = score = 0.0
+            for c in ahead:
+                t, of = c[1], docs[c[1]]
+                c[2] = s = c[2] if c[0] >= item else bisect_left(of, item, c[2])
+                if s < len(of):
+                    bound += blocks[t][s // BLOCK]
+                    if of[s] == item:
+                        score += weights[t][s]
+            after = item + 1
+            if score >= 1:
+                found.append(item)
+            elif bound < 1:  # no item before the first of these blocks ends, or before the next cursor, can do
+                ends = [docs[t][min(len(docs[t]), (s // BLOCK + 1) * BLOCK) - 1] + 1 for _, t, s in ahead if s < len(docs[t])]
+                after = max(after, min([*ends, *(c[0] for c in cursors[:1])], default=after))
             # only the cursors that moved are put back in their places
-            del cursors[: pivot + 1]
-            for (_, t, _), s in zip(ahead, spots):
-                if (k := bisect_left(self.docs[t], after, s)) < len(self.docs[t]):
-                    insort(cursors, [self.docs[t][k], t, k])
-        return found
+            for c in ahead:
+                of, s = docs[c[1]], c[2]
+                if s < len(of) and of[s] < after:
+                    s = s + 1 if of[s] + 1 == after else bisect_left(of, after, s)
+                if s < len(of):
+                    c[0], c[2] = of[s], s
+                    insort(cursors, c)
 
     def stretches(self, words: list[str]) -> Iterator[tuple[int, int, list[int]]]:
         """Longest stretches of words each of which follows the one before it in some item too, with their terms.
