@@ -1,7 +1,8 @@
 """A grammar for numbers with unit expressions, in texts of any kind.
 
     quantity   = number [unit]
-    unit       = factor { ("/" | "per" | "*" | "·" | " ") factor }
+    number     = digits, plain or in groups of three, [decimals] [exponent]
+    unit       = factor { ("/" | "per" | "a" | "each" | "every" | "*" | "·" | " ") factor }
     factor     = [prefix] symbol [["^"] exponent]
 
 A unit is a vector of exponents over base dimensions, with a scale and an offset to the canonical unit of
@@ -14,7 +15,7 @@ import re
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 #: Base dimensions, in the order of the exponent vectors. Canonical units: bit, second, metre, kilogram, kelvin.
 DIMENSIONS = ("data", "time", "length", "mass", "temperature")
@@ -54,7 +55,18 @@ UNITS = {
 RATE = (1, -1, 0, 0, 0)
 
 _TOKEN = re.compile(r"\s*(?:(?P<word>[^\W\d_]+|°[CF])|(?P<num>[-+]?\d+)|(?P<op>[/*·^]))")
-_NUMBER = re.compile(r"[-+]?(?:\d{1,3}(?:,\d{3})+(?!\d)|\d+)?(?:[.,]\d+|\.)?(?:[eE][-+]?\d+)?")
+#: Signs between groups of three digits besides comma and full stop (fixed values): spaces and apostrophes.
+_GAPS = " \u00a0\u2007\u2009\u202f'\u2019_"
+#: In this order: groups by a space or apostrophe, by commas, by full stops before a decimal comma or more than once; plain.
+_NUMBER = re.compile(
+    rf"[-+]?(?:(?P<gap>\d{{1,3}}(?:(?P<sign>[{_GAPS}])\d{{3}})(?:(?P=sign)\d{{3}})*(?!\d)(?:[.,]\d+)?)|(?P<comma>\d{{1,3}}(?:,\d{{3}})+(?![\d,])(?:\.\d+)?)"
+    r"|(?P<stop>\d{1,3}(?:\.\d{3})+,\d+|\d{1,3}(?:\.\d{3}){2,}(?![\d.]))|(?P<plain>\d+(?:[.,]\d+|\.)?|[.,]\d+))(?:[eE](?P<exp>[-+]?\d+))?"
+)
+#: Words for "per", and what stands for a missing unit (fixed values).
+PER = ("per", "a", "each", "every")
+ABSENT = ("n/a", "na", "null", "none", "nan")
+#: Texts up to this length have their reading kept for the next row that has them.
+KEPT = 200
 
 
 @dataclass(frozen=True)
@@ -79,9 +91,13 @@ def _data_symbol(word: str) -> Unit | None:
     return Unit(_D, (Fraction(1024) if m[2] else Fraction(1000)) ** power * (8 if m[3] == "B" else 1))
 
 
-@lru_cache(maxsize=4096)
 def _symbol(word: str) -> Unit | None:
-    """One factor without exponent; None if the word is no unit."""
+    """One factor without exponent; None if the word is no unit. No unit has a name of more than 24 letters."""
+    return _known_symbol(word) if len(word) <= 24 else None
+
+
+@lru_cache(maxsize=4096)
+def _known_symbol(word: str) -> Unit | None:
     if (u := _data_symbol(word)) is not None:
         return u
     low = word.lower()
@@ -111,10 +127,12 @@ def _rate_word(word: str) -> Unit | None:
     return None
 
 
-@lru_cache(maxsize=65536)
-def parse_unit(text: str) -> Unit | None:
-    """The unit that starts a text, as far as the grammar reaches; None if it starts with none."""
-    at, unit, power, read = 0, NONE, 1, 0
+_EXPONENT = re.compile(r"\^?([-+]?\d+)(?![.,\d])")
+
+
+def parse_unit(text: str, start: int = 0) -> Unit | None:
+    """The unit that stands at a place of a text, as far as the grammar reaches; None if there is none."""
+    at, unit, power, read = start, NONE, 1, 0
     while m := _TOKEN.match(text, at):
         word = m["word"]
         if word is None:
@@ -122,14 +140,14 @@ def parse_unit(text: str) -> Unit | None:
                 break
             power, at = (-1 if m["op"] == "/" else 1), m.end()
             continue
-        if word.lower() == "per" and read:
+        if read and word.lower() in PER and power == 1 and (word.lower() == "per" or unit.dims == _D):
             power, at = -1, m.end()
             continue
         factor = _rate_word(word) or _symbol(word)
         if factor is None or (read and power == 1 and text[m.start() : m.start() + 1].isspace() and text[at - 1 : at] not in "/*·"):
             break
         at, read = m.end(), read + 1
-        exponent = re.compile(r"\^?([-+]?\d+)(?![.,\d])").match(text, at)
+        exponent = _EXPONENT.match(text, at)
         if exponent and factor.dims != _D:
             power, at = power * int(exponent[1]), exponent.end()
         unit = Unit(factor.dims, factor.scale, factor.offset) if read == 1 and power == 1 else unit.times(factor, power)
@@ -137,43 +155,101 @@ def parse_unit(text: str) -> Unit | None:
     return unit if read else None
 
 
-@lru_cache(maxsize=65536)
+def _kept(read):
+    """Keeps the readings of short texts; long ones are read again, so that what is kept stays small."""
+    cached = lru_cache(maxsize=65536)(read)
+    return wraps(read)(lambda text, *dims: (cached if text is None or len(text) <= KEPT else read)(text, *dims))
+
+
+@_kept
 def find_unit(text: str | None, dims: tuple[int, ...] = RATE) -> Unit | None:
     """The first unit of a dimension that is named anywhere in a text."""
-    for m in re.finditer(r"[^\W\d_]+", text or ""):
-        u = parse_unit(text[m.start() :])
+    for m in _WORDS.finditer(text or ""):
+        u = parse_unit(text, m.start())
         if u is not None and u.dims == dims:
             return u
     return None
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+_BARE = re.compile(r"\s?([kKmMgGtTpPeE])(?![\w/°µ])")
+
+
+def _implied(text: str, at: int) -> Unit | None:
+    """A rate of which only the amount of data is named (100 Mbit), or only the prefix (10G): bits or bytes a second."""
+    if (u := parse_unit(text, at)) is not None and u.dims == _D:
+        return u.times(Unit(_T, Fraction(1)), -1)
+    if m := _BARE.match(text, at):
+        return Unit(RATE, Fraction(1000) ** PREFIX_SYMBOLS[m[1].lower()])
+    return None
+
+
+@_kept
+def read_unit(text: str | None, dims: tuple[int, ...] = RATE) -> tuple[Unit | None, bool]:
+    """(unit, whether there is one that can't be read) of a text that should be a unit and nothing else."""
+    t = (text or "").strip()
+    if not _WORDS.search(t) or t.lower() in ABSENT:
+        return None, False
+    u = find_unit(t, dims) or (_implied(t, 0) if dims == RATE else None)
+    return u, u is None
+
+
 def parse_number(text: str) -> Decimal | None:
     """A number with thousands separators, a decimal point or comma, or an exponent."""
-    t = text.strip()
-    if not _NUMBER.fullmatch(t):
-        return None
-    t = re.sub(r",(?=\d{3}(?:,|\.|[eE]|$))", "", t) if re.match(r"[-+]?\d{1,3}(,\d{3})+", t) else t
+    m = _NUMBER.fullmatch(text.strip())
+    return None if m is None else _value(m)
+
+
+def _value(m: re.Match) -> Decimal | None:
+    t = m[0]
+    if m["gap"]:
+        t = t.replace(m["sign"], "").replace(",", ".")
+    elif m["comma"]:
+        t = t.replace(",", "")
+    elif m["stop"]:
+        t = t.replace(".", "").replace(",", ".")
     try:
         return Decimal(t.replace(",", "."))
     except InvalidOperation:
         return None
 
 
-@lru_cache(maxsize=65536)
-def parse_quantity(text: str | None, dims: tuple[int, ...] = RATE) -> tuple[Decimal, Unit | None] | None:
-    """(number, unit or None) of the first number in a text whose unit fits, else of the first number."""
-    first = None
-    for m in _NUMBER.finditer(text or ""):
-        if not any(c.isdigit() for c in m[0]) or (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")):
+_UNREAD = re.compile(r"[^\W\d_]|\s*[^\W\d_]+\s*/\s*\w|\s*\w*(?:bits?|bytes?|bauds?|[bB]ps)\b")
+
+
+@_kept
+def read_quantity(text: str | None, dims: tuple[int, ...] = RATE) -> tuple[Decimal | None, Unit | None, bool]:
+    """(number, unit, whether it is one that can't be read) of the first number in a text whose unit fits, else of the first number.
+
+    A number next to further digits, with a separator that makes no groups of three, is ambiguous: it
+    can't be read, and nor can its tail. Nor can a unit that the grammar does not know; as such counts
+    what is written on to the number, or with a slash, or ends like a rate.
+    """
+    first: tuple[Decimal | None, Unit | None, bool] | None = None
+    text = text or ""
+    for m in _NUMBER.finditer(text):
+        a, b = m.start(), m.end()
+        if a and (text[a - 1].isalnum() or text[a - 1] == "_"):
             continue
-        n = parse_number(m[0])
+        loose = _GAPS + ",."
+        torn = (a > 1 and text[a - 1] in loose and text[a - 2].isdigit()) or (b + 1 < len(text) and text[b] in loose and text[b + 1].isdigit())
+        n = None if torn else _value(m)
         if n is None:
+            first = first or (None, None, True)
             continue
-        u = parse_unit(text[m.end() :])
-        if u is not None and u.dims == dims:
-            return n, u
-        first = first or (n, None)
-    return first
+        u = parse_unit(text, b)
+        if u is None or u.dims != dims:
+            u = _implied(text, b) if dims == RATE else None
+        if u is not None:
+            return n, u, False
+        first = first or (n, None, _UNREAD.match(text, b) is not None)
+    return first or (None, None, False)
+
+
+def parse_quantity(text: str | None, dims: tuple[int, ...] = RATE) -> tuple[Decimal, Unit | None] | None:
+    """(number, unit or None), see `read_quantity`; None if there is no number or it or its unit can't be read."""
+    n, u, unread = read_quantity(text, dims)
+    return None if n is None or unread else (n, u)
 
 
 def half_up(value: Fraction) -> int:

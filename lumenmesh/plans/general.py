@@ -46,22 +46,25 @@ def p2_cover_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_capacities(spark: SparkSession, d: str) -> DataFrame:
-    """Every recorded capacity in 1000 bit/s, one row per record, with where its unit was found."""
+    """Every record in 1000 bit/s, with where its unit was found, or why it has no value.
+
+    Of a record delivered several times the newest row counts, at a tie the greater capacity; so it does of notes.
+    """
     none = F.lit(None).cast("string")
     configs, links = table(spark, d, "configs"), table(spark, d, "fso_links")
     # the line names its transceivers before the capacity; links that have a unit need no note
     said = F.regexp_extract("link_line", r"(?s)^\s*\S+\s+(.*)$", 1)
-    links = links.select("link_id", "capacity", "unit", said.alias("said"), "spec_id")
-    notes = configs.select(F.col("config_id").alias("spec_id"), "spec_note").where("spec_note is not null").groupBy("spec_id").agg(F.max("spec_note").alias("spec_note"))
+    links = links.select("link_id", "capacity", "unit", said.alias("said"), "spec_id", "loaded_at")
+    notes = configs.select(F.col("config_id").alias("spec_id"), "spec_note", "written_at").where("spec_note is not null").groupBy("spec_id").agg(F.max(F.struct("written_at", "spec_note")).alias("n")).select("spec_id", "n.spec_note")
     a = quantities.to_common_unit(configs, F.lit(None), none, F.col("link_capacity"), none, "Mbps", "kbps")
     b = quantities.to_common_unit(links.join(notes, "spec_id", "left"), F.col("capacity"), F.col("unit"), F.col("said"), F.col("spec_note"), "Mbps", "kbps")
-    both = a.select(F.lit("configs").alias("record_table"), F.col("config_id").alias("record_id"), "q").unionByName(b.select(F.lit("fso_links").alias("record_table"), F.col("link_id").alias("record_id"), "q"))
-    out = both.select("record_table", "record_id", F.col("q.result").alias("capacity_kbps"), F.col("q.default_unit").alias("is_mbps"), F.col("q.unit_from").alias("unit_from")).where("capacity_kbps is not null and record_id is not null")
-    return out.groupBy("record_table", "record_id").agg(F.max(F.struct("capacity_kbps", "is_mbps", "unit_from")).alias("m")).select("record_table", "record_id", "m.*")
+    of = lambda df, name, key, t: df.select(F.lit(name).alias("record_table"), F.col(key).alias("record_id"), F.col(t).alias("t"), F.col("q.result").alias("capacity_kbps"), F.col("q.default_unit").alias("is_mbps"), F.col("q.unit_from").alias("unit_from"), F.col("q.status").alias("status"))
+    out = of(a, "configs", "config_id", "written_at").unionByName(of(b, "fso_links", "link_id", "loaded_at")).where("record_id is not null")
+    return out.groupBy("record_table", "record_id").agg(F.max(F.struct("t", "capacity_kbps", "is_mbps", "unit_from", "status")).alias("m")).select("record_table", "record_id", "m.capacity_kbps", "m.is_mbps", "m.unit_from", "m.status")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_capacities(spark, d).where("not is_mbps").select("record_table", "record_id", "capacity_kbps")
+    return p4_capacities(spark, d).where("not is_mbps and capacity_kbps is not null").select("record_table", "record_id", "capacity_kbps")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,18 +131,21 @@ with notes as (
 ), parts as (
   select distinct record_table, record_id, note_kbps,
     coalesce(num::decimal(30,8), try_cast(try_cast(replace(regexp_extract(said, '[0-9][0-9,.]*(?:e[0-9]+)?'), ',', '') as double) as decimal(30,8))) num,
-    coalesce(unit, nullif(regexp_extract(said, '[0-9][0-9,.]*(?:e[0-9]+)?\s*([A-DF-Za-df-z][A-Za-z]*(?:/[A-Za-z]+)?)', 1), '')) unit
+    coalesce(unit, nullif(regexp_extract(said, '[0-9][0-9,.]*(?:e[0-9]+)?\s*([A-DF-Za-df-z][A-Za-z]*(?:/[A-Za-z]+)?)', 1), '')) unit, unit is not null in_column
   from texts
 ), scaled as (
   select *, case when unit is null then null else
       (case when regexp_matches(unit, '(?i)byte') or regexp_matches(unit, 'B(ps|/s)') then 8 else 1 end)
       * (case when regexp_matches(unit, '^.i') and not regexp_matches(unit, '(?i)^(bit|kilo|giga|mib?it)') then 1.048576 else 1 end)
       * (case lower(unit[1]) when 'k' then 1000 when 'm' then 1000000 when 'g' then 1000000000 when 't' then 1000000000000 else 1 end) / 1000 end kbps
-  from parts where num is not null
+  from parts
 ), final as (
-  select record_table, record_id, num, coalesce(kbps::decimal(30,8), note_kbps, 1000) kbps from scaled
+  select record_table, record_id, num, coalesce(kbps::decimal(30,8), note_kbps, 1000) kbps,
+    case when unit is not null then (case when in_column then 'column' else 'text' end) when note_kbps is not null then 'note' else 'default' end unit_from from scaled
+), records as (
+  select record_table, record_id, max(((num * 1000000)::hugeint * (kbps * 1000000)::hugeint + 500000000000::hugeint) // 1000000000000::hugeint)::bigint capacity_kbps,
+    bool_or(kbps = 1000) is_mbps, max(unit_from) unit_from, case when max(num) is null then 'no number' else 'ok' end status from final group by 1, 2
 )
-select record_table, record_id, max(((num * 1000000)::hugeint * (kbps * 1000000)::hugeint + 500000000000::hugeint) // 1000000000000::hugeint)::bigint capacity_kbps from final where kbps <> 1000 group by 1, 2
 """
 
 P2_SQL = """
@@ -168,4 +174,8 @@ select 'near' match_kind, id_1, id_2 from near union all select 'inside', id_1,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL}
+    return {
+        "p2_found": P2_SQL,
+        "p4_found": P4_SQL + "select record_table, record_id, capacity_kbps from records where not is_mbps and capacity_kbps is not null",
+        "p4_capacities": P4_SQL + "select * from records",
+    }

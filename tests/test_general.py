@@ -132,6 +132,27 @@ def test_capacity_texts(text, kbps):
     assert u.dims == units.RATE and units.half_up(units.convert(n, u) / 1000) == kbps
 
 
+@pytest.mark.parametrize(
+    ("text", "kbps"),
+    [("10 000 Mbps", 10_000_000), ("10\u202f000,5 kbps", 10_001), ("1'000\u00a0Mbps", 1_000_000), ("1.000,5 Mbps", 1_000_500), ("1.000.000 kbps", 1_000_000), ("10G", 10_000_000), ("2 gigabits a second", 2_000_000), ("100Mbit", 100_000), ("3 megabytes each second", 24_000), ("2 Gbit per second", 2_000_000), ("1.000 Mbps", 1_000), ("port 3: 40 Mbps", 40_000)],
+)
+def test_more_spellings(text, kbps):
+    n, u, unread = units.read_quantity(text)
+    assert not unread and u.dims == units.RATE and units.half_up(units.convert(n, u) / 1000) == kbps
+
+
+@pytest.mark.parametrize("text", ["10 0000 Mbps", "12 furlongs/s", "5foo", "1,00,00 Mbps", "7 kilobauds"])
+def test_what_cannot_be_read_is_told(text):
+    assert units.read_quantity(text)[2] and units.parse_quantity(text) is None
+
+
+def test_units_in_long_texts_take_linear_time():
+    note = "no unit here " * 100_000
+    assert units.find_unit(note + "Gbit/s").scale == 10**9 and units.find_unit(note) is None
+    assert units.read_unit("Gbit") == (units.find_unit("Gbps"), False) and units.read_unit("parsec") == (None, True) and units.read_unit("N/A") == (None, False)
+    assert units.read_quantity("1000 per link")[1:] == (None, False) and units.read_quantity("x" * 10**6) == (None, None, False)
+
+
 def test_units_of_other_dimensions():
     n, u = units.parse_quantity("20 °C", (0, 0, 0, 0, 1))
     assert units.convert(n, u) == Fraction(29315, 100)
