@@ -30,6 +30,8 @@ RUN = 13
 #: Words of a passage; passages overlap by RUN - 1 words, so that each run lies in one.
 PASSAGE = 3 * RUN
 K1, B = 1.2, 0.75
+#: Passages whose search results a task keeps for the next text that holds the same words.
+RECENT = 10_000
 #: Postings of a block.
 BLOCK = 16
 #: Items of an index; more items are searched index by index.
@@ -84,7 +86,10 @@ class Index:
         self.run = run
         items = [(i, w) for i, w in items if len(w) >= run]
         self.ids = [i for i, _ in items]
-        self.runs = [{tuple(w[k : k + run]) for k in range(len(w) - run + 1)} for _, w in items]
+        runs = [{tuple(w[k : k + run]) for k in range(len(w) - run + 1)} for _, w in items]
+        self.numbers = {r: k for k, r in enumerate(dict.fromkeys(r for rs in runs for r in rs))}
+        self.runs = [{self.numbers[r] for r in rs} for rs in runs]
+        self.recent: dict[frozenset[int], list[int]] = {}
         df = Counter(t for _, w in items for t in set(w))
         mean = sum(len(w) for _, w in items) / max(1, len(items))
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
@@ -92,7 +97,7 @@ class Index:
             tf = Counter(w)
             norm = K1 * (1 - B + B * len(w) / mean)
             score = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in tf.items()}
-            least = min(sum(score[t] for t in set(r)) for r in self.runs[n]) * (1 - 1e-9)
+            least = min(sum(score[t] for t in set(r)) for r in runs[n]) * (1 - 1e-9)
             for t, s in score.items():
                 postings[t].append((n, s / least))
         self.vocabulary = {t: k for k, t in enumerate(postings)}
@@ -103,7 +108,7 @@ class Index:
         get = self.vocabulary.get
         self.neighbours = {(get(a) << 32) + get(b) for _, w in items for a, b in zip(w, w[1:])}
 
-    def search(self, terms: set[int]) -> list[int]:
+    def search(self, terms: Iterable[int]) -> list[int]:
         """Items whose score for the terms reaches 1, by block-max WAND."""
         found = []
         docs, weights, blocks, most = self.docs, self.weights, self.blocks, self.most
@@ -179,11 +184,16 @@ class Index:
         step = PASSAGE - self.run + 1
         for start, end, terms in self.stretches(words):
             for a in range(start, end - self.run + 1, step):
-                hits = self.search(set(terms[a - start : a - start + PASSAGE]))
+                passage = frozenset(terms[a - start : a - start + PASSAGE])
+                if (hits := self.recent.get(passage)) is None:
+                    if len(self.recent) >= RECENT:
+                        self.recent.clear()
+                    hits = self.recent[passage] = self.search(passage)
                 if hits:
-                    runs = [tuple(words[k : k + self.run]) for k in range(a, min(a + step, end - self.run + 1))]
+                    numbers = [self.numbers.get(tuple(words[k : k + self.run])) for k in range(a, min(a + step, end - self.run + 1))]
                     for n in hits:
-                        if k := sum(r in self.runs[n] for r in runs):
+                        of = self.runs[n]
+                        if k := sum(r in of for r in numbers):
                             places[n] += k
         return {self.ids[n]: k for n, k in places.items()}
 

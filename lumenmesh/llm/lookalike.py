@@ -108,7 +108,7 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
 class _Rewriter:
     """A set of rules: code points by table, strings by the automaton; and the characters without which nothing is rewritten."""
 
-    def __init__(self, rules: tuple[tuple[str, str], ...]):
+    def __init__(self, rules: Rules):
         self.table = {x: y for x, y in rules if len(x) == 1}
         self.points = frozenset(self.table)
         strings = [(x, y) for x, y in rules if len(x) > 1]
@@ -120,15 +120,24 @@ class _Rewriter:
 
 
 @lru_cache(maxsize=8)
-def _rewriter(rules: tuple[tuple[str, str], ...]) -> _Rewriter:
+def _rewriter(rules: Rules) -> _Rewriter:
     return _Rewriter(rules)
 
 
-def rules_of(counts: dict[str, int] | None = None) -> tuple[tuple[str, str], ...]:
-    return tuple(sorted(representatives(counts or {}).items()))
+class Rules(tuple):
+    """Pairs of a look-alike string and what it is rewritten to; the hash is worked out once, not for every text."""
 
+    def __hash__(self) -> int:
+        if "hash" not in self.__dict__:
+            self.__dict__["hash"] = super().__hash__()
+        return self.__dict__["hash"]
 
-def canonical(text: str, rules: tuple[tuple[str, str], ...]) -> str:
+
+def rules_of(counts: dict[str, int] | None = None) -> Rules:
+    return Rules(sorted(representatives(counts or {}).items()))
+
+
+def canonical(text: str, rules: Rules) -> str:
     """The consistent form of a text; a second application changes nothing.
 
     Code points come first, so that strings are found however their letters were spelled; then strings, the
@@ -181,7 +190,7 @@ def member_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r["member"]: r["n"] for r in found.groupBy("member").agg(F.sum("n").alias("n")).collect()}
 
 
-def canonical_column(text: F.Column, rules: tuple[tuple[str, str], ...]) -> F.Column:
+def canonical_column(text: F.Column, rules: Rules) -> F.Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: canonical(t, rules) if isinstance(t, str) else None)
 
