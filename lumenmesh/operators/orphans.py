@@ -1,112 +1,222 @@
 """References to records that do not exist, tracked by keyed state that is kept incrementally.
 
-The state has one entry for each (ref_table, ref_key) and period: the parent index (has the parent been
-seen, is its newest version alive) and the references that wait for it. Periods carry it forward:
-
-* parents are first folded to one row per key and period, and the running state at the end of each
-  period is written as the snapshot that the next period starts from;
-* a new reference probes the index: the carried state, then the arrivals and deletions of its own
-  period up to its own time. Parents that arrive at the very time of a reference count as seen;
-* arriving parents resolve waiting references, deletions reopen them: pending counts follow from the
-  snapshots.
-
-A key's parents and references of one period are the largest group that comes together; references of
-a hot key and period are spread over salts, its few parent rows copied to each.
+A ledger holds, per (ref_table, ref_key), the parent index (the points in time at which the parent's newest
+version changed), how many references point there in each period, and the references found to be orphans.
+Each batch of new references and parents advances it:
+
+* new references probe the index, which the batch's own parents have joined: what was seen at their time;
+* parents that arrive resolve the references that wait for them: missing ones turn out to be late;
+* deletions reopen: a key whose newest version is gone leaves its references pending, which the periodic
+  snapshot counts.
+
+State is only appended to: a batch adds a folder to each table, so no batch rewrites what is kept, and one
+that is run again replaces its own folders. The references and points of one key and day are the largest
+group that comes together; references of a hot key and day are spread over salts, its points copied to each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, hot_keys
 
 #: Columns of both inputs. References: ref_table, ref_id, ref_key, t. Parents: ref_table, ref_key, t, version (orders a
 #: parent's states; the largest seen counts), alive.
 KEY = ["ref_table", "ref_key"]
 #: At most so many keys are treated as hot and broadcast.
 MAX_HOT = 10_000
+TOP = "struct<version: bigint, alive: boolean>"
 
 
 def period_of(t: str = "t") -> F.Column:
     return F.date_format(t, "yyyy-MM")
 
 
-def fold_parents(parents: DataFrame) -> DataFrame:
-    """One row per key and period: its newest version there and whether that is alive."""
-    return parents.groupBy(*KEY, period_of().alias("period")).agg(F.max(F.struct("version", "alive")).alias("top"))
+def clean_refs(refs: DataFrame) -> DataFrame:
+    return refs.select(*KEY, F.col("ref_id").cast("bigint").alias("ref_id"), "t").where("ref_key is not null and t is not null")
 
 
-def snapshots(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """State of each key at the start and end of every period in which it has an event.
+def change_points(parents: DataFrame) -> DataFrame:
+    """(ref_table, ref_key, t, top): the times at which a key's newest (version, alive) of a day changes.
 
-    (ref_table, ref_key, period, n_refs, carried, ended, ever): carried and ended are the newest
-    (version, alive) known before the period and at its end, null if no parent was seen; ever tells
-    whether a parent is ever seen. Both inputs are folded before they are shuffled, so that a key has
-    at most one row per period and side.
+    Parents are folded to one row per key and time before they meet; a day of a key is the largest group.
     """
-    folded = fold_parents(parents).select(*KEY, "period", "top", F.lit(0).cast("bigint").alias("n_refs"))
-    counted = refs.groupBy(*KEY, period_of().alias("period")).agg(F.count(F.lit(1)).alias("n_refs"))
-    counted = counted.select(*KEY, "period", F.lit(None).cast(folded.schema["top"].dataType).alias("top"), "n_refs")
-    by_period = folded.unionByName(counted).repartition(*KEY).groupBy(*KEY, "period").agg(F.max("top").alias("top"), F.sum("n_refs").alias("n_refs"))
-    w = Window.partitionBy(*KEY).orderBy("period")
-    return by_period.select(
-        *KEY,
-        "period",
-        "n_refs",
-        F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
-        F.max("top").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("ended"),
-        F.max("top").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).isNotNull().alias("ever"),
-    )
+    p = parents.where("ref_key is not null and t is not null").select(*KEY, "t", F.struct(F.col("version").cast("bigint").alias("version"), F.coalesce("alive", F.lit(True)).alias("alive")).alias("top"))
+    p = p.groupBy(*KEY, "t").agg(F.max("top").alias("top"))
+    w = Window.partitionBy(*KEY, F.to_date("t")).orderBy("t")
+    before = F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return p.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("top") > F.col("_b"))).drop("_b")
 
 
-def orphans(refs: DataFrame, parents: DataFrame, hot_rows: int = 100_000) -> DataFrame:
-    """Distinct (ref_table, ref_id, ref_key, cause, ref_month) of references that were orphans at their time.
+def judge(refs: DataFrame, points: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+    """refs with their cause: missing (no parent is ever seen), late (none was seen by then), deleted (the newest
+    version seen by then is not alive), or null where there is none.
 
-    cause: missing (no parent is ever seen), late (none was seen by then), deleted (the newest version
-    seen by then is not alive). References with a null key or time, and parents with a null key or
-    time, are ignored; a parent with a null alive counts as alive. Repeated rows change nothing, ties in
-    time count the parent as seen. Empty inputs: without references nothing, without parents all are
-    missing. Extra columns are ignored.
+    Points at the very time of a reference count as seen.
     """
-    refs = refs.select(*KEY, F.col("ref_id").cast("bigint").alias("ref_id"), "t").where("ref_key is not null and t is not null")
-    parents = parents.select(*KEY, "t", F.col("version").cast("bigint").alias("version"), F.coalesce("alive", F.lit(True)).alias("alive")).where("ref_key is not null and t is not null")
-    tmp = Scratch(refs.sparkSession, "orphans")
-    limit = F.lit(max(hot_rows, refs.count() // MAX_HOT + 1))
-    state, _ = tmp.cut(snapshots(refs, parents).where("n_refs > 0").withColumn("n_salts", F.ceil(F.col("n_refs") / limit).cast("int")))
-    # fewer than MAX_HOT keys can have more references than the limit
-    hot = F.broadcast(state.where("n_salts > 1").select(*KEY, "period", "n_salts"))
-    salts = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).alias("salt")
-    keyed = refs.withColumn("period", period_of()).join(hot, [*KEY, "period"], "left")
-    keyed = keyed.select(*KEY, "period", "ref_id", "t", F.pmod(F.xxhash64("ref_id", "t"), F.coalesce("n_salts", F.lit(1))).cast("int").alias("salt"))
-    arrivals = parents.withColumn("period", period_of()).join(hot, [*KEY, "period"], "left")
-    arrivals = arrivals.select(*KEY, "period", "t", F.struct("version", "alive").alias("top"), salts(F.col("n_salts")))
-    state = state.select(*KEY, "period", F.col("carried").alias("top"), "ever", salts(F.col("n_salts")))
-    none = F.lit(None)
+    day = F.to_date("t").alias("day")
+    refs = refs.select(*KEY, "ref_id", "t", day)
+    points = points.select(*KEY, "t", "top", day)
+    # the newest version known before each day of a key that has references, and whether any is ever known
+    folded = points.groupBy(*KEY, "day").agg(F.max("top").alias("top"))
+    days = refs.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("n"))
+    by_day = folded.select(*KEY, "day", "top", F.lit(0).cast("bigint").alias("n")).union(days.select(*KEY, "day", F.lit(None).cast(TOP), "n"))
+    w = Window.partitionBy(*KEY).orderBy("day")
+    whole = F.max("top").over(Window.partitionBy(*KEY)).isNotNull()
+    carried = by_day.groupBy(*KEY, "day").agg(F.max("top").alias("top"), F.sum("n").alias("n")).select(*KEY, "day", "n", F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("top"), whole.alias("ever")).where("n > 0").drop("n")
+    hot = F.broadcast(hot_keys(refs, [*KEY, "day"], hot_rows, MAX_HOT))
+    n = F.coalesce("n_salts", F.lit(1))
+    salts = F.explode(F.sequence(F.lit(0), n - 1)).alias("salt")
+    keyed = refs.join(hot, [*KEY, "day"], "left").select(*KEY, "day", "ref_id", "t", F.pmod(F.xxhash64("ref_id", "t"), n).cast("int").alias("salt"))
+    points = points.join(hot, [*KEY, "day"], "left").select(*KEY, "day", "t", "top", salts)
+    carried = carried.join(hot, [*KEY, "day"], "left").select(*KEY, "day", "top", "ever", salts)
+    none = lambda t: F.lit(None).cast(t)
+    time, top = refs.schema["t"].dataType, points.schema["top"].dataType
     events = (
-        keyed.select(*KEY, "period", "salt", F.lit(2).alias("step"), "t", "ref_id", none.cast(state.schema["top"].dataType).alias("top"), none.cast("boolean").alias("ever"))
-        .unionByName(arrivals.select(*KEY, "period", "salt", F.lit(1).alias("step"), "t", none.cast("bigint").alias("ref_id"), "top", none.cast("boolean").alias("ever")))
-        .unionByName(state.select(*KEY, "period", "salt", F.lit(0).alias("step"), none.cast(refs.schema["t"].dataType).alias("t"), none.cast("bigint").alias("ref_id"), "top", "ever"))
+        keyed.select(*KEY, "day", "salt", F.lit(2).alias("step"), "t", "ref_id", none(top).alias("top"), none("boolean").alias("ever"))
+        .union(points.select(*KEY, "day", "salt", F.lit(1), "t", none("bigint"), "top", none("boolean")))
+        .union(carried.select(*KEY, "day", "salt", F.lit(0), none(time), none("bigint"), "top", "ever"))
     )
-    # nulls sort first, so the carried state opens each period; at one time parents come before references
-    w = Window.partitionBy(*KEY, "period", "salt").orderBy("t", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = events.select(*KEY, "period", "step", "ref_id", F.max("top").over(w).alias("now"), F.max("ever").over(w).alias("ever")).where("step = 2")
+    # nulls sort first, so the carried state opens each day; at one time parents come before references
+    w = Window.partitionBy(*KEY, "day", "salt").orderBy("t", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = events.select(*KEY, "step", "ref_id", "t", F.max("top").over(w).alias("now"), F.max("ever").over(w).alias("ever")).where("step = 2")
     cause = F.when(~F.col("ever"), "missing").when(F.col("now").isNull(), "late").when(~F.col("now.alive"), "deleted")
-    return seen.select("ref_table", "ref_id", "ref_key", cause.alias("cause"), F.col("period").alias("ref_month")).where("cause is not null").distinct()
+    return seen.select(*KEY, "ref_id", "t", cause.alias("cause"))
+
+
+class Ledger:
+    """The kept state, in a folder: tables `points`, `counts` and `found`, with a folder for each batch.
+
+    found has every reference whose cause became another one in a batch; a null cause is that of an orphan
+    that a parent delivered out of time has resolved. Batches must come in order of time for references that
+    were no orphans: they are not looked at again. One after the first, with the state before it missing, is
+    an error.
+    """
+
+    TABLES = ("points", "counts", "found")
+
+    def __init__(self, spark: SparkSession, root: str, hot_rows: int = 100_000):
+        self.spark, self.root, self.hot_rows = spark, root, hot_rows
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str, batch: int) -> str:
+        return f"{self.root}/{name}/batch={batch}"
+
+    def _has(self, name: str, batch: int) -> bool:
+        p, fs = self._fs(f"{self._path(name, batch)}/_SUCCESS")
+        return fs.exists(p)
+
+    def table(self, name: str, upto: int) -> DataFrame:
+        """What the batches up to one have added, with their number."""
+        schema = {"points": f"ref_table string, ref_key string, t {self.time}, top {TOP}", "counts": "ref_table string, ref_key string, period string, n_refs bigint", "found": f"ref_table string, ref_key string, ref_id bigint, t {self.time}, cause string"}[name]
+        parts = []
+        for b in range(upto + 1):
+            if not self._has(name, b):
+                raise FileNotFoundError(f"the state of batch {b} is missing: {self._path(name, b)}")
+            parts.append(self._path(name, b))
+        if not parts:
+            return self.spark.createDataFrame([], schema + ", batch int")
+        return self.spark.read.schema(schema + ", batch int").option("basePath", f"{self.root}/{name}").parquet(*parts)
+
+    def advance(self, refs: DataFrame, parents: DataFrame, batch: int) -> None:
+        """Takes in a batch of references and parents; nulls in key or time are ignored, a null alive is alive."""
+        refs = clean_refs(refs)
+        self.time = refs.schema["t"].dataType.simpleString()
+        put = lambda df, name: df.write.mode("overwrite").parquet(self._path(name, batch))
+        index, found = (self.table(n, batch - 1) for n in ("points", "found"))
+        put(change_points(parents), "points")
+        put(refs.groupBy(*KEY, period_of().alias("period")).agg(F.count(F.lit(1)).alias("n_refs")), "counts")
+        new = self.spark.read.schema(index.drop("batch").schema).parquet(self._path("points", batch))
+        if batch == 0:
+            judged, points = refs, new
+        else:
+            waiting = current(found).where("cause = 'missing'").join(new.select(*KEY).distinct(), KEY, "left_semi")
+            judged, _ = Scratch(self.spark, "judged").cut(refs.select(*KEY, "ref_id", "t").union(waiting.select(*KEY, "ref_id", "t")))
+            points = index.drop("batch").join(judged.select(*KEY).distinct(), KEY, "left_semi").union(new)
+        causes = judge(judged, points, self.hot_rows)
+        if batch == 0:
+            put(causes.where("cause is not null").distinct(), "found")
+            return
+        was = waiting.select(*KEY, "ref_id", "t", F.lit("missing").alias("was"))
+        changed = causes.join(was, [*KEY, "ref_id", "t"], "left").where("not (cause <=> was)").drop("was").distinct()
+        put(changed, "found")
+
+    def orphans(self, upto: int) -> DataFrame:
+        """(ref_table, ref_key, ref_id, t, cause) of all orphans as they stand after a batch."""
+        return current(self.table("found", upto)).where("cause is not null")
+
+    def snapshot(self, upto: int) -> DataFrame:
+        """(ref_table, n_refs, n_pending) at the end of a batch: a reference is pending if its parent is not there or gone."""
+        top = self.table("points", upto).groupBy(*KEY).agg(F.max("top").alias("top"))
+        n = self.table("counts", upto).groupBy(*KEY).agg(F.sum("n_refs").alias("n_refs"))
+        waits = F.when(F.col("top").isNull() | ~F.col("top.alive"), F.col("n_refs")).otherwise(0)
+        return n.join(top, KEY, "left").groupBy("ref_table").agg(F.sum("n_refs").alias("n_refs"), F.sum(waits).alias("n_pending"))
+
+    def periods(self, upto: int) -> DataFrame:
+        """(ref_table, period, n_new, n_changed, n_pending): the snapshots of all periods, see `pending_counts`."""
+        folded = self.table("points", upto).groupBy(*KEY, period_of().alias("period")).agg(F.max("top").alias("top"))
+        rows = folded.select(*KEY, "period", "top", F.lit(0).cast("bigint").alias("n_refs")).union(self.table("counts", upto).select(*KEY, "period", F.lit(None).cast(TOP), "n_refs"))
+        rows = rows.groupBy(*KEY, "period").agg(F.max("top").alias("top"), F.sum("n_refs").alias("n_refs"))
+        w = Window.partitionBy(*KEY).orderBy("period")
+        sofar = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ended = F.max("top").over(sofar)
+        s = rows.select("ref_table", "ref_key", "period", "n_refs", F.sum("n_refs").over(sofar).alias("so_far"), ended.alias("ended"))
+        s = s.withColumn("waiting", F.when(F.col("ended").isNull() | ~F.col("ended.alive"), F.col("so_far")).otherwise(0))
+        s = s.select("ref_table", "period", "n_refs", (F.col("waiting") - F.coalesce(F.lag("waiting").over(w), F.lit(0))).alias("change"))
+        per = s.groupBy("ref_table", "period").agg(F.sum("n_refs").alias("n_new"), F.sum("change").alias("n_changed"))
+        return per.select("*", F.sum("n_changed").over(Window.partitionBy("ref_table").orderBy("period")).alias("n_pending"))
+
+
+def current(found: DataFrame) -> DataFrame:
+    """The last cause of each reference in a ledger's table of what was found."""
+    return found.groupBy(*KEY, "ref_id", "t").agg(F.max_by(F.struct("cause"), "batch").alias("c")).select(*KEY, "ref_id", "t", "c.cause")
+
+
+def replay(refs: DataFrame, parents: DataFrame, hot_rows: int = 100_000, batches: int = 2) -> tuple[Ledger, int]:
+    """(ledger, last batch): takes the whole past in, in slices of equal length of time, from an empty ledger.
+
+    Both inputs are written once, in a folder for each slice.
+    """
+    spark = refs.sparkSession
+    tmp = Scratch(spark, "orphans")
+    low, high = refs.agg(F.min("t"), F.max("t")).first() if batches > 1 else (None, None)
+    if low is None or low == high:
+        batches = 1
+    cuts = [low + (high - low) * k / batches for k in range(1, batches)]
+    no = reduce(lambda c, cut: c + F.when(F.col("t") >= F.lit(cut), 1).otherwise(0), cuts, F.lit(0)).alias("slice")
+    sides = [(refs, None), (parents, None)]
+    if batches > 1:
+        sides = [tmp.cut(df.withColumn("slice", no), by="slice") for df in (refs, parents)]
+    ledger = Ledger(spark, f"{tmp.root}/ledger", hot_rows)
+    for k in range(batches):
+        ledger.advance(*(df if path is None else df.where(F.col("slice") == k).drop("slice") for df, path in sides), k)
+    return ledger, batches - 1
+
+
+def orphans(refs: DataFrame, parents: DataFrame, hot_rows: int = 100_000, batches: int = 2) -> DataFrame:
+    """Distinct (ref_table, ref_id, ref_key, cause, ref_month) of references that were orphans at their time.
+
+    cause as in `judge`. References with a null key or time, and parents with a null key or time, are
+    ignored; a parent with a null alive counts as alive. Repeated rows change nothing, ties in time count
+    the parent as seen. Empty inputs: without references nothing, without parents all are missing. Extra
+    columns are ignored. The past is taken in by batches; their number changes nothing in the result.
+    """
+    ledger, last = replay(refs, parents, hot_rows, batches)
+    return ledger.orphans(last).select("ref_table", "ref_id", "ref_key", "cause", period_of().alias("ref_month")).distinct()
 
 
-def pending_counts(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def pending_counts(refs: DataFrame, parents: DataFrame, batches: int = 2) -> DataFrame:
     """(ref_table, period, n_new, n_changed, n_pending): the periodic snapshot of waiting references.
 
     n_new: references made in the period; n_changed: by how much the number of references that wait for
     a parent changed; n_pending: how many wait at its end. A reference waits while no parent was seen or
     the newest version is not alive. Repeated references count each time. Nulls as in `orphans`.
     """
-    refs = refs.select(*KEY, "t").where("ref_key is not null and t is not null")
-    parents = parents.select(*KEY, "t", F.col("version").cast("bigint").alias("version"), F.coalesce("alive", F.lit(True)).alias("alive")).where("ref_key is not null and t is not null")
-    w = Window.partitionBy(*KEY).orderBy("period")
-    waits = F.when(F.col("ended").isNull() | ~F.col("ended.alive"), F.sum("n_refs").over(w)).otherwise(0)
-    s = snapshots(refs, parents).select("ref_table", "ref_key", "period", "n_refs", waits.alias("waiting"))
-    s = s.select("ref_table", "period", "n_refs", (F.col("waiting") - F.coalesce(F.lag("waiting").over(w), F.lit(0))).alias("change"))
-    per = s.groupBy("ref_table", "period").agg(F.sum("n_refs").alias("n_new"), F.sum("change").alias("n_changed"))
-    return per.select("*", F.sum("n_changed").over(Window.partitionBy("ref_table").orderBy("period")).alias("n_pending"))
+    ledger, last = replay(refs, parents, batches=batches)
+    return ledger.periods(last)

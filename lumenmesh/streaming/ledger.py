@@ -1,4 +1,4 @@
-"""The orphan ledger over a stream: keyed state kept from batch to batch in the shared folder."""
+"""The orphan ledger fed by a stream: each micro-batch advances the kept state."""
 
 from __future__ import annotations
 
@@ -6,62 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.orphans import Ledger
 from ..session import shared_dir
 
-KEY = ["ref_table", "ref_key"]
-STATE = "ref_table string, ref_key string, top struct<version: bigint, alive: boolean>, n_refs bigint"
-ORPHAN = "ref_table string, ref_id bigint, ref_key string, cause string"
 
+class OrphanLedger(Ledger):
+    """`Ledger` over events (kind 'ref' or 'parent', ref_table, ref_key, ref_id, version, alive, t).
 
-class OrphanLedger:
-    """One row of state per key: the newest state of its parent and how many references point to it.
-
-    A batch of events updates it: arriving parents resolve the references that wait, deletions reopen
-    them. The batch's own references are judged after the batch's parents. State and new orphans of a
-    batch are tables named by its number; a batch that is run again starts from the state before it, so
-    repeated deliveries of a batch count once. State two batches old is dropped.
+    Events without a time t take the number of their batch in seconds: parents of a batch then count as seen
+    by its references. A batch that is run again replaces what it added, so repeated deliveries count once.
     """
 
     def __init__(self, spark: SparkSession, name: str, where: str | None = None):
-        self.spark = spark
-        self.root = f"{where or shared_dir(spark)}/ledger-{name}"
-
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def state(self, batch: int) -> DataFrame:
-        path = f"{self.root}/state-{batch}"
-        p, fs = self._fs(path)
-        if batch < 0 or not fs.exists(p):
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(path)
+        super().__init__(spark, f"{where or shared_dir(spark)}/ledger-{name}")
+        self.time = "timestamp"
 
     def apply(self, events: DataFrame, batch: int) -> None:
-        """events: (kind 'ref' or 'parent', ref_table, ref_key, ref_id, version, alive); null keys are ignored."""
+        """Null keys are ignored; an event of another kind counts for nothing."""
         e = events.where("ref_key is not null and ref_table is not null")
-        parents = e.where("kind = 'parent'").groupBy(*KEY).agg(F.max(F.struct(F.col("version").cast("bigint").alias("version"), F.coalesce("alive", F.lit(True)).alias("alive"))).alias("top"))
-        refs = e.where("kind = 'ref'")
-        counted = refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_refs"))
-        none = F.lit(None).cast("struct<version: bigint, alive: boolean>")
-        zero = F.lit(0).cast("bigint")
-        merged = self.state(batch - 1).union(parents.select(*KEY, "top", zero)).union(counted.select(*KEY, none, "n_refs"))
-        merged.groupBy(*KEY).agg(F.max("top").alias("top"), F.sum("n_refs").alias("n_refs")).write.mode("overwrite").parquet(f"{self.root}/state-{batch}")
-        now = self.state(batch)
-        cause = F.when(F.col("top").isNull(), "missing").when(~F.col("top.alive"), "deleted")
-        lost = refs.join(now, KEY).select("ref_table", F.col("ref_id").cast("bigint").alias("ref_id"), "ref_key", cause.alias("cause")).where("cause is not null").distinct()
-        lost.write.mode("overwrite").parquet(f"{self.root}/orphans/batch={batch}")
-        p, fs = self._fs(f"{self.root}/state-{batch - 2}")
-        fs.delete(p, True)
-
-    def snapshot(self, batch: int) -> DataFrame:
-        """(ref_table, n_refs, n_pending) at the end of a batch."""
-        waits = F.when(F.col("top").isNull() | ~F.col("top.alive"), F.col("n_refs")).otherwise(0)
-        return self.state(batch).groupBy("ref_table").agg(F.sum("n_refs").alias("n_refs"), F.sum(waits).alias("n_pending"))
-
-    def orphans(self) -> DataFrame:
-        """New orphans of all batches."""
-        return self.spark.read.schema(ORPHAN + ", batch int").parquet(f"{self.root}/orphans")
+        if "t" not in e.columns:
+            e = e.withColumn("t", F.timestamp_seconds(F.lit(batch)))
+        self.advance(e.where("kind = 'ref'"), e.where("kind = 'parent'"), batch)
 
     def follow(self, stream: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
         """Feeds a stream of events to the ledger; with once, what is there, then stops."""

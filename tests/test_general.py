@@ -278,6 +278,8 @@ def test_orphans_against_brute_force(spark, hot):
     parents = [("t", f"k{r.integers(0, 9)}", day(), int(r.integers(1, 6)), [True, False, None][r.integers(0, 3)], 1) for _ in range(60)] + [("t", None, day(), 1, True, 1)]
     parents += parents[:3]
     a, b = spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PAR)
+    for batches in (1, 4):  # kept from batch to batch, or taken in at once
+        assert {tuple(x) for x in orphans.orphans(a, b, hot_rows=hot, batches=batches).collect()} == _brute(refs, parents)
     got = [tuple(x) for x in orphans.orphans(a, b, hot_rows=hot).collect()]
     # versions that repeat with different states keep the one that is alive
     assert len(got) == len(set(got)) and set(got) == _brute(refs, parents)

@@ -1,3 +1,5 @@
+import pytest
+
 from lumenmesh.streaming.ledger import OrphanLedger
 
 EVENT = "kind string, ref_table string, ref_key string, ref_id bigint, version bigint, alive boolean"
@@ -17,6 +19,11 @@ def test_ledger_follows_a_stream(spark, tmp_path):
         ledger.follow(stream, str(tmp_path / "ck")).awaitTermination(60)
         pending.append({r["ref_table"]: (r["n_refs"], r["n_pending"]) for r in ledger.snapshot(k).collect()})
     assert pending == [{"t": (3, 2)}, {"t": (4, 3)}, {"t": (4, 1), "u": (1, 1)}]
-    assert {tuple(r) for r in ledger.orphans().collect()} == {("t", 1, "a", "missing", 0), ("t", 2, "b", "missing", 0), ("t", 4, "c", "deleted", 1), ("u", 5, "c", "missing", 2)}
+    told = {(r["ref_table"], r["ref_id"], r["ref_key"], r["cause"], r["batch"]) for r in ledger.table("found", 2).collect()}
+    assert told == {("t", 1, "a", "missing", 0), ("t", 2, "b", "missing", 0), ("t", 1, "a", "late", 1), ("t", 4, "c", "deleted", 1), ("u", 5, "c", "missing", 2)}
+    now = {(r["ref_table"], r["ref_id"], r["cause"]) for r in ledger.orphans(2).collect()}
+    assert now == {("t", 1, "late"), ("t", 2, "missing"), ("t", 4, "deleted"), ("u", 5, "missing")}
     ledger.apply(spark.createDataFrame(batches[2], EVENT), 2)
     assert {r["ref_table"]: r["n_pending"] for r in ledger.snapshot(2).collect()} == {"t": 1, "u": 1}
+    with pytest.raises(FileNotFoundError):
+        OrphanLedger(spark, "x", f"file://{tmp_path}/lost").apply(spark.createDataFrame(batches[2], EVENT), 2)
