@@ -10,8 +10,8 @@ Each batch of new references and parents advances it:
   snapshot counts.
 
 State is only appended to: a batch adds a folder to each table, so no batch rewrites what is kept, and one
-that is run again replaces its own folders. The references and points of one key and day are the largest
-group that comes together; references of a hot key and day are spread over salts, its points copied to each.
+that is run again replaces its own folders. References and points of a key come together; those of a hot key
+go by days, and the references of its crowded days over salts, to which its points of the day are copied.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import Scratch, hot_keys
+from ..session import Scratch, hot_keys, hot_list
 
 #: Columns of both inputs. References: ref_table, ref_id, ref_key, t. Parents: ref_table, ref_key, t, version (orders a
 #: parent's states; the largest seen counts), alive.
@@ -39,34 +39,58 @@ def clean_refs(refs: DataFrame) -> DataFrame:
     return refs.select(*KEY, F.col("ref_id").cast("bigint").alias("ref_id"), "t").where("ref_key is not null and t is not null")
 
 
-def change_points(parents: DataFrame) -> DataFrame:
-    """(ref_table, ref_key, t, top): the times at which a key's newest (version, alive) of a day changes.
+def change_points(parents: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+    """(ref_table, ref_key, t, top): the times at which a key's newest (version, alive) may change.
 
-    Parents are folded to one row per key and time before they meet; a day of a key is the largest group.
+    Of keys with very many deliveries only those remain that change it within a day: folded to one row per
+    key and time before they meet, with a day of a key as the largest group.
     """
     p = parents.where("ref_key is not null and t is not null").select(*KEY, "t", F.struct(F.col("version").cast("bigint").alias("version"), F.coalesce("alive", F.lit(True)).alias("alive")).alias("top"))
-    p = p.groupBy(*KEY, "t").agg(F.max("top").alias("top"))
-    w = Window.partitionBy(*KEY, F.to_date("t")).orderBy("t")
-    before = F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return p.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("top") > F.col("_b"))).drop("_b")
+    if (hot := hot_list(p, KEY, hot_rows, MAX_HOT)) is None:
+        return p
+    hot = F.broadcast(hot.select(*KEY))
+    many = p.join(hot, KEY, "left_semi").groupBy(*KEY, "t").agg(F.max("top").alias("top"))
+    before = F.max("top").over(Window.partitionBy(*KEY, F.to_date("t")).orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    many = many.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("top") > F.col("_b"))).drop("_b")
+    return p.join(hot, KEY, "left_anti").union(many)
+
+
+def _cause(ever: F.Column, now: F.Column) -> F.Column:
+    return F.when(~ever, "missing").when(now.isNull(), "late").when(~now["alive"], "deleted").alias("cause")
 
 
 def judge(refs: DataFrame, points: DataFrame, hot_rows: int = 100_000) -> DataFrame:
     """refs with their cause: missing (no parent is ever seen), late (none was seen by then), deleted (the newest
     version seen by then is not alive), or null where there is none.
 
-    Points at the very time of a reference count as seen.
+    Points at the very time of a reference count as seen. The references and points of a key meet in one
+    group; keys with more than `hot_rows` of both go by days and salts.
     """
+    refs, points = refs.select(*KEY, "ref_id", "t"), points.select(*KEY, "t", "top")
+    hot = hot_list(refs.select(*KEY).union(points.select(*KEY)), KEY, hot_rows, MAX_HOT)
+    split = []
+    if hot is not None:
+        some = F.broadcast(hot.select(*KEY))
+        split = [_judge_split(*(df.join(some, KEY, "left_semi") for df in (refs, points)), hot_rows)]
+        refs, points = (df.join(some, KEY, "left_anti") for df in (refs, points))
+    events = refs.select(*KEY, "t", F.lit(1).alias("step"), "ref_id", F.lit(None).cast(TOP).alias("top")).union(points.select(*KEY, "t", F.lit(0), F.lit(None).cast("bigint"), "top"))
+    # at one time parents come before references
+    w = Window.partitionBy(*KEY)
+    now = F.max("top").over(w.orderBy("t", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = events.select(*KEY, "ref_id", "t", "step", now.alias("now"), F.max("top").over(w).isNotNull().alias("ever")).where("step = 1")
+    return reduce(DataFrame.union, split, seen.select(*KEY, "ref_id", "t", _cause(F.col("ever"), F.col("now"))))
+
+
+def _judge_split(refs: DataFrame, points: DataFrame, hot_rows: int) -> DataFrame:
+    """`judge` of hot keys: the state at the start of each day of a key is carried to it; the references of a crowded day are spread over salts."""
     day = F.to_date("t").alias("day")
-    refs = refs.select(*KEY, "ref_id", "t", day)
-    points = points.select(*KEY, "t", "top", day)
-    # the newest version known before each day of a key that has references, and whether any is ever known
+    refs, points = refs.select("*", day), points.select("*", day)
     folded = points.groupBy(*KEY, "day").agg(F.max("top").alias("top"))
     days = refs.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("n"))
     by_day = folded.select(*KEY, "day", "top", F.lit(0).cast("bigint").alias("n")).union(days.select(*KEY, "day", F.lit(None).cast(TOP), "n"))
     w = Window.partitionBy(*KEY).orderBy("day")
-    whole = F.max("top").over(Window.partitionBy(*KEY)).isNotNull()
-    carried = by_day.groupBy(*KEY, "day").agg(F.max("top").alias("top"), F.sum("n").alias("n")).select(*KEY, "day", "n", F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("top"), whole.alias("ever")).where("n > 0").drop("n")
+    ever = F.max("top").over(Window.partitionBy(*KEY)).isNotNull().alias("ever")
+    carried = by_day.groupBy(*KEY, "day").agg(F.max("top").alias("top"), F.sum("n").alias("n")).select(*KEY, "day", "n", F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("top"), ever).where("n > 0").drop("n")
     hot = F.broadcast(hot_keys(refs, [*KEY, "day"], hot_rows, MAX_HOT))
     n = F.coalesce("n_salts", F.lit(1))
     salts = F.explode(F.sequence(F.lit(0), n - 1)).alias("salt")
@@ -74,17 +98,15 @@ def judge(refs: DataFrame, points: DataFrame, hot_rows: int = 100_000) -> DataFr
     points = points.join(hot, [*KEY, "day"], "left").select(*KEY, "day", "t", "top", salts)
     carried = carried.join(hot, [*KEY, "day"], "left").select(*KEY, "day", "top", "ever", salts)
     none = lambda t: F.lit(None).cast(t)
-    time, top = refs.schema["t"].dataType, points.schema["top"].dataType
     events = (
-        keyed.select(*KEY, "day", "salt", F.lit(2).alias("step"), "t", "ref_id", none(top).alias("top"), none("boolean").alias("ever"))
+        keyed.select(*KEY, "day", "salt", F.lit(2).alias("step"), "t", "ref_id", none(TOP).alias("top"), none("boolean").alias("ever"))
         .union(points.select(*KEY, "day", "salt", F.lit(1), "t", none("bigint"), "top", none("boolean")))
-        .union(carried.select(*KEY, "day", "salt", F.lit(0), none(time), none("bigint"), "top", "ever"))
+        .union(carried.select(*KEY, "day", "salt", F.lit(0), none(refs.schema["t"].dataType), none("bigint"), "top", "ever"))
     )
-    # nulls sort first, so the carried state opens each day; at one time parents come before references
+    # nulls sort first, so the carried state opens each day
     w = Window.partitionBy(*KEY, "day", "salt").orderBy("t", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = events.select(*KEY, "step", "ref_id", "t", F.max("top").over(w).alias("now"), F.max("ever").over(w).alias("ever")).where("step = 2")
-    cause = F.when(~F.col("ever"), "missing").when(F.col("now").isNull(), "late").when(~F.col("now.alive"), "deleted")
-    return seen.select(*KEY, "ref_id", "t", cause.alias("cause"))
+    return seen.select(*KEY, "ref_id", "t", _cause(F.col("ever"), F.col("now")))
 
 
 class Ledger:
@@ -124,28 +146,30 @@ class Ledger:
             return self.spark.createDataFrame([], schema + ", batch int")
         return self.spark.read.schema(schema + ", batch int").option("basePath", f"{self.root}/{name}").parquet(*parts)
 
-    def advance(self, refs: DataFrame, parents: DataFrame, batch: int) -> None:
-        """Takes in a batch of references and parents; nulls in key or time are ignored, a null alive is alive."""
+    def advance(self, refs: DataFrame, parents: DataFrame, batch: int, count: bool = True) -> None:
+        """Takes in a batch of references and parents; nulls in key or time are ignored, a null alive is alive.
+
+        Without `count` the batch adds nothing to the periodic counts.
+        """
         refs = clean_refs(refs)
         self.time = refs.schema["t"].dataType.simpleString()
         put = lambda df, name: df.write.mode("overwrite").parquet(self._path(name, batch))
-        index, found = (self.table(n, batch - 1) for n in ("points", "found"))
-        put(change_points(parents), "points")
-        put(refs.groupBy(*KEY, period_of().alias("period")).agg(F.count(F.lit(1)).alias("n_refs")), "counts")
-        new = self.spark.read.schema(index.drop("batch").schema).parquet(self._path("points", batch))
-        if batch == 0:
-            judged, points = refs, new
-        else:
-            waiting = current(found).where("cause = 'missing'").join(new.select(*KEY).distinct(), KEY, "left_semi")
-            judged, _ = Scratch(self.spark, "judged").cut(refs.select(*KEY, "ref_id", "t").union(waiting.select(*KEY, "ref_id", "t")))
-            points = index.drop("batch").join(judged.select(*KEY).distinct(), KEY, "left_semi").union(new)
-        causes = judge(judged, points, self.hot_rows)
+        index, found = (self.table(n, batch - 1).drop("batch" if n == "points" else "") for n in ("points", "found"))
+        put(change_points(parents, self.hot_rows), "points")
+        counted = refs if count else refs.limit(0)
+        put(counted.groupBy(*KEY, period_of().alias("period")).agg(F.count(F.lit(1)).alias("n_refs")), "counts")
+        new = self.spark.read.schema(index.schema).parquet(self._path("points", batch))
         if batch == 0:
-            put(causes.where("cause is not null").distinct(), "found")
+            put(judge(refs, new, self.hot_rows).where("cause is not null").distinct(), "found")
             return
-        was = waiting.select(*KEY, "ref_id", "t", F.lit("missing").alias("was"))
-        changed = causes.join(was, [*KEY, "ref_id", "t"], "left").where("not (cause <=> was)").drop("was").distinct()
-        put(changed, "found")
+        waiting = current(found).where("cause = 'missing'").join(new.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "ref_id", "t")
+        judged = refs.union(waiting)
+        # the index is narrowed to the keys at issue first if they are few beside it
+        if index.count() > 10 * judged.count():
+            index = index.join(judged.select(*KEY).distinct(), KEY, "left_semi")
+        was = waiting.withColumn("was", F.lit("missing"))
+        changed = judge(judged, index.union(new), self.hot_rows).distinct().join(was.distinct(), [*KEY, "ref_id", "t"], "left")
+        put(changed.where("not (cause <=> was)").drop("was"), "found")
 
     def orphans(self, upto: int) -> DataFrame:
         """(ref_table, ref_key, ref_id, t, cause) of all orphans as they stand after a batch."""
@@ -178,24 +202,20 @@ def current(found: DataFrame) -> DataFrame:
     return found.groupBy(*KEY, "ref_id", "t").agg(F.max_by(F.struct("cause"), "batch").alias("c")).select(*KEY, "ref_id", "t", "c.cause")
 
 
-def replay(refs: DataFrame, parents: DataFrame, hot_rows: int = 100_000, batches: int = 2) -> tuple[Ledger, int]:
+def replay(refs: DataFrame, parents: DataFrame, hot_rows: int = 100_000, batches: int = 2, count: bool = True) -> tuple[Ledger, int]:
     """(ledger, last batch): takes the whole past in, in slices of equal length of time, from an empty ledger.
 
-    Both inputs are written once, in a folder for each slice.
+    Both inputs are read once for each slice, so they should be tables rather than costly plans.
     """
     spark = refs.sparkSession
-    tmp = Scratch(spark, "orphans")
     low, high = refs.agg(F.min("t"), F.max("t")).first() if batches > 1 else (None, None)
     if low is None or low == high:
         batches = 1
     cuts = [low + (high - low) * k / batches for k in range(1, batches)]
-    no = reduce(lambda c, cut: c + F.when(F.col("t") >= F.lit(cut), 1).otherwise(0), cuts, F.lit(0)).alias("slice")
-    sides = [(refs, None), (parents, None)]
-    if batches > 1:
-        sides = [tmp.cut(df.withColumn("slice", no), by="slice") for df in (refs, parents)]
-    ledger = Ledger(spark, f"{tmp.root}/ledger", hot_rows)
+    ledger = Ledger(spark, f"{Scratch(spark, 'orphans').home()}/ledger", hot_rows)
     for k in range(batches):
-        ledger.advance(*(df if path is None else df.where(F.col("slice") == k).drop("slice") for df, path in sides), k)
+        some = lambda df: reduce(DataFrame.where, ([F.col("t") >= F.lit(cuts[k - 1])] if k else []) + ([F.col("t") < F.lit(cuts[k])] if k < batches - 1 else []), df)  # noqa: B023, E731
+        ledger.advance(some(refs), some(parents), k, count)
     return ledger, batches - 1
 
 
@@ -207,7 +227,7 @@ def orphans(refs: DataFrame, parents: DataFrame, hot_rows: int = 100_000, batche
     the parent as seen. Empty inputs: without references nothing, without parents all are missing. Extra
     columns are ignored. The past is taken in by batches; their number changes nothing in the result.
     """
-    ledger, last = replay(refs, parents, hot_rows, batches)
+    ledger, last = replay(refs, parents, hot_rows, batches, count=False)
     return ledger.orphans(last).select("ref_table", "ref_id", "ref_key", "cause", period_of().alias("ref_month")).distinct()
 
 

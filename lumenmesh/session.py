@@ -80,6 +80,11 @@ class Scratch:
         kept = df.schema if by is None else T.StructType([f for f in df.schema if f.name != by] + [df.schema[by]])
         return self.spark.read.schema(kept).parquet(path), path
 
+    def home(self) -> str:
+        """The folder itself, for tables that are written otherwise; it is cleaned like the others."""
+        self.made[self.root] = self.spark
+        return self.root
+
     def drop(self, path: str) -> None:
         _delete(self.spark, path)
 
@@ -118,3 +123,19 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int, max_hot: int = 10_0
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("n_salts"))
 
+
+
+def hot_list(df: DataFrame, keys: list[str], threshold: int, max_hot: int = 10_000) -> DataFrame | None:
+    """`hot_keys`, worked out at once; None if there are none, which counts by hash tell without a shuffle of the keys.
+
+    A key that is hot makes its hash bucket at least as full; only the rows of such buckets are counted by key.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(1 << 16)).alias("bucket")
+    counts, _ = Scratch(df.sparkSession, "buckets").cut(df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    full = counts.where(F.col("n") > max(threshold, -(-rows // max_hot))).select("bucket")
+    if full.isEmpty():
+        return None
+    some = df.select(*keys, bucket).join(F.broadcast(full), "bucket", "left_semi")
+    hot, _ = Scratch(df.sparkSession, "hot").cut(hot_keys(some, keys, threshold, max_hot, total=rows))
+    return None if hot.isEmpty() else hot
