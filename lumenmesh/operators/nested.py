@@ -1,9 +1,11 @@
 """Deeply nested records turned into flat parent and child tables, by Dewey labelling.
 
 Every element of a record gets a Dewey label: the ordinals on the way from the root to it, such as
-(3, 1, 2). The label of an element's parent is the label without its last ordinal, so parent links need
+(3, 1, 2), counted over all children of an element, known or not, so labels do not change when more kinds
+become known. The label of an element's parent is the label without its last ordinal, so parent links need
 no pointers; an element's schema path (the kinds on the way, such as relation/member/way/nd) tells which
-flat table it belongs to. A record is parsed, labelled and linked within one task: no shuffle.
+flat table it belongs to. A record is parsed, labelled and linked within one task: no shuffle. The tables are
+written side by side, one folder for each schema path. Paths that the layout does not know can be listed too.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from __future__ import annotations
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import Scratch
 
 #: Which child kinds each kind may hold, under which names they are written.
 CHILDREN = {
@@ -26,50 +30,70 @@ CHILDREN = {
     "nd": {},
     "tag": {},
 }
-#: The attribute that names an element of a kind.
+#: The attribute that names an element of a kind, and the one that holds its value.
 KEY = {"way": "id", "relation": "id", "nd": "ref", "member": "ref", "tag": "k"}
+VALUE = {"tag": "v", "member": "role"}
+#: What a record may be wrapped in.
+ROOTS = ("osm",)
+
+#: Columns of an element, in order; `error` stands alone in a row for a record that can't be parsed.
+TYPES = {
+    "label": pa.list_(pa.int32()), "schema_path": pa.string(), "kind": pa.string(), "pos": pa.int32(), "key": pa.string(), "value": pa.string(),
+    "parent_path": pa.string(), "parent_kind": pa.string(), "parent_key": pa.string(), "error": pa.string(),
+}
+_SQL = {pa.list_(pa.int32()): "array<int>", pa.string(): "string", pa.int32(): "int"}
+
+
+class Shape:
+    """A schema path: what its elements may hold. Shapes of unknown paths are made as they are met."""
+
+    __slots__ = ("above", "key", "kids", "kind", "known", "path", "value")
+
+    def __init__(self, kind: str, above: Shape | None, known: bool):
+        self.kind, self.above, self.known = kind, above, known
+        self.path = "" if above is None else f"{above.path}/{kind}" if above.path else kind
+        self.key, self.value = (KEY.get(kind), VALUE.get(kind)) if known else (None, None)
+        self.kids: dict[str, Shape] = {}
+        if known:
+            own: dict[str, Shape] = {}
+            for name, k in CHILDREN[kind].items():
+                self.kids[name] = own.setdefault(k, Shape(k, self, True))
+
+    def kid(self, name: str) -> Shape:
+        if name not in self.kids:
+            self.kids[name] = Shape(name, self, False)
+        return self.kids[name]
+
+    def paths(self) -> list[Shape]:
+        """The known shapes below this one."""
+        own = {id(k): k for k in self.kids.values() if k.known}.values()
+        return [x for k in own for x in [k, *k.paths()]]
 
-NODE_SCHEMA = T.StructType(
-    [
-        T.StructField("label", T.ArrayType(T.IntegerType())),
-        T.StructField("schema_path", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("key", T.StringType()),
-        T.StructField("value", T.StringType()),
-        T.StructField("parent_path", T.StringType()),
-        T.StructField("parent_kind", T.StringType()),
-        T.StructField("parent_key", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ]
-)
-
-Element = tuple[str, dict]  # kind, fields
-
-
-def _xml_children(e: ET.Element, kind: str) -> Iterator[tuple[str, ET.Element, dict]]:
-    for c in e:
-        if (k := CHILDREN[kind].get(c.tag)) is not None:
-            yield k, c, c.attrib
 
+ROOT = Shape("extract", None, True)
 
-def _as_list(v: object) -> list:
-    return [] if v is None else v if isinstance(v, list) else [v]
+
+def _xml_children(e: ET.Element, shape: Shape) -> Iterator[tuple[str, ET.Element, dict]]:
+    for c in e:
+        yield c.tag if c.tag[0] != "{" else c.tag.rpartition("}")[2], c, c.attrib
 
 
-def _json_children(v: object, kind: str) -> Iterator[tuple[str, object, dict]]:
+def _json_children(v: object, shape: Shape) -> Iterator[tuple[str, object, dict]]:
     """Children in document order; one value may stand for a list of one, and a bare value for its key."""
     if not isinstance(v, dict):
         return
     for name, x in v.items():
-        k = CHILDREN[kind].get(name)
-        if k is None:
-            continue
-        if k == "tag" and isinstance(x, dict) and "k" not in x:
-            x = [{"k": a, "v": b} for a, b in x.items()]
-        for c in _as_list(x):
-            if c is not None:
-                yield k, c, c if isinstance(c, dict) else {KEY[k]: c}
+        k = shape.kids.get(name)
+        if k is not None and k.known:
+            if k.kind == "tag" and isinstance(x, dict) and "k" not in x:
+                x = [{"k": a, "v": b} for a, b in x.items()]
+            for c in x if isinstance(x, list) else (x,):
+                if c is not None:
+                    yield name, c, c if isinstance(c, dict) else {k.key: c}
+        elif isinstance(x, (dict, list)):  # other bare values are fields
+            for c in x if isinstance(x, list) else (x,):
+                if c is not None:
+                    yield name, c, c if isinstance(c, dict) else {}
 
 
 def _text(v: object) -> str | None:
@@ -78,48 +102,65 @@ def _text(v: object) -> str | None:
     return json.dumps(v, ensure_ascii=False)
 
 
-def label_record(payload: str | None, payload_kind: str | None) -> list[dict]:
-    """The labelled elements of one payload, parents before children.
+def walk(payload: str | None, payload_kind: str | None, everything: bool = False) -> Iterator[tuple]:
+    """The labelled elements of one payload in the order of TYPES, parents before children.
 
-    A null or blank payload holds none. One that cannot be parsed gives a single row that has only
-    `error`. Unknown elements and fields are skipped; null elements are none.
+    A null or blank payload holds none. One that cannot be parsed gives a single row that has only the
+    error. Null elements are none. Elements of unknown paths take their ordinals, but come out only with
+    `everything`: then their bare fields are no elements, and their kind is the name they are written under.
     """
     if payload is None or not payload.strip():
-        return []
-    text = payload.lstrip("﻿ \t\r\n")
+        return
+    text = payload.lstrip("\ufeff \t\r\n")
     try:
         if (payload_kind or ("xml" if text[:1] == "<" else "json")) == "xml":
             root, children = ET.fromstring(text.encode("utf-8", "surrogatepass")), _xml_children
         else:
             root, children = json.loads(text), _json_children
-            if isinstance(root, dict) and isinstance(root.get("osm"), dict):
-                root = root["osm"]
+            for name in ROOTS:
+                if isinstance(root, dict) and isinstance(root.get(name), dict):
+                    root = root[name]
     except (ValueError, RecursionError, ET.ParseError) as e:
-        return [{"error": f"{type(e).__name__}: {e}"}]
-    known: dict[tuple[int, ...], tuple[str, str, str | None]] = {(): ("", "extract", None)}
-    out: list[dict] = []
+        yield (None,) * 9 + (f"{type(e).__name__}: {e}",)
+        return
+    above: dict[tuple[int, ...], tuple[Shape, str | None]] = {(): (ROOT, None)}
     stack: list[tuple[tuple[int, ...], object]] = [((), root)]
     while stack:
         label, element = stack.pop()
-        path, kind, _ = known[label]
+        shape = above[label][0]
         counts: dict[str, int] = {}
         held = []
-        for n, (k, child, fields) in enumerate(children(element, kind), 1):
-            counts[k] = counts.get(k, 0) + 1
-            key = _text(fields.get(KEY[k]))
-            if key is None and k == "member":  # a member without ref is known by the way it holds
-                key = next((_text(f.get("id")) for _, _, f in children(child, "member")), None)
+        n = 0
+        for name, child, fields in children(element, shape):
+            n += 1
+            k = shape.kids.get(name)
+            if k is None or not k.known:
+                if not everything:
+                    continue
+                k = shape.kid(name)
+            pos = counts[k.kind] = counts.get(k.kind, 0) + 1
+            key = fields.get(k.key) if k.key else None
+            if key is not None and type(key) is not str:
+                key = _text(key)
+            if key is None and k.kind == "member":  # a member without ref is known by the way it holds
+                key = next((_text(f.get("id")) for m, _, f in children(child, k) if m in k.kids), None)
+            value = fields.get(k.value) if k.value else None
             own = (*label, n)
-            known[own] = (f"{path}/{k}" if path else k, k, key)
-            above = known[own[:-1]]
-            out.append({"label": own, "schema_path": known[own][0], "kind": k, "pos": counts[k], "key": key, "value": _text(fields.get("v" if k == "tag" else "role" if k == "member" else "")), "parent_path": above[0] or "extract", "parent_kind": above[1], "parent_key": above[2], "error": None})
-            held.append((own, child))
+            parent, parent_key = above[own[:-1]]
+            yield own, k.path, k.kind, pos, key, _text(value), parent.path or "extract", parent.kind, parent_key, None
+            if k.kids or everything:
+                above[own] = (k, key)
+                held.append((own, child))
         stack.extend(reversed(held))
-    return out
 
 
-def shred(df: DataFrame, payload: str = "payload", payload_kind: str = "payload_kind", keep: list[str] | None = None) -> DataFrame:
-    """All elements of all payloads: the columns `keep` of their record (extract_id) and NODE_SCHEMA.
+def label_record(payload: str | None, payload_kind: str | None, everything: bool = False) -> list[dict]:
+    """`walk` as dicts; an error has no other field."""
+    return [{"error": r[-1]} if r[-1] is not None else dict(zip(TYPES, r)) for r in walk(payload, payload_kind, everything)]
+
+
+def shred(df: DataFrame, payload: str = "payload", payload_kind: str = "payload_kind", keep: list[str] | None = None, columns: list[str] | None = None, everything: bool = False) -> DataFrame:
+    """All elements of all payloads: the columns `keep` of their record (extract_id) and those of TYPES, or only `columns`.
 
     Each row has the Dewey label, the schema path that names its flat table, the position among its
     parent's children of the same kind, its key, and its parent's path, kind and key, found by
@@ -128,65 +169,62 @@ def shred(df: DataFrame, payload: str = "payload", payload_kind: str = "payload_
     gives none. Columns of df that are not in `keep` are never read, so their names cannot clash.
     """
     keep = ["extract_id"] if keep is None else keep
-    schema = T.StructType([df.schema[c] for c in keep] + NODE_SCHEMA.fields)
-    names = [f.name for f in NODE_SCHEMA.fields]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found: dict[str, list] = {n: [] for n in names}
-            at: list[int] = []
-            for i, (p, k) in enumerate(zip(b["_payload"], b["_kind"])):
-                for node in label_record(p, k):
-                    at.append(i)
-                    for n in names:
-                        found[n].append(node.get(n))
-                if len(at) > 50_000:  # long records leave in pieces
-                    yield _rows(b, at, found, keep)
-                    at, found = [], {n: [] for n in names}
-            yield _rows(b, at, found, keep)
+    names = [n for n in TYPES if columns is None or n in columns]
+    ddl = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {_SQL[TYPES[n]]}" for n in names])
+    at = [list(TYPES).index(n) for n in names]
 
-    return df.select(*keep, F.col(payload).alias("_payload"), F.col(payload_kind).alias("_kind")).mapInPandas(run, schema)
+    def batch(b: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        found = list(zip(*rows)) if rows else [()] * len(TYPES)
+        kept = [b.column(k).take(pa.array(of, pa.int32())) for k in range(len(keep))]
+        return pa.RecordBatch.from_arrays(kept + [pa.array(found[k], TYPES[n]) for k, n in zip(at, names)], names=[*keep, *names])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of: list[int] = []
+            rows: list[tuple] = []
+            for i, (p, k) in enumerate(zip(b.column("_payload").to_pylist(), b.column("_kind").to_pylist())):
+                for row in walk(p, k, everything):
+                    rows.append(row)
+                    if len(rows) == 50_000:  # long records leave in pieces
+                        of += [i] * (len(rows) - len(of))
+                        yield batch(b, of, rows)
+                        of, rows = [], []
+                of += [i] * (len(rows) - len(of))
+            yield batch(b, of, rows)
 
-def _rows(b: pd.DataFrame, at: list[int], found: dict[str, list], keep: list[str]) -> pd.DataFrame:
-    out = b[keep].iloc[at].reset_index(drop=True)
-    for n, v in found.items():
-        out[n] = pd.Series(v, dtype=object)
-    return out
+    return df.select(*keep, F.col(payload).alias("_payload"), F.col(payload_kind).alias("_kind")).mapInArrow(run, ddl)
 
 
 def tables_by_path(nodes: DataFrame, record: str = "extract_id") -> dict[str, DataFrame]:
-    """The flat tables, one for each schema path; each is a filter on the same labelled elements.
+    """The flat tables, one for each known schema path, written side by side in the shared folder.
 
-    Paths come from CHILDREN, so none has to be collected. A row has the record's key, the Dewey label,
-    the label of its parent, position, key and value.
+    A row has the record's key, the Dewey label, the label of its parent, position, key, value and the
+    parent's key. Elements are made once, whatever number of tables is read.
     """
-    paths, todo = [], [("", "extract")]
-    while todo:
-        path, kind = todo.pop()
-        for k in sorted(set(CHILDREN[kind].values())):
-            p = f"{path}/{k}" if path else k
-            paths.append(p)
-            todo.append((p, k))
-    parent = F.slice("label", 1, F.size("label") - 1)
-    return {p: nodes.where(F.col("schema_path") == p).select(record, "label", parent.alias("parent_label"), "pos", "key", "value") for p in paths}
+    kept = [record, "label", "pos", "key", "value", "parent_key", "schema_path"]
+    have = [c for c in kept if c in nodes.columns]
+    stored, _ = Scratch(nodes.sparkSession, "tables").cut(nodes.where("schema_path is not null").select(*have), by="schema_path")
+    parent = [F.slice("label", 1, F.size("label") - 1).alias("parent_label")] if "label" in have else []
+    return {s.path: stored.where(F.col("schema_path") == s.path).select(*have[:-1], *parent) for s in ROOT.paths()}
 
 
 def links(nodes: DataFrame, record: str = "extract_id") -> DataFrame:
-    """Distinct parent-child links: (parent_kind, parent_id, child_kind, child_pos, child_key).
+    """Distinct parent-child links, read from the tables by path: (parent_kind, parent_id, child_kind, child_pos, child_key).
 
     A way or relation is a child of its record only if it stands directly in it; a member is a child
     by its ref, also when it holds the way. child_pos is 0 for tags, which have no order.
     """
-    direct = F.col("parent_kind") == "extract"
-    return (
-        nodes.where("error is null and parent_kind <> 'member'")
-        .select(
-            "parent_kind",
-            F.when(direct, F.col(record).cast("bigint")).otherwise(F.col("parent_key").try_cast("bigint")).alias("parent_id"),
-            F.col("kind").alias("child_kind"),
-            F.when(F.col("kind") == "tag", F.lit(0)).otherwise(F.col("pos")).cast("int").alias("child_pos"),
-            F.col("key").alias("child_key"),
-        )
-        .distinct()
-    )
+    tables, out = tables_by_path(nodes, record), []
+    for s in ROOT.paths():
+        if s.above.kind != "member":
+            parent = F.col(record).cast("bigint") if s.above is ROOT else F.col("parent_key").try_cast("bigint")
+            pos = F.lit(0) if s.kind == "tag" else F.col("pos")
+            out.append(tables[s.path].select(F.lit(s.above.kind).alias("parent_kind"), parent.alias("parent_id"), F.lit(s.kind).alias("child_kind"), pos.cast("int").alias("child_pos"), F.col("key").alias("child_key")))
+    return reduce(DataFrame.union, out).distinct()
+
+
+def unread(nodes: DataFrame, record: str = "extract_id") -> DataFrame:
+    """(schema_path, error, n_rows, n_records) of what no table holds: unknown paths of `shred(everything=True)`, and errors."""
+    known = [s.path for s in ROOT.paths()]
+    lost = nodes.where(F.col("error").isNotNull() | ~F.col("schema_path").isin(known))
+    return lost.groupBy("schema_path", "error").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(record).alias("n_records"))

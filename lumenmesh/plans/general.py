@@ -12,12 +12,17 @@ from ..session import Scratch, table
 from ..sources import stats
 
 
-def _elements(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
-    return nested.shred(table(spark, d, "osm_extracts"), keep=keep)
+def _elements(spark: SparkSession, d: str, keep: list[str], columns: list[str] | None = None, everything: bool = False) -> DataFrame:
+    return nested.shred(table(spark, d, "osm_extracts"), keep=keep, columns=columns, everything=everything)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.links(_elements(spark, d, ["extract_id"]))
+    return nested.links(_elements(spark, d, ["extract_id"], ["label", "schema_path", "pos", "key", "parent_key"]))
+
+
+def p1_unread(spark: SparkSession, d: str) -> DataFrame:
+    """What no flat table holds: unknown schema paths, and payloads that can't be parsed."""
+    return nested.unread(_elements(spark, d, ["extract_id"], ["schema_path", "error"], everything=True))
 
 
 def p1_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +84,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 def _references_and_parents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """What refers to what, and what there is; payloads are parsed once."""
-    e = _elements(spark, d, ["captured_at"]).where("kind = 'way' or parent_kind in ('way', 'relation') and kind in ('nd', 'member')")
+    e = _elements(spark, d, ["captured_at"], ["kind", "key", "parent_kind", "parent_key"]).where("kind = 'way' or parent_kind in ('way', 'relation') and kind in ('nd', 'member')")
     e, _ = Scratch(spark, "elements").cut(e.select("captured_at", "kind", "key", F.col("parent_key").try_cast("bigint").alias("parent_key")))
     table_of = F.when(F.col("kind") == "nd", "way_nd").otherwise("relation_member")
     inner = e.where("kind <> 'way'").select(table_of.alias("ref_table"), F.col("parent_key").alias("ref_id"), F.col("key").alias("ref_key"), F.col("captured_at").alias("t"))

@@ -42,6 +42,18 @@ def test_json_layouts_and_bad_payloads():
     assert "error" in nested.label_record('{"way":' + deep, "json")[0]
 
 
+def test_labels_count_all_children_and_unknown_paths_are_listed(spark):
+    wrapped = "<osm><create><way id='4'><nd ref='1'/></way></create><way id='5'><bounds/><nd ref='2'/></way></osm>"
+    rows = nested.label_record(wrapped, "xml")
+    assert [(r["label"], r["schema_path"], r["key"]) for r in rows] == [((2,), "way", "5"), ((2, 2), "way/nd", "2")]
+    every = {r["schema_path"]: r for r in nested.label_record(wrapped, "xml", everything=True)}
+    assert set(every) == {"create", "create/way", "create/way/nd", "way", "way/bounds", "way/nd"} and every["create/way/nd"]["label"] == (1, 1, 1)
+    odd = '{"elements": [{"type": "way", "nodes": [1]}, {"type": "node"}], "way": {"id": 1}}'
+    df = spark.createDataFrame([(1, wrapped, "xml"), (2, odd, "json"), (2, odd, "json"), (3, "{", "json")], "extract_id bigint, payload string, payload_kind string")
+    lost = {(r["schema_path"], r["error"] is not None): (r["n_rows"], r["n_records"]) for r in nested.unread(nested.shred(df, everything=True)).collect()}
+    assert lost == {("create", False): (1, 1), ("create/way", False): (1, 1), ("create/way/nd", False): (1, 1), ("way/bounds", False): (1, 1), ("elements", False): (4, 1), ("elements/nodes", False): (2, 1), (None, True): (1, 1)}
+
+
 def test_links_repeated_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, XML, "xml", 9), (1, XML, "xml", 9), (2, JSON, "json", 9), (3, None, None, 9), (4, "{", "json", 9)], "extract_id bigint, payload string, payload_kind string, key int")
     rows = {tuple(r) for r in nested.links(nested.shred(df)).collect()}
