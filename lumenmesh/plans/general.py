@@ -17,7 +17,7 @@ def _elements(spark: SparkSession, d: str, keep: list[str], columns: list[str] |
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.links(_elements(spark, d, ["extract_id"], ["label", "schema_path", "pos", "key", "parent_key"]))
+    return nested.links(_elements(spark, d, ["extract_id"], ["schema_path", "pos", "key", "parent_key"]))
 
 
 def p1_unread(spark: SparkSession, d: str) -> DataFrame:
