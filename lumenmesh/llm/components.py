@@ -24,7 +24,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
-def connected_groups(edges: DataFrame, src: str, dst: str, vertices: DataFrame | None = None, vertex: str = "node_id", max_rounds: int = 60) -> DataFrame:
+def connected_groups(edges: DataFrame, src: str, dst: str, vertices: DataFrame | None = None, vertex: str = "node_id") -> DataFrame:
     """(node_id, group_id): one row per vertex; group_id is the smallest vertex id of its group.
 
     edges: rows linking two bigint columns; direction, repeats and order do not matter. A row with a
@@ -32,9 +32,10 @@ def connected_groups(edges: DataFrame, src: str, dst: str, vertices: DataFrame |
     makes its end a vertex. vertices: further vertices, which may occur in no edge (nulls ignored).
     Empty inputs give an empty result. Extra columns are ignored.
 
-    Hubs: minima are partly aggregated before they are shuffled; the joins carry one row per vertex on
-    one side, so a hub's rows are streamed, and AQE splits its partition (skew join). Rounds are cut by
-    tables in the shared folder, of which only the current ones are kept.
+    Hubs: minima are partly aggregated before they are shuffled, and what a vertex is told is spread by both
+    ends. The joins carry one row per vertex on one side; nothing asks for their order of rows, so AQE may
+    split a hub's partition (skew join), and below its threshold a hub's rows are streamed. Rounds are cut
+    by tables in the shared folder, of which only the current ones are kept. They go on until no edge is left.
     """
     spark = edges.sparkSession
     tmp = Scratch(spark, "groups")
@@ -44,13 +45,11 @@ def connected_groups(edges: DataFrame, src: str, dst: str, vertices: DataFrame |
     graph, graph_path = raw.where("a <> b"), None
     forest: list[DataFrame] = []
     while True:
-        if len(forest) >= max_rounds:
-            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
         e = _both_ways(graph)
         least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # (v, m): v was told that m is the minimum of a closed neighbourhood that holds v
         told = e.join(least, "u").select(F.col("v").alias("u"), "m").union(least).distinct()
-        told, told_path = tmp.cut(told.repartition("u"))
+        told, told_path = tmp.cut(told)
         best = told.groupBy("u").agg(F.min("m").alias("best"), F.max(F.col("m") == F.col("u")).alias("named"))
         best, best_path = tmp.cut(best)
         forest.append(best.where(~F.col("named")).select("u", F.col("best").alias("parent")))
@@ -63,11 +62,14 @@ def connected_groups(edges: DataFrame, src: str, dst: str, vertices: DataFrame |
         if graph.isEmpty():
             break
     # seed ids flow down: the last to drop out hang below seeds, earlier ones below seeds or later ones
-    labels = forest.pop().select("u", F.col("parent").alias("g"))
+    # each level is written once: a vertex hangs below a seed or below one of any later level
+    levels = [forest.pop().select("u", F.col("parent").alias("g"))]
     while forest:
         below = forest.pop()
-        hung = below.join(labels.select(F.col("u").alias("parent"), "g"), "parent", "left").select("u", F.coalesce("g", "parent").alias("g"))
-        labels, _ = tmp.cut(labels.union(hung)) if forest else (labels.union(hung), "")
+        known = reduce(DataFrame.union, levels).select(F.col("u").alias("parent"), "g")
+        hung = below.join(known, "parent", "left").select("u", F.coalesce("g", "parent").alias("g"))
+        levels.append(tmp.cut(hung)[0] if forest else hung)
+    labels = reduce(DataFrame.union, levels)
     everyone = [raw.select(F.col("a").alias(vertex)), raw.select(F.col("b").alias(vertex))]
     if vertices is not None:
         everyone.append(vertices.select(F.col(vertices.columns[0] if vertex not in vertices.columns else vertex).cast("bigint").alias(vertex)).where(F.col(vertex).isNotNull()))

@@ -46,6 +46,19 @@ def test_groups_against_union_find(spark, seed):
     assert dict(map(tuple, got)) == _groups(edges, [9002, 3])
 
 
+def test_hub_told_many_minima(spark):
+    """One vertex between 10^6 others, each of which has a smaller neighbour of its own: a million different minima meet at it."""
+    n = 1_000_000
+    hub = 10 * n
+    i = F.col("id")
+    edges = spark.range(n).select(i.alias("src"), (i + n).alias("dst")).union(spark.range(n).select((i + n).alias("src"), F.lit(hub).alias("dst")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = components.connected_groups(edges, "src", "dst").agg(F.count("*"), F.max("group_id"), F.min("group_id"), F.count_distinct("node_id")).first()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(got) == (2 * n + 1, 0, 0, 2 * n + 1)
+
+
 def test_groups_of_nothing(spark):
     none = spark.createDataFrame([], "src bigint, dst bigint")
     assert components.connected_groups(none, "src", "dst").count() == 0
