@@ -266,8 +266,9 @@ def supply_hops(spark, d):
 
 
 def gateway_per_component(spark, d):
-    """One node of each component, by a hash draw."""
-    return graph.sample_per(components(spark, d), ["component"], "node_id", 1, SEED, "gateway").select("component", "node_id")
+    """One node of each component, by an arithmetic draw."""
+    draw = lambda component, node: (node * 7919 + component * 104729 + SEED) % 1000003
+    return graph.top_by(components(spark, d), ["component"], [draw(F.col("component"), F.col("node_id")), "node_id"]).select("component", "node_id")
 
 
 def thinned_nodes(spark, d):
@@ -566,6 +567,68 @@ pd as (select pattern_id, coalesce(degree, 0) degree from pt left join sd using
 _S = _E + ", both_ways as (select src a, dst b from e where con_type = 'short' union select dst, src from e where con_type = 'short')"
 
 
+#: Walk from each node of the short graph to the least id of its component.
+_C = _S + ", walk(node_id, c) as (select node_id, node_id from n union select b, c from walk join both_ways on a = node_id where c < b), comp as (select node_id, min(c) component from walk group by 1)"
+#: Whether a segment (x1, y1) to (x2, y2) crosses a square (qx, qy) of 6 m: a part of it inside, not the whole of it.
+_CUT = """greatest(0.0, case when x2 = x1 then (case when x1 > qx and x1 < qx + 6 then 0 else 2 end) else least((qx - x1) / (x2 - x1), (qx + 6 - x1) / (x2 - x1)) end,
+    case when y2 = y1 then (case when y1 > qy and y1 < qy + 6 then 0 else 2 end) else least((qy - y1) / (y2 - y1), (qy + 6 - y1) / (y2 - y1)) end) t0,
+  least(1.0, case when x2 = x1 then 1 else greatest((qx - x1) / (x2 - x1), (qx + 6 - x1) / (x2 - x1)) end, case when y2 = y1 then 1 else greatest((qy - y1) / (y2 - y1), (qy + 6 - y1) / (y2 - y1)) end) t1,
+  x1 between qx and qx + 6 and x2 between qx and qx + 6 and y1 between qy and qy + 6 and y2 between qy and qy + 6 whole"""
+_Q = "q as (select s_suppkey b, (s_suppkey * 37 % 490)::double qx, (s_suppkey * 101 % 490)::double qy from supplier)"
+
+
+def _blocked(name: str, source: str, keys: str) -> str:
+    """Keys of the segments of a table that some square crosses which has a bin of 20 m in common with the segment's grid ray."""
+    return f"""{name}_ray as (select {keys}, floor(x1 / 20)::bigint x, floor(y1 / 20)::bigint y, abs(floor(x2 / 20) - floor(x1 / 20))::bigint dx, abs(floor(y2 / 20) - floor(y1 / 20))::bigint dy,
+  sign(floor(x2 / 20) - floor(x1 / 20))::bigint sx, sign(floor(y2 / 20) - floor(y1 / 20))::bigint sy, (abs(floor(x2 / 20) - floor(x1 / 20)) - abs(floor(y2 / 20) - floor(y1 / 20)))::bigint err, (abs(floor(x2 / 20) - floor(x1 / 20)) + abs(floor(y2 / 20) - floor(y1 / 20)))::bigint todo from {source}
+  union all select {keys}, x + case when err >= 0 and dx > 0 then sx else 0 end, y + case when err >= 0 and dx > 0 then 0 else sy end, dx, dy, sx, sy, err + case when err >= 0 and dx > 0 then -2 * dy else 2 * dx end, todo - 1 from {name}_ray where todo > 0),
+{name}_met as (select distinct {keys}, qx, qy from {name}_ray join q on x between floor(qx / 20) and floor((qx + 6) / 20) and y between floor(qy / 20) and floor((qy + 6) / 20)),
+{name} as (select distinct {keys} from (select {keys}, {_CUT} from {name}_met join {source} using ({keys})) where t1 - t0 > 1e-7 and not whole)"""
+
+
+_SIGHT = _E + f""", {_Q}, pair as (select src, dst, con_type, a.x x1, a.y y1, b.x x2, b.y y2 from e join n a on a.node_id = src join n b on b.node_id = dst),
+{_blocked("blocked", "pair", "src, dst")}"""
+_COARSE = _SIGHT + f""", bin as (select distinct floor(x / 20)::bigint bx, floor(y / 20)::bigint cy from n),
+link as (select a.bx ax, a.cy ay, b.bx bx, b.cy cy, (a.bx + 0.5::double) * 20 x1, (a.cy + 0.5::double) * 20 y1, (b.bx + 0.5::double) * 20 x2, (b.cy + 0.5::double) * 20 y2 from bin a, bin b),
+far as (select * from link where (x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2) between 900.0001 and 6400),
+{_blocked("shut", "far", "ax, ay, bx, cy")},
+spot as (select *, floor(x1 / 20)::bigint ax, floor(y1 / 20)::bigint ay, floor(x2 / 20)::bigint bx, floor(y2 / 20)::bigint cy from pair),
+kind as (select *, ((ax - bx) * (ax - bx) + (ay - cy) * (ay - cy)) * 400 <= 900 near from spot)"""
+#: Nodes one after the other; a node is kept if none that was kept before is within 5 m.
+_THIN = _N + """, o as (select *, row_number() over (order by node_id) r from n),
+walk(r, kept) as (select 0::bigint, []::struct(i bigint, x double, y double)[] union all
+  select o.r, case when len(list_filter(kept, lambda k: (k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) <= 25)) = 0 then list_append(kept, {'i': node_id, 'x': o.x, 'y': o.y}) else kept end from walk join o on o.r = walk.r + 1)"""
+#: Edges in order; one after the other is taken while both its ends have room of their type.
+_CAP = _E + """, o as (select *, row_number() over (order by src, dst) r from e), start as (select map_from_entries(list((node_id, 0))) m from n),
+walk(r, short_used, long_used, taken) as (select 0::bigint, m, m, false from start union all
+  select o.r, case when con_type = 'short' and ok then u else short_used end, case when con_type = 'long' and ok then u else long_used end, ok
+  from (select o.*, w.short_used, w.long_used, case when con_type = 'short' then w.short_used else w.long_used end m from walk w join o on o.r = w.r + 1) o,
+    lateral (select m[src] < 50 and m[dst] < 50 ok), lateral (select map_from_entries(list_transform(map_entries(m), lambda x: {'k': x.key, 'v': x.value + (x.key in (src, dst))::int})) u))"""
+
+
+def _metres_sql() -> str:
+    """The meridian series and Vincenty's inverse formula for two points of one latitude, in eight rounds."""
+    f, a = G.WGS84_F, G.WGS84_A
+    b, n = a * (1 - f), f / (2 - f)
+    a0 = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    terms = [(-3 / 2 * (n - n**3 / 8), 2), (15 / 16 * (n**2 - n**4 / 4), 4), (-35 / 48 * n**3, 6), (315 / 512 * n**4, 8)]
+    arc = lambda v: f"{a0!r}::double * ({v} + " + " + ".join(f"{c!r}::double * sin({k} * {v})" for c, k in terms) + ")"
+    parts = [
+        """p as (select distinct building_id, min_lat, min_lon, unnest(range(0, greatest(len(building_lat), len(building_lon)))) pos, building_lat la, building_lon lo from buildings join map_areas using (area_id) where building_lat is not null and building_lon is not null)""",
+        f"""v0 as (select building_id, pos, radians(min_lat) r1, radians(la[pos + 1]) r2, abs(radians(lo[pos + 1] - min_lon)) l, abs(radians(lo[pos + 1] - min_lon)) lam,
+          sin(atan({1 - f!r}::double * tan(radians(la[pos + 1])))) su, cos(atan({1 - f!r}::double * tan(radians(la[pos + 1])))) cu from p)""",
+    ]
+    for k in range(9):
+        parts.append(f"""a{k} as (select *, sqrt(cu * sin(lam) * cu * sin(lam) + cu * su * (1 - cos(lam)) * cu * su * (1 - cos(lam))) ss, su * su + cu * cu * cos(lam) cs from v{k})""")
+        parts.append(f"""b{k} as (select *, atan2(ss, cs) sigma, case when ss = 0 then 0 else cu * cu * sin(lam) / ss end sa from a{k})""")
+        parts.append(f"""c{k} as (select *, 1 - sa * sa c2, case when 1 - sa * sa = 0 then 0 else cs - 2 * su * su / (1 - sa * sa) end cm, {f / 16!r}::double * (1 - sa * sa) * (4 + {f!r}::double * (4 - 3 * (1 - sa * sa))) c from b{k})""")
+        if k < 8:
+            parts.append(f"""v{k + 1} as (select building_id, pos, r1, r2, l, su, cu, l + (1 - c) * {f!r}::double * sa * (sigma + c * ss * (cm + c * cs * (-1 + 2 * cm * cm))) lam from c{k})""")
+    parts.append(f"""d as (select *, c2 * {(a**2 - b**2) / b**2!r}::double u2 from c8), g as (select *, 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))) ka, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) kb from d)""")
+    length = f"{b!r}::double * ka * (sigma - kb * ss * (cm + kb / 4 * (cs * (-1 + 2 * cm * cm) - kb / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm))))"
+    return "with " + ", ".join(parts) + f" select distinct building_id, pos::int pos, round(abs({arc('r2')} - {arc('r1')}), 4) x, round({length}, 4) y from g"
+
+
 def oracle_sql() -> dict[str, str]:
     w = lambda ctes, body, rec="": f"with {rec}{ctes} {body}"
     marked = "select node_id, count(*) n_targets from b where {} group by 1"
@@ -630,5 +693,13 @@ def oracle_sql() -> dict[str, str]:
         "plot_segments": w(_E, "select src, dst, con_type, a.x x1, a.y y1, b.x x2, b.y y2 from e join n a on a.node_id = src join n b on b.node_id = dst where con_type = 'short'"),
         "plot_node_kinds": w(_N, "select node_id, x, y, case when node_id % 50 = 0 then 'gateway' when node_id % 2 = 0 then 'member' else 'other' end kind from n"),
         "building_box": "select area_id, min(list_min(building_lat)) min_lat, max(list_max(building_lat)) max_lat, min(list_min(building_lon)) min_lon, max(list_max(building_lon)) max_lon from buildings group by 1",
+        "gateway_per_component": w(_C, f"select component, node_id from (select component, node_id, row_number() over (partition by component order by (node_id * 7919 + component * 104729 + {SEED}) % 1000003, node_id) r from comp) where r = 1", "recursive "),
+        "thinned_nodes": w(_THIN, "select unnest(kept).i node_id from walk where r = (select max(r) from walk)", "recursive "),
+        "capped_edges": w(_CAP, "select src, dst, con_type from walk join o using (r) where taken", "recursive "),
+        "sight_edges": w(_SIGHT, "select src, dst, con_type from pair anti join blocked using (src, dst)", "recursive "),
+        "coarse_sight_edges": w(_COARSE, "select src, dst, con_type from kind anti join blocked using (src, dst) where near union all select src, dst, con_type from kind anti join shut using (ax, ay, bx, cy) where not near", "recursive "),
+        "building_metres": _metres_sql(),
+        # with endless arcs from the source to all nodes but the gateways, every cut parts just the gateways from the others
+        "max_flow_value": w(_E, "select count(*) filter (con_type = 'short')::double short_flow, count(*)::double full_flow from e where (src % 50 = 0) <> (dst % 50 = 0)"),
         "flow_arcs": w(_E, "select 1.0::double capacity, 2 * (select count(*) from e where con_type = 'short') n_arcs union all select 'inf'::double, (select count(*) from n)"),
     }
