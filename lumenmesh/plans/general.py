@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import drift, nested, orphans, proximity, quantities
 from ..session import Scratch, table
 from ..sources import stats
+from . import general_sql
 
 
 def _elements(spark: SparkSession, d: str, keep: list[str], columns: list[str] | None = None, everything: bool = False) -> DataFrame:
@@ -47,6 +48,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_cover_cells(spark: SparkSession, d: str) -> DataFrame:
     rings = proximity.local_rings(table(spark, d, "buildings"), table(spark, d, "map_areas"))
+    rings = rings.select("building_id", "area_id", "xs", "ys").dropDuplicates()
     return proximity.polygon_cells(rings, "building_id", "area_id", "xs", "ys").groupBy("level", "interior").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -180,6 +182,12 @@ select 'near' match_kind, id_1, id_2 from near union all select 'inside', id_1,
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": general_sql.P1_FOUND,
+        "p1_path_counts": general_sql.P1_PATHS,
+        "p2_cover_cells": general_sql.P2_CELLS,
+        "p6_found": general_sql.P6 + "select * from found",
+        "p6_orphans_by_month": general_sql.P6 + "select ref_table, ref_month, cause, count(*) n_orphans from found group by 1, 2, 3",
+        "p6_pending": general_sql.P6_PENDING,
         "p2_found": P2_SQL,
         "p4_found": P4_SQL + "select record_table, record_id, capacity_kbps from records where not is_mbps and capacity_kbps is not null",
         "p4_capacities": P4_SQL + "select * from records",
