@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import sql
 from .components import connected_groups, group_sizes
 from .leakage import leaked
 from .lookalike import look_alike_pairs, look_classes
@@ -69,7 +70,7 @@ walk(node_id, group_id) using key (node_id) as (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return sql.oracle_sql() | {
         "p3_found": P3_SQL + "select node_id, group_id from walk",
         "p3_group_sizes": P3_SQL + "select group_id, count(*) n_nodes from walk group by 1",
     }
