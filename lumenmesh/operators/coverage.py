@@ -40,6 +40,11 @@ def nodes_per_target(covered: DataFrame) -> DataFrame:
     return covered.groupBy("ti", "tj").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+def nodes_of_targets(covered: DataFrame) -> DataFrame:
+    """(ti, tj, node_id): the list of nodes of each target, as rows, so that none is too long for a task."""
+    return covered.select("ti", "tj", "node_id").distinct()
+
+
 def uncovered(all_targets: DataFrame, covered: DataFrame) -> DataFrame:
     return all_targets.join(covered.select("ti", "tj"), ["ti", "tj"], "left_anti")
 

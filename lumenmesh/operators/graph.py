@@ -166,6 +166,23 @@ def path_edges(paths: DataFrame, path: str = "path") -> DataFrame:
     return e.select(F.least("e.a", "e.b").alias("src"), F.greatest("e.a", "e.b").alias("dst")).distinct()
 
 
+def counts_along(tree: DataFrame, marked: DataFrame) -> DataFrame:
+    """(source, node_id, n_marked): how many marked nodes lie on the path from the source to each node, both included.
+
+    tree: (source, node_id, hops, parent) as `bfs` gives it. Sums are doubled along the parents: a tree of
+    depth n takes about log2(n) rounds.
+    """
+    tmp = Scratch(tree.sparkSession, "along")
+    m = marked.select("node_id", F.lit(1).alias("one")).distinct()
+    now, path = tmp.cut(tree.join(m, "node_id", "left").select("source", "node_id", F.col("parent").alias("up"), F.coalesce("one", F.lit(0)).cast("bigint").alias("n")))
+    while not now.where("up is not null").isEmpty():
+        above = now.select("source", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("n").alias("more"))
+        nxt, new = tmp.cut(now.join(above, ["source", "up"], "left").select("source", "node_id", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        tmp.drop(path)
+        now, path = nxt, new
+    return now.select("source", "node_id", F.col("n").alias("n_marked"))
+
+
 def thinned(nodes: DataFrame, radius: float) -> DataFrame:
     """Nodes kept if no kept node of a smaller id is within the radius: the greedy set in order of ids.
 

@@ -40,6 +40,12 @@ def average_bounds(bounds: DataFrame, capacity: float, gateway_total: float | No
     return bounds.agg(F.count(F.lit(1)).alias("n_patterns"), F.round(F.avg(v), 6).alias("avg_bound"))
 
 
+def series_ranges(df: DataFrame, series: list[str]) -> DataFrame:
+    """(series, least, most) of columns that are plotted together; nulls are left out."""
+    one = df.agg(*[f(c).cast("double").alias(f"{c}{k}") for c in series for k, f in (("<", F.min), (">", F.max))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"{c}<").alias("least"), F.col(f"{c}>").alias("most")) for c in series])))
+
+
 def benefits(paths: DataFrame, source_potential: DataFrame, sink_potential: DataFrame) -> DataFrame:
     """(src, dst, benefit) of paths (src, dst, n_new): what can flow over the path for each new node; positive only."""
     s = source_potential.where("potential > 0").select(F.col("node_id").alias("src"), F.col("potential").alias("s"))

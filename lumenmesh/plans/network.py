@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import capped, coverage, graph, measures, sight
 from ..session import Scratch, table
-from ..sources import text
+from ..sources import osm, stats, store, text
 from . import kernels as K
 from . import pipeline, relaxation
 
@@ -304,6 +304,116 @@ def flow_arcs(spark, d):
     return measures.flow_arcs(edges(spark, d).where("con_type = 'short'"), gateways(spark, d), nodes(spark, d).where("node_id % 50 <> 0").select("node_id")).groupBy("capacity").agg(F.count(F.lit(1)).alias("n_arcs"))
 
 
+def nodes_of_targets(spark, d):
+    return coverage.nodes_of_targets(covered(spark, d))
+
+
+def degree_ranges(spark, d):
+    return measures.series_ranges(degree_by_type(spark, d), ["short_degree", "long_degree"])
+
+
+def bound_series(spark, d):
+    """The curves of the static and the dynamic bound over the patterns."""
+    rows = upper_bound_per_pattern(spark, d).withColumnRenamed("upper_bound", "static").join(dynamic_bound_per_pattern(spark, d).withColumnRenamed("upper_bound", "dynamic"), "pattern_id")
+    return text.plot_series(rows, "pattern_id", ["static", "dynamic"])
+
+
+def _tree(spark, d):
+    return graph.bfs(edges(spark, d).where("con_type = 'short'"), gateways(spark, d))
+
+
+def path_new_nodes(spark, d):
+    """Nodes outside the network (the even ids) on the shortest path from each gateway to each node."""
+    return graph.counts_along(_tree(spark, d), nodes(spark, d).where("node_id % 2 = 1")).withColumnRenamed("n_marked", "n_new")
+
+
+def shortest_path_parents(spark, d):
+    return _tree(spark, d).where("parent is not null").select("source", "node_id", "parent")
+
+
+def shortest_path_edges(spark, d):
+    return graph.path_edges(_tree(spark, d).where("parent is not null").select(F.array("parent", "node_id").alias("path")))
+
+
+def static_spec_file(spark, d):
+    """A specification with one transceiver pair for each edge."""
+    n, g = nodes(spark, d), gateways(spark, d)
+    links = text.static_links(edges(spark, d).where("con_type = 'short'"))
+    return text.spec_lines(n.join(g, "node_id", "left_anti"), text.used_ports(links), links, g, CAPACITY).groupBy("value").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def residual_arcs(spark, d):
+    """Residual capacities of the short graph after its maximum flow: one unit on each edge from another node to a gateway."""
+    e, g = edges(spark, d).where("con_type = 'short'"), gateways(spark, d)
+    both = e.select("src", "dst").union(e.select("dst", "src"))
+    to = both.where("src % 50 <> 0 and dst % 50 = 0")
+    flows = to.withColumn("flow", F.lit(1.0)).union(to.select("dst", "src", F.lit(-1.0)))
+    arcs = measures.flow_arcs(e, g, nodes(spark, d).where("node_id % 50 <> 0").select("node_id")).where("capacity = 1")
+    return measures.residual_arcs(arcs, flows)
+
+
+def rounded_positions(spark, d):
+    return nodes(spark, d).select("node_id", G.half_away(F.col("x") - 250).alias("x"), G.half_away(F.col("y") - 250).alias("y"))
+
+
+# --- files written and read again -------------------------------------------
+
+
+def edge_list_round_trip(spark, d):
+    path = f"{Scratch(spark, 'files').home()}/edges"
+    text.write_edges(edges(spark, d), path)
+    return text.edges_with_type(text.read_edges(spark, path), nodes(spark, d), SHORT, LONG)
+
+
+def spec_round_trip(spark, d):
+    """Links of a specification after it was written as lines and read again."""
+    n, g, e = nodes(spark, d), gateways(spark, d), edges(spark, d).where("con_type = 'short'")
+    p = text.ports(n, g, 2, 3)
+    path = f"{Scratch(spark, 'files').home()}/spec"
+    text.write_lines(text.spec_lines(n.join(g, "node_id", "left_anti"), p, text.dynamic_links(e, p), g, CAPACITY).coalesce(1), path)
+    return text.read_spec(spark, path)["links"].select("u", "u_port", "v", "v_port", "capacity", "unit")
+
+
+def sight_file_round_trip(spark, d):
+    """The lines of a sight graph file, with how often each stands there."""
+    path = f"{Scratch(spark, 'files').home()}/sight"
+    text.write_lines(text.los_lines(nodes(spark, d).select("node_id", F.floor("x").alias("x"), F.floor("y").alias("y")), edges(spark, d)), path)
+    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def stats_round_trip(spark, d):
+    """Statistics rows appended to a file and read again; a missing value is written as N/A."""
+    n = nodes(spark, d).where("node_id % 10 = 0")
+    cast = lambda k, c, t: (F.when(F.col("node_id") % (k + 2) != 0, F.col("node_id") * (k + 1)) if t == "int" else F.when(F.col("node_id") % 3 != 0, F.floor(F.col("x")) / 2 + k)).cast(t).alias(c)
+    path = f"{Scratch(spark, 'files').home()}/stats"
+    for half in (0, 1):
+        text.append_stats(n.where(F.floor(F.col("node_id") % 20 / 10) == half).select(*[cast(k, c, t) for k, (c, t) in enumerate(stats.RESULT_ROW.items())]), path)
+    return text.read_stats(spark, path, stats.RESULT_ROW)
+
+
+def graph_store_round_trip(spark, d):
+    path = f"{Scratch(spark, 'files').home()}/graph"
+    store.save_graph(path, nodes(spark, d), edges(spark, d), gateways(spark, d))
+    g = store.load_graph(spark, path)
+    return graph.degree_summary(g["edges"], g["nodes"])
+
+
+def map_round_trip(spark, d):
+    """Corners of the buildings after they were written as a map extract in XML and read again."""
+    b = table(spark, d, "buildings").where("size(building_lat) > 2 and size(building_lat) = size(building_lon)").groupBy("building_id").agg(F.max(F.struct("building_lat", "building_lon")).alias("r"))
+    b = b.select("building_id", F.col("r.building_lat").alias("lat"), F.col("r.building_lon").alias("lon"))
+    corner = b.select("building_id", F.posexplode(F.arrays_zip("lat", "lon")).alias("pos", "p"))
+    n = corner.select(F.format_string('<node id="%d" lat="%s" lon="%s"/>', F.col("building_id") * 1000 + F.col("pos"), F.col("p.lat"), F.col("p.lon")).alias("value"))
+    refs = F.array_join(F.transform(F.sequence(F.lit(0), F.size("lat")), lambda k: F.format_string('<nd ref="%d"/>', F.col("building_id") * 1000 + k % F.size("lat"))), "")
+    w = b.select(F.concat(F.format_string('<way id="%d">', "building_id"), refs, F.lit('<tag k="building" v="yes"/></way>')).alias("value"))
+    path = f"{Scratch(spark, 'files').home()}/map"
+    wrap = lambda batches: (pd.DataFrame({"value": ["<osm>" + "".join(x["value"]) + "</osm>"]}) for x in batches)
+    # a document for each batch of elements, each in a file of its own
+    n.union(w).mapInPandas(wrap, "value string").write.option("maxRecordsPerFile", 1).text(path)
+    r = osm.building_rings(osm.read_map(spark, path))
+    return r.select("building_id", F.size("lat").alias("n_corners"), F.round(F.array_min("lat"), 7).alias("least_lat"), F.round(F.array_max("lon"), 7).alias("most_lon"))
+
+
 # --- scenario kernels -------------------------------------------------------
 
 
@@ -530,7 +640,9 @@ nodes_per_target legacy_targets_per_node uncovered_targets coverage_ratio induce
 node_set_intersect node_set_union far_from_gateways gateway_capacity pattern_sample upper_bound_per_pattern
 dynamic_bound_per_pattern average_bound link_numbering dynamic_spec_links spec_file graph_file ray_cells building_bins
 sight_edges coarse_sight_edges supply_degrees supply_components components component_count bfs_levels shortest_path_lengths
-supply_hops gateway_per_component thinned_nodes plot_segments plot_node_kinds building_box building_metres capped_edges flow_arcs
+supply_hops gateway_per_component thinned_nodes plot_segments plot_node_kinds nodes_of_targets degree_ranges
+bound_series path_new_nodes shortest_path_parents shortest_path_edges static_spec_file residual_arcs rounded_positions
+edge_list_round_trip spec_round_trip sight_file_round_trip stats_round_trip graph_store_round_trip map_round_trip building_box building_metres capped_edges flow_arcs
 gateway_choice greedy_cover disconnected_cover backbone_tree path_benefits best_path
 degree_reduction max_flow_value source_potential sink_potential dynamic_augment static_augment static_pattern_flows
 dynamic_pattern_flows average_flows equivalent_static_ports relaxed_bound scenario_rows master_rows""".split()
@@ -569,6 +681,8 @@ _S = _E + ", both_ways as (select src a, dst b from e where con_type = 'short' u
 
 #: Walk from each node of the short graph to the least id of its component.
 _C = _S + ", walk(node_id, c) as (select node_id, node_id from n union select b, c from walk join both_ways on a = node_id where c < b), comp as (select node_id, min(c) component from walk group by 1)"
+#: Breadth-first search from each gateway over short edges; the parent is the least one.
+_WALK = _S + ", walk(source, node_id, hops, parent) using key (source, node_id) as (select node_id, node_id, 0, null::bigint from n where node_id % 50 = 0 union (select w.source, b, min(w.hops) + 1, min(a) from walk w join both_ways on a = w.node_id left join recurring.walk o on o.source = w.source and o.node_id = b where o.node_id is null group by 1, 2))"
 #: Whether a segment (x1, y1) to (x2, y2) crosses a square (qx, qy) of 6 m: a part of it inside, not the whole of it.
 _CUT = """greatest(0.0, case when x2 = x1 then (case when x1 > qx and x1 < qx + 6 then 0 else 2 end) else least((qx - x1) / (x2 - x1), (qx + 6 - x1) / (x2 - x1)) end,
     case when y2 = y1 then (case when y1 > qy and y1 < qy + 6 then 0 else 2 end) else least((qy - y1) / (y2 - y1), (qy + 6 - y1) / (y2 - y1)) end) t0,
@@ -693,6 +807,27 @@ def oracle_sql() -> dict[str, str]:
         "plot_segments": w(_E, "select src, dst, con_type, a.x x1, a.y y1, b.x x2, b.y y2 from e join n a on a.node_id = src join n b on b.node_id = dst where con_type = 'short'"),
         "plot_node_kinds": w(_N, "select node_id, x, y, case when node_id % 50 = 0 then 'gateway' when node_id % 2 = 0 then 'member' else 'other' end kind from n"),
         "building_box": "select area_id, min(list_min(building_lat)) min_lat, max(list_max(building_lat)) max_lat, min(list_min(building_lon)) min_lon, max(list_max(building_lon)) max_lon from buildings group by 1",
+        "nodes_of_targets": w(_T, "select ti, tj, node_id from b where hit"),
+        "degree_ranges": w(_E, ", g as (select n.node_id, count(*) filter (con_type = 'short') s, count(*) filter (con_type = 'long') l from n left join ends using (node_id) group by 1) select 'short_degree' series, min(s)::double least, max(s)::double most from g union all select 'long_degree', min(l), max(l) from g"),
+        "bound_series": w(_P, "select 'static' series, pattern_id::int x, sum(degree)::double y from pd group by 2 union all select 'dynamic', pattern_id::int, sum(least(degree, 3)) from pd group by 2"),
+        "path_new_nodes": w(_WALK, ", path(source, node_id, hops, n_new) as (select source, node_id, 0, (node_id % 2)::bigint from walk where hops = 0 union all select w.source, w.node_id, w.hops, p.n_new + w.node_id % 2 from path p join walk w on w.source = p.source and w.parent = p.node_id and w.hops = p.hops + 1) select source, node_id, n_new from path", "recursive "),
+        "shortest_path_parents": w(_WALK, "select source, node_id, parent from walk where parent is not null", "recursive "),
+        "shortest_path_edges": w(_WALK, "select distinct least(parent, node_id) src, greatest(parent, node_id) dst from walk where parent is not null", "recursive "),
+        "static_spec_file": w(_E, """, m as (select src, dst, src n from e where con_type = 'short' union all select src, dst, dst from e where con_type = 'short'),
+            r as (select src, dst, n, row_number() over (partition by n order by src, dst) port from m),
+            k as (select a.src, a.dst, a.port p, b.port q from r a join r b on a.src = b.src and a.dst = b.dst and a.n = a.src and b.n = b.dst), lines as (
+            select unnest(['trafficSources:', 'FSONodes:', 'FSOLinks:', 'gateways:']) as value union all select node_id::varchar from n union all select n || '_fso' || port from r
+            union all select src || '_fso' || p || 'To' || dst || '_fso' || q || ' 1000Mbps' from k union all select dst || '_fso' || q || 'To' || src || '_fso' || p || ' 1000Mbps' from k)
+            select value, count(*) n_lines from lines group by 1"""),
+        "residual_arcs": w(_E, ", b as (select src, dst from e where con_type = 'short' union all select dst, src from e where con_type = 'short') select src, dst, case when src % 50 <> 0 and dst % 50 = 0 then 0.0 when src % 50 = 0 and dst % 50 <> 0 then 2.0 else 1.0 end::double capacity from b"),
+        "rounded_positions": w(_N, "select node_id, (sign(x - 250) * floor(abs(x - 250) + 0.5))::bigint x, (sign(y - 250) * floor(abs(y - 250) + 0.5))::bigint y from n"),
+        "edge_list_round_trip": w(_E, "select * from e"),
+        "spec_round_trip": w(_S, "select a u, i::int u_port, b v, j::int v_port, 1000::double capacity, 'Mbps' unit from both_ways, range(1, 4) p(i), range(1, 4) q(j) where i <= case when a % 50 = 0 then 3 else 2 end and j <= case when b % 50 = 0 then 3 else 2 end"),
+        "sight_file_round_trip": w(_E, ", lines as (select unnest(['Node Positions', 'Edges']) as value union all select concat_ws(chr(9), node_id, floor(x)::bigint, floor(y)::bigint) from n union all select concat_ws(chr(9), src, dst, con_type) from e) select value, count(*) n_lines from lines group by 1"),
+        "stats_round_trip": w(_N, "select " + ", ".join(f"case when node_id % {k + 2} <> 0 then node_id * {k + 1} end::int {c}" if t == "int" else f"case when node_id % 3 <> 0 then floor(x) / 2 + {k} end::double {c}" for k, (c, t) in enumerate(stats.RESULT_ROW.items())) + " from n where node_id % 10 = 0"),
+        "graph_store_round_trip": w(_E, """, g as (select n.node_id, k con_type, (select count(*) from ends where ends.node_id = n.node_id and ends.con_type = k) c from n, (values ('short'), ('long')) v(k))
+            select con_type, count(*) n_nodes, (sum(c) / 2)::bigint n_edges, min(c) min_degree, max(c) max_degree, round(avg(c), 6) avg_degree, count(*) filter (c = 0) n_isolated from g group by 1"""),
+        "map_round_trip": "with b as (select building_id, max({'a': building_lat, 'o': building_lon}) r from buildings where len(building_lat) > 2 and len(building_lat) = len(building_lon) group by 1) select building_id, len(r.a)::int n_corners, round(list_min(r.a), 7) least_lat, round(list_max(r.o), 7) most_lon from b",
         "gateway_per_component": w(_C, f"select component, node_id from (select component, node_id, row_number() over (partition by component order by (node_id * 7919 + component * 104729 + {SEED}) % 1000003, node_id) r from comp) where r = 1", "recursive "),
         "thinned_nodes": w(_THIN, "select unnest(kept).i node_id from walk where r = (select max(r) from walk)", "recursive "),
         "capped_edges": w(_CAP, "select src, dst, con_type from walk join o using (r) where taken", "recursive "),

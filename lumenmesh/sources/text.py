@@ -110,6 +110,11 @@ def spec_lines(sources: DataFrame, all_ports: DataFrame, links: DataFrame, gatew
     return _sections(("trafficSources:", s, ["node_id"]), ("FSONodes:", p, ["node_id", "port"]), ("FSOLinks:", k, ["u", "v", "u_port", "v_port"]), ("gateways:", g, ["node_id"]))
 
 
+def used_ports(links: DataFrame) -> DataFrame:
+    """(node_id, port) of the transceivers that static links use: what the FSONodes section of their specification lists."""
+    return links.select(F.col("u").alias("node_id"), F.col("u_port").alias("port")).distinct()
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     lines.write.mode(mode).text(path)
 
@@ -133,6 +138,11 @@ def plot_nodes(nodes: DataFrame, gateways: DataFrame, members: DataFrame) -> Dat
     return nodes.join(g, "node_id", "left").join(m, "node_id", "left").select("node_id", "x", "y", F.when(F.col("g"), "gateway").when(F.col("m"), "member").otherwise("other").alias("kind"))
 
 
+def plot_series(rows: DataFrame, x: str, series: list[str]) -> DataFrame:
+    """(series, x, y): the points of curves that share an axis."""
+    return rows.select(F.col(x).alias("x"), F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("y")) for c in series]))).select("series", "x", "y")
+
+
 def plot_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Line segments of a plot: both ends and the edge type."""
     a = nodes.select(F.col("node_id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
