@@ -17,11 +17,13 @@ from ..operators import capped, coverage, graph, measures, sight
 from ..session import Scratch, table
 from ..sources import osm, stats, store, text
 from . import kernels as K
-from . import pipeline, relaxation
+from . import legacy, pipeline, relaxation
 
 SHORT, LONG, SPACING, RADIUS, SIDE = 10.0, 40.0, 10.0, 20.0, 500.0
 PER_NODE, PER_GATEWAY, CAPACITY = 3, 10, 1000.0
 PATTERNS, PERCENT, SEED = 20, 10, 101593
+#: The largest graph a kernel takes in one task.
+MAX_NODES, MAX_EDGES = 20_000, 4_000_000
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -418,12 +420,19 @@ def map_round_trip(spark, d):
 
 
 def _scenario(spark: SparkSession, d: str, run: Callable, schema: str, spread: int = 1) -> DataFrame:
-    """Runs a kernel on the whole scenario graph, in `spread` groups that share its work by key."""
+    """Runs a kernel on the whole scenario graph, in `spread` groups that share its work by key.
+
+    A kernel holds its graph in one task, so graphs above MAX_NODES nodes or MAX_EDGES edges are an error.
+    """
+    if (n := nodes(spark, d).count()) > MAX_NODES:
+        raise ValueError(f"a scenario of {n} nodes; kernels take up to {MAX_NODES}")
     part = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part")
     n = nodes(spark, d).select("node_id", "x", "y", part)
     e = edges(spark, d).select("src", "dst", "con_type", part)
 
     def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if len(b) > MAX_EDGES:
+            raise ValueError(f"a scenario of {len(b)} edges; kernels take up to {MAX_EDGES}")
         ids = sorted(a["node_id"].tolist())
         points = {int(i): (x, y) for i, x, y in a[["node_id", "x", "y"]].itertuples(index=False)}
         adj = K.graph_of(b[["src", "dst"]].itertuples(index=False), ids)
@@ -458,29 +467,60 @@ def disconnected_cover(spark, d):
     return greedy_cover(spark, d).select("node_id").join(on_tree, "node_id", "left_anti")
 
 
-def _started(p, a, s, g):
-    """The graph that the dynamic augmentation starts with: the reduced backbone and all edges among its nodes."""
-    r = _reduced(p, s, g)
-    return {n: r[n] | a[n] & set(r) for n in r}
+def _neighbours(g: K.Graph) -> Iterator[tuple]:
+    return ((n, sorted(g[n])) for n in sorted(g))
+
+
+def _base(spark: SparkSession, d: str, joined: bool) -> DataFrame:
+    """(node_id, neighbours) of the reduced backbone, if joined with all edges among its nodes; computed once and written."""
+
+    def run(_, p, a, s, g):
+        r = _reduced(p, s, g)
+        return _neighbours({n: r[n] | a[n] & set(r) for n in r} if joined else r)
+
+    return Scratch(spark, "base").cut(_scenario(spark, d, run, "node_id bigint, neighbours array<bigint>"))[0]
+
+
+def _parts(df: DataFrame, spread: int = 8) -> DataFrame:
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).repartition(spread, "part")
+
+
+def _graph_of(a: pd.DataFrame) -> tuple[K.Graph, list[int]]:
+    g = {int(n): {int(v) for v in vs} for n, vs in zip(a["node_id"], a["neighbours"])}
+    return g, [n for n in sorted(g) if n % 50 == 0]
+
+
+def _potentials(base: DataFrame, of_source: bool, spread: int = 8) -> DataFrame:
+    """(node_id, potential) of each node of a network; its nodes are shared out among tasks."""
+
+    def one(key: tuple, a: pd.DataFrame) -> pd.DataFrame:
+        g, gates = _graph_of(a)
+        res = K.residual(g, set(gates))
+        mine = [n for n in sorted(g) if n % spread == int(key[0])]
+        return pd.DataFrame({"node_id": mine, "potential": [float(K.source_potential(res, n, set(gates)) if of_source else K.sink_potential(res, n, set(gates))) for n in mine]}).astype({"node_id": "int64", "potential": "float64"})
+
+    return _parts(base, spread).groupBy("part").applyInPandas(one, "node_id bigint, potential double")
 
 
 def path_benefits(spark, d):
     """What the shortest paths over all edges between any two network nodes are worth per node not yet in the network."""
+    base = _base(spark, d, True)
+    source, _ = Scratch(spark, "potentials").cut(_potentials(base, True))
 
-    def run(k, p, a, s, g):
-        net = _started(p, a, s, g)
-        res = K.residual(net, set(g))
+    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        net, _ = _graph_of(a)
+        adj = K.graph_of(b[["src", "dst"]].itertuples(index=False))
+        senders = set(a.loc[a["potential"] > 0, "node_id"].tolist())
+        rows = []
         for u in sorted(net):
-            if u % 8 == k and K.source_potential(res, u, set(g)) > 0:
-                parent = K.bfs_tree(a, [u])[1]
-                for v in sorted(net):
-                    if v in parent and (new := sum(x not in net for x in K.path_to(parent, v))):
-                        yield u, v, new
+            if u % 8 == int(key[0]) and u in senders:
+                parent = K.bfs_tree(adj, [u])[1]
+                rows += [(u, v, new) for v in sorted(net) if v in parent and (new := sum(x not in net for x in K.path_to(parent, v)))]
+        return pd.DataFrame(rows, columns=["src", "dst", "n_new"]).astype("int64")
 
-    paths = _scenario(spark, d, run, "src bigint, dst bigint, n_new bigint", 8)
-    source = _scenario(spark, d, lambda k, p, a, s, g: _potentials(K.source_potential, k, _started(p, a, s, g), g, 8), "node_id bigint, potential double", 8)
-    sink = _scenario(spark, d, lambda k, p, a, s, g: _potentials(lambda r, n, _: K.sink_potential(r, n, g), k, _started(p, a, s, g), g, 8), "node_id bigint, potential double", 8)
-    return measures.benefits(paths, source, sink)
+    sending = _parts(base.join(source, "node_id"))
+    paths = sending.groupBy("part").cogroup(_parts(edges(spark, d).select("src", "dst")).groupBy("part")).applyInPandas(one, "src bigint, dst bigint, n_new bigint")
+    return measures.benefits(paths, source, _potentials(base, False))
 
 
 def best_path(spark, d):
@@ -500,19 +540,12 @@ def max_flow_value(spark, d):
     return _scenario(spark, d, lambda _, p, a, s, g: [(K.max_flow(s, g), K.max_flow(a, g))], "short_flow double, full_flow double")
 
 
-def _potentials(kind: Callable, part: int, g: K.Graph, gates: list[int], spread: int) -> Iterator[tuple]:
-    res = K.residual(g, set(gates))
-    for n in sorted(g):
-        if n % spread == part:
-            yield n, kind(res, n, set(gates))
-
-
 def source_potential(spark, d):
-    return _scenario(spark, d, lambda k, p, a, s, g: _potentials(K.source_potential, k, _reduced(p, s, g), g, 8), "node_id bigint, potential double", 8)
+    return _potentials(_base(spark, d, False), True)
 
 
 def sink_potential(spark, d):
-    return _scenario(spark, d, lambda k, p, a, s, g: _potentials(lambda r, n, _: K.sink_potential(r, n, g), k, _reduced(p, s, g), g, 8), "node_id bigint, potential double", 8)
+    return _potentials(_base(spark, d, False), False)
 
 
 def dynamic_augment(spark, d):
@@ -624,6 +657,40 @@ def relaxed_bound(spark, d, n_max: int | None = None):
     return _scenario(spark, d, run, "n_variables bigint, n_constraints bigint, bound double, gap double, converged boolean")
 
 
+def _earlier(p, a, s, g):
+    """Cover, backbone and reduced backbone by the earlier rules, with their greatest degree and size limit."""
+    tree = legacy.backbone(a, g, legacy.cover(p, K.Grid(SPACING, RADIUS, SIDE, SIDE)))
+    return legacy.reduce_degrees(tree, s, g)
+
+
+def legacy_gateway_choice(spark, d):
+    return _scenario(spark, d, lambda _, p, a, s, g: enumerate(legacy.gateways(a, len(a), 0.02, SEED)), "turn bigint, node_id bigint")
+
+
+def legacy_cover(spark, d):
+    return _scenario(spark, d, lambda _, p, a, s, g: enumerate(legacy.cover(p, K.Grid(SPACING, RADIUS, SIDE, SIDE))), "turn bigint, node_id bigint")
+
+
+def legacy_backbone(spark, d):
+    return _scenario(spark, d, lambda _, p, a, s, g: K.edges_of(legacy.backbone(a, g, legacy.cover(p, K.Grid(SPACING, RADIUS, SIDE, SIDE)))), "src bigint, dst bigint")
+
+
+def legacy_reduction(spark, d):
+    return _scenario(spark, d, lambda _, p, a, s, g: K.edges_of(_earlier(p, a, s, g)[0]), "src bigint, dst bigint")
+
+
+def legacy_networks(spark, d):
+    """Size, degree and flow of the networks that the earlier steps end with; n_max is 2 nodes above the backbone's."""
+
+    def run(_, p, a, s, g):
+        base, top, _ = _earlier(p, a, s, g)
+        for kind, net in (("dynamic", legacy.augment_dynamic(a, base, g, len(base) + 2)), ("static", legacy.augment_static(a, base, g, len(base) + 2, top + 1))):
+            flow, bound = legacy.average_flow(net, g, 0.05, PATTERNS, SEED)
+            yield kind, len(net), max(K.degree(net, n) for n in net), flow, bound
+
+    return _scenario(spark, d, run, "network string, n_nodes bigint, max_degree bigint, avg_flow double, avg_bound double")
+
+
 def scenario_rows(spark, d):
     """Statistics rows of all scenarios in `configs`; run_id is config_id."""
     return pipeline.run_all(spark, pipeline.table_scenarios(table(spark, d, "configs")))
@@ -645,7 +712,8 @@ bound_series path_new_nodes shortest_path_parents shortest_path_edges static_spe
 edge_list_round_trip spec_round_trip sight_file_round_trip stats_round_trip graph_store_round_trip map_round_trip building_box building_metres capped_edges flow_arcs
 gateway_choice greedy_cover disconnected_cover backbone_tree path_benefits best_path
 degree_reduction max_flow_value source_potential sink_potential dynamic_augment static_augment static_pattern_flows
-dynamic_pattern_flows average_flows equivalent_static_ports relaxed_bound scenario_rows master_rows""".split()
+dynamic_pattern_flows average_flows equivalent_static_ports relaxed_bound scenario_rows master_rows
+legacy_gateway_choice legacy_cover legacy_backbone legacy_reduction legacy_networks""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
 from dataclasses import fields, replace
 
 import pandas as pd
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import half_away_py
 from ..operators import quantities
+from ..session import Scratch
+from ..sources import text
 from ..sources.config import Scenario, config_frame
 from ..sources.stats import RESULT_ROW
 from . import kernels as K
@@ -94,28 +95,86 @@ def table_scenarios(configs: DataFrame) -> DataFrame:
     return q.select(F.col("config_id").alias("run_id"), *columns).distinct()
 
 
-def run_all(spark, scenarios: list[Scenario] | DataFrame, on_sample: Callable | None = None) -> DataFrame:
+LINES = "run_id bigint, sample_no int, file string, no bigint, value string"
+
+
+def _sample(r: pd.Series) -> tuple[Scenario, int, dict, K.Graph, K.Graph, list[int], dict]:
+    s = Scenario(**{n: r[n].item() if hasattr(r[n], "item") else r[n] for n in Scenario.__dataclass_fields__})
+    k = int(r["sample_no"])
+    points, adj, short, gateways, _ = synthetic_sample(s, k)
+    return s, k, points, adj, short, gateways, plan_network(s, adj, short, points, gateways)
+
+
+def _samples(spark, scenarios: list[Scenario] | DataFrame):
+    """One group for each sample of each scenario, a task of its own as far as hashing keeps them apart."""
+    frame = scenarios if isinstance(scenarios, DataFrame) else config_frame(spark, scenarios)
+    samples = frame.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.col("n_samples").cast("int"))))
+    return samples.repartition(min(max(1, samples.count()), 10_000), "run_id", "sample_no").groupBy("run_id", "sample_no")
+
+
+def run_all(spark, scenarios: list[Scenario] | DataFrame) -> DataFrame:
     """Statistics rows of all samples of all scenarios: (run_id, sample_no, *RESULT_ROW).
 
-    scenarios: a list, or a table as `config_frame` lays it out. A sample is a task of its own, as far as
-    hashing keeps them apart; few rows would else be put into one task.
+    scenarios: a list, or a table as `config_frame` lays it out.
     """
-    names = [f for f in Scenario.__dataclass_fields__]
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in g.iterrows():
-            s = Scenario(**{n: r[n].item() if hasattr(r[n], "item") else r[n] for n in names})
-            k = int(r["sample_no"])
-            points, adj, short, gateways, _ = synthetic_sample(s, k)
-            plan = plan_network(s, adj, short, points, gateways)
+            s, k, _, adj, _, gateways, plan = _sample(r)
             rows.append({"run_id": r["run_id"], "sample_no": k} | measure(s, adj, plan, gateways, s.seed + 1000 * k))
         return pd.DataFrame(rows)
 
+    return _samples(spark, scenarios).applyInPandas(one, ROW_SCHEMA)
+
+
+def _spec(net: K.Graph, gateways: list[int], ports: list[tuple[int, int]], links: list[tuple[int, int, int, int]], capacity: float) -> list[str]:
+    gates = set(gateways)
+    lines = ["trafficSources:", *(str(n) for n in sorted(net) if n not in gates), "FSONodes:", *(f"{n}_fso{i}" for n, i in ports)]
+    return [*lines, "FSOLinks:", *(f"{u}_fso{i}To{v}_fso{j} {capacity:g}Mbps" for u, i, v, j in links), "gateways:", *map(str, sorted(gates))]
+
+
+def sample_lines(s: Scenario, k: int, points: dict, adj: K.Graph, short: K.Graph, gateways: list[int], plan: dict) -> dict[str, list[str]]:
+    """The files of a sample by name: statistics row, input graph, static and dynamic specification."""
+    row = measure(s, adj, plan, gateways, s.seed + 1000 * k)
+    graph = ["Nodes:", *(f"{n} {x} {y}" for n, (x, y) in sorted(points.items())), "Edges:", *(f"{u} {v} {'short' if v in short.get(u, ()) else 'long'}" for u, v in K.edges_of(adj)), "Gateways:", *map(str, gateways)]
+    static, dynamic, gates = plan["static"], plan["dynamic"], set(gateways)
+    used: dict[int, int] = {}
+    links = []
+    for u, v in K.edges_of(static):
+        if u != v:
+            used[u], used[v] = used.get(u, 0) + 1, used.get(v, 0) + 1
+            links += [(u, used[u], v, used[v]), (v, used[v], u, used[u])]
+    ports = [(n, i) for n in sorted(static) for i in range(1, used.get(n, 0) + 1)]
+    cap = lambda n: plan["per_gateway"] if n in gates else plan["per_node"]
+    free = [(n, i) for n in sorted(dynamic) for i in range(1, cap(n) + 1)]
+    every = [(a, i, b, j) for u, v in K.edges_of(dynamic) if u != v for a, b in ((u, v), (v, u)) for i in range(1, cap(a) + 1) for j in range(1, cap(b) + 1)]
+    return {"stats": [",".join("N/A" if row[c] is None else str(row[c]) for c in RESULT_ROW)], "graph": graph, "static_spec": _spec(static, gateways, ports, links, s.link_capacity), "dynamic_spec": _spec(dynamic, gateways, free, every, s.link_capacity)}
+
+
+def run_to(spark, scenarios: list[Scenario] | DataFrame, folder: str) -> DataFrame:
+    """Plans all samples and writes their files below a folder; returns the rows of the master file.
+
+    stats/: one row for each sample, appended; master/: one for each scenario; graph/, static_spec/ and
+    dynamic_spec/: a folder for each run and sample. Samples are planned once: their lines are a table from
+    which all files are written.
+    """
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        rows = [(r["run_id"], k, f, n, v) for _, r in g.iterrows() for s, k, *rest in [_sample(r)] for f, lines in sample_lines(s, k, *rest).items() for n, v in enumerate(lines)]
+        return pd.DataFrame(rows, columns=["run_id", "sample_no", "file", "no", "value"])
+
     frame = scenarios if isinstance(scenarios, DataFrame) else config_frame(spark, scenarios)
-    samples = frame.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.col("n_samples").cast("int"))))
-    samples = samples.repartition(min(max(1, samples.count()), 10_000), "run_id", "sample_no")
-    return samples.groupBy("run_id", "sample_no").applyInPandas(one, ROW_SCHEMA)
+    lines, _ = Scratch(spark, "lines").cut(_samples(spark, frame).applyInPandas(one, LINES))
+    layout = ", ".join(f"{c} {t}" for c, t in RESULT_ROW.items())
+    rows = lines.where("file = 'stats'").select("run_id", "sample_no", F.from_csv("value", layout, {"nullValue": "N/A"}).alias("r")).select("run_id", "sample_no", "r.*")
+    text.append_stats(rows.select(*RESULT_ROW), f"{folder}/stats")
+    for name in ("graph", "static_spec", "dynamic_spec"):
+        some = lines.where(F.col("file") == name).repartition("run_id", "sample_no").sortWithinPartitions("run_id", "sample_no", "no")
+        some.select("run_id", "sample_no", "value").write.mode("overwrite").partitionBy("run_id", "sample_no").text(f"{folder}/{name}")
+    master = master_rows(rows, frame)
+    master.write.mode("overwrite").option("header", True).csv(f"{folder}/master")
+    return master
 
 
 def master_rows(rows: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -114,8 +114,12 @@ class Program:
         return s.bound, s.x
 
 
-def placement_program(adj: Graph, short: Graph, sinks: list[int], targets: list[list[int]], n_max: int, d_max: int) -> Program:
-    """Nodes X and Y (in the network, in the backbone), edges E and B, backbone flow F and traffic flow G."""
+def placement_program(adj: Graph, short: Graph, sinks: list[int], targets: list[list[int]], n_max: int, d_max: int, wide: bool = False) -> Program:
+    """Nodes X and Y (in the network, in the backbone), edges E and B, backbone flow F and traffic flow G.
+
+    With `wide`, the other recorded set of bounds: the backbone may take any edge and have any degree at sinks, and
+    backbone and traffic flow are bounded by the number of nodes instead of by 1 and by degrees.
+    """
     p = Program()
     nodes, gates = sorted(adj), set(sinks)
     pairs = [e for e in edges_of(adj) if e[0] != e[1]]
@@ -123,11 +127,12 @@ def placement_program(adj: Graph, short: Graph, sinks: list[int], targets: list[
     x = {n: p.var("X", n, high=1.0, low=1.0 if n in gates else 0.0) for n in nodes}
     y = {n: p.var("Y", n, high=1.0, low=1.0 if n in gates else 0.0) for n in nodes}
     e = {a: p.var("E", *sorted(a), high=1.0) for a in arcs}
-    bb = {a: p.var("B", *sorted(a), high=1.0 if a[1] in short.get(a[0], ()) else 0.0) for a in arcs}
+    bb = {a: p.var("B", *sorted(a), high=1.0 if wide or a[1] in short.get(a[0], ()) else 0.0) for a in arcs}
     f = {a: p.var("F", *a, high=1.0) for a in arcs}
     g = {a: p.var("G", *a, high=1.0) for a in arcs}
-    ft = {n: p.var("FT", n, high=1.0 if n in gates else 0.0) for n in nodes}
-    gs = {n: p.var("GS", n, high=0.0 if n in gates else float(len(adj[n]))) for n in nodes}
+    most = (lambda n: float(len(nodes))) if wide else (lambda n: float(len(adj[n])))
+    ft = {n: p.var("FT", n, high=(float(len(nodes)) if wide else 1.0) if n in gates else 0.0) for n in nodes}
+    gs = {n: p.var("GS", n, high=0.0 if n in gates else most(n)) for n in nodes}
     gt = {n: p.var("GT", n, high=float(len(adj[n])) if n in gates else 0.0) for n in nodes}
     near: dict[int, list[tuple[int, int]]] = {n: [] for n in nodes}
     for a in arcs:
@@ -142,9 +147,10 @@ def placement_program(adj: Graph, short: Graph, sinks: list[int], targets: list[
         if near[n]:
             p.row([(f[a], 1.0) for a in near[n]] + [(f[a[::-1]], -1.0) for a in near[n]] + [(ft[n], 1.0)] + fed, 0.0, True)
             p.row([(g[a], 1.0) for a in near[n]] + [(g[a[::-1]], -1.0) for a in near[n]] + [(gt[n], 1.0), (gs[n], -1.0)], 0.0, True)
-            p.row([(bb[a], 1.0) for a in near[n]], float(d_max))
+            if not (wide and n in gates):
+                p.row([(bb[a], 1.0) for a in near[n]], float(d_max))
         if n not in gates:
-            p.row([(gs[n], 1.0), (x[n], -float(len(adj[n])))], 0.0)
+            p.row([(gs[n], 1.0), (x[n], -most(n))], 0.0)
     for a in arcs:
         p.row([(f[a], 1.0), (bb[a], -1.0)], 0.0)
         p.row([(g[a], 1.0), (e[a], -1.0)], 0.0)

@@ -9,7 +9,7 @@ import pytest
 from lumenmesh.functions import geometry as G
 from lumenmesh.operators import capped, coverage, graph, sight
 from lumenmesh.plans import kernels as K
-from lumenmesh.plans import network, pipeline, relaxation
+from lumenmesh.plans import legacy, network, pipeline, relaxation
 from lumenmesh.sources import config, osm, points, stats, text
 from pyspark.sql import functions as F
 
@@ -310,6 +310,62 @@ def test_equivalent_dynamic_graph_respects_ports(small):
     assert eq.max_flow(nodes) <= 2 * len(nodes)
 
 
+def test_run_writes_all_its_files(spark, tmp_path):
+    s = [pipeline.small_scenario(), pipeline.small_scenario(seed=5, n_samples=2)]
+    master = {tuple(r) for r in pipeline.run_to(spark, s, str(tmp_path)).collect()}
+    frame = config.config_frame(spark, s)
+    assert master == {tuple(r) for r in pipeline.master_rows(pipeline.run_all(spark, s), frame).collect()} and len(master) == 2
+    assert text.read_stats(spark, f"{tmp_path}/stats", stats.RESULT_ROW).count() == 3
+    rows = {(r["run_id"], r["sample_no"]): r for r in pipeline.run_all(spark, s).collect()}
+    for name, size in (("static_spec", "number_of_nodes_in_static_graph"), ("dynamic_spec", "number_of_nodes_in_dynamic_graph")):
+        for (run, no), r in rows.items():
+            parts = text.read_spec(spark, f"{tmp_path}/{name}/run_id={run}/sample_no={no}")
+            assert parts["sources"].count() + parts["gateways"].count() == r[size] and parts["gateways"].count() == r["number_of_gateways"]
+            ports, links = {(x["node"], x["port"]) for x in parts["ports"].collect()}, parts["links"].collect()
+            assert links and {(x["u"], x["u_port"]) for x in links} | {(x["v"], x["v_port"]) for x in links} <= ports
+    lines = [r[0] for r in spark.read.text(f"{tmp_path}/graph/run_id={run}/sample_no={no}").collect()]
+    assert lines.index("Nodes:") == 0 and len(lines) == 3 + r["number_of_nodes_in_input_graph"] + r["number_of_edges_in_input_graph"] + r["number_of_gateways"]
+
+
+def test_earlier_variants(small):
+    r = random.Random(2)
+    pts = {i: (r.uniform(0, 100), r.uniform(0, 100)) for i in range(40)}
+    d2 = lambda a, b: (pts[a][0] - pts[b][0]) ** 2 + (pts[a][1] - pts[b][1]) ** 2
+    pairs = [(a, b) for a in pts for b in pts if a < b]
+    adj, short = (K.graph_of([e for e in pairs if d2(*e) <= q * q], pts) for q in (60, 30))
+    sinks = legacy.gateways(adj, 40, 0.1, 7)
+    assert len(sinks) == len(set(sinks)) == 5
+    grid = K.Grid(10.0, 25.0, 100.0, 100.0)
+    cov = legacy.cover(pts, grid)
+    cells = lambda ns: {c for n in ns for c in grid.cells(*pts[n], border_only=False)}
+    assert cells(cov) == cells(pts) and all(cells(cov[: k + 1]) > cells(cov[:k]) for k in range(len(cov)))
+    for stale in (False, True):
+        tree = legacy.backbone(adj, sinks, cov, stale)
+        assert set(cov) | set(sinks) <= set(tree) and set(K.edges_of(tree)) <= set(K.edges_of(adj))
+        assert stale or set(K.bfs_tree(tree, sinks)[0]) == set(tree)
+    g, top, n_max = legacy.reduce_degrees(tree, short, sinks)
+    assert n_max == int(1.1 * len(g)) and top <= max(K.degree(tree, n) for n in tree if n not in sinks)
+    limit = len(g) + 3
+    dyn = legacy.augment_dynamic(adj, g, sinks, limit)
+    assert len(g) <= len(dyn) <= limit and all(adj[n] & set(dyn) - {n} <= dyn[n] for n in dyn)
+    for last in (False, True):
+        net = legacy.augment_static(adj, g, sinks, limit, top + 2, last)
+        assert len(net) <= limit and all(g[n] <= net[n] for n in g)
+        assert last or all(K.degree(net, n) <= max(top + 2, K.degree(g, n) if n in g else 0) for n in net)
+    flow, bound = legacy.average_flow(dyn, sinks, 0.1, 5, 3)
+    assert flow == K.max_flow(dyn, sinks) and legacy.average_flow(dyn, sinks, 0.1, 5, 3, from_pattern=True)[0] <= flow
+    grown, cap, reached = legacy.raise_degrees(net, adj, sinks, reached_goal := legacy.average_flow(net, sinks, 0.1, 5, 3, True)[0] + 1, 0.1, 5, 3)
+    assert all(net[n] <= grown[n] for n in net) and (reached >= reached_goal or cap > 0)
+    assert legacy.raise_degrees(net, adj, sinks, 0.0, 0.1, 5, 3)[0] == net
+
+
+def test_wide_program_bounds_the_flow_too():
+    i = points.random_program_instance(3, 8, 14, 2, 3, short_share=1.0)
+    narrow, wide = (relaxation.placement_program(i["adj"], i["short"], i["sinks"], i["targets"], 8, 8, wide=w).certify() for w in (False, True))
+    assert min(narrow.bound, wide.bound) >= K.max_flow(i["adj"], i["sinks"]) - 1e-9
+    assert narrow.converged and wide.converged and wide.bound >= narrow.bound - 1e-2
+
+
 def test_relaxed_program_bounds_the_flow():
     i = points.random_program_instance(3, 8, 14, 2, 3, short_share=1.0)
     prog = relaxation.placement_program(i["adj"], i["short"], i["sinks"], i["targets"], 8, 8)
