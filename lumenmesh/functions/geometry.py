@@ -154,32 +154,35 @@ def crosses(ax: Column, ay: Column, bx: Column, by: Column, ring: Column, eps: f
     A segment wholly inside, and one that only touches the outline, does not cross. The segment is cut
     where it meets the sides; each piece is judged by its midpoint.
     """
-    n = F.size(ring)
-    sides = F.transform(ring, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.element_at(ring, ((i + 1) % n + 1).cast("int"))["x"].alias("x2"), F.element_at(ring, ((i + 1) % n + 1).cast("int"))["y"].alias("y2")))
+    turned = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    sides = F.zip_with(ring, turned, lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"), (q["x"] - p["x"]).alias("ex"), (q["y"] - p["y"]).alias("ey")))
     dx, dy = bx - ax, by - ay
 
     def cut(s: Column) -> Column:
-        ex, ey = s["x2"] - s["x1"], s["y2"] - s["y1"]
-        den = dx * ey - dy * ex
-        t = ((s["x1"] - ax) * ey - (s["y1"] - ay) * ex) / den
+        den = dx * s["ey"] - dy * s["ex"]
+        t = ((s["x1"] - ax) * s["ey"] - (s["y1"] - ay) * s["ex"]) / den
         v = ((s["x1"] - ax) * dy - (s["y1"] - ay) * dx) / den
         return F.when((F.abs(den) > eps) & (t > 0) & (t < 1) & (v >= -eps) & (v <= 1 + eps), t)
 
-    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(sides, cut), lambda t: t.isNotNull())))
-    spans = F.filter(F.zip_with(cuts, F.slice(cuts, F.lit(2), F.size(cuts)), lambda p, q: F.when(q - p > 1e-7, (p + q) / 2)), lambda m: m.isNotNull())
-
-    def side_of(m: Column) -> Column:
+    def side_of(m: Column, of: Column) -> Column:
         """1 strictly inside, -1 strictly outside, 0 on the outline."""
-        px, py = ax + dx * m, ay + dy * m
-        hits = F.size(F.filter(sides, lambda s: ((s["y1"] > py) != (s["y2"] > py)) & (px < (s["x2"] - s["x1"]) * (py - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])))
+        return _let(F.struct((ax + dx * m).alias("x"), (ay + dy * m).alias("y")), lambda p: placed(p["x"], p["y"], of))
+
+    def placed(px: Column, py: Column, of: Column) -> Column:
+        hits = F.size(F.filter(of, lambda s: ((s["y1"] > py) != (s["y2"] > py)) & (px < s["ex"] * (py - s["y1"]) / s["ey"] + s["x1"])))
 
         def on(s: Column) -> Column:
-            ex, ey = s["x2"] - s["x1"], s["y2"] - s["y1"]
-            cross = F.abs((px - s["x1"]) * ey - (py - s["y1"]) * ex)
-            dot = (px - s["x1"]) * ex + (py - s["y1"]) * ey
-            return (cross <= 1e-7 * F.greatest(F.lit(1.0), F.sqrt(ex * ex + ey * ey))) & (dot >= 0) & (dot <= ex * ex + ey * ey)
+            cross = F.abs((px - s["x1"]) * s["ey"] - (py - s["y1"]) * s["ex"])
+            dot = (px - s["x1"]) * s["ex"] + (py - s["y1"]) * s["ey"]
+            square = s["ex"] * s["ex"] + s["ey"] * s["ey"]
+            return (cross <= 1e-7 * F.greatest(F.lit(1.0), F.sqrt(square))) & (dot >= 0) & (dot <= square)
+
+        return F.when(F.exists(of, on), 0).when(hits % 2 == 1, 1).otherwise(-1)
 
-        return F.when(F.exists(sides, on), 0).when(hits % 2 == 1, 1).otherwise(-1)
+    def judged(of: Column) -> Column:
+        cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(of, cut), lambda t: t.isNotNull())))
+        return _let(cuts, lambda c: _let(F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda p, q: F.when(q - p > 1e-7, (p + q) / 2)), lambda m: m.isNotNull()), lambda m: F.transform(m, lambda v: side_of(v, of))))
 
-    places = F.transform(spans, side_of)
-    return F.coalesce(F.array_contains(places, 1) & F.array_contains(places, -1), F.lit(False))
+    # each part is bound once: sides, cuts, pieces and places
+    found = _let(_let(sides, judged), lambda v: F.array_contains(v, 1) & F.array_contains(v, -1))
+    return F.coalesce(found, F.lit(False))

@@ -9,27 +9,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import Scratch, hot_keys
+from ..session import Scratch, hot_list
 
 
-def distance_pairs(nodes: DataFrame, limit: float, hot_rows: int = 2_000) -> DataFrame:
-    """(src, dst, d2), src < dst: all pairs of nodes at most `limit` apart (inclusive).
+def distance_pairs(nodes: DataFrame, limit: float, hot_rows: int = 2_000, ends: bool = False) -> DataFrame:
+    """(src, dst, d2), src < dst: all pairs of nodes at most `limit` apart (inclusive); with ends also (x1, y1, x2, y2).
 
     Cells as wide as the limit; each pair of cells meets once, crowded cells are salted. Nodes with a
     null id or a null or NaN position match nothing; an empty table gives no pairs.
     """
     p = nodes.select("node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("node_id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)").dropDuplicates(["node_id"])
     home = p.select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), G.cell(F.col("x"), limit).alias("cx"), G.cell(F.col("y"), limit).alias("cy"))
-    hot = F.broadcast(hot_keys(home, ["cx", "cy"], hot_rows))
-    n = F.coalesce("n_salts", F.lit(1))
-    home = home.join(hot, ["cx", "cy"], "left").select(*home.columns, F.pmod(F.xxhash64("a"), n).cast("int").alias("salt"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
     guest = p.select("*", F.inline(steps))
     guest = guest.select(F.col("node_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (G.cell(F.col("x"), limit) + F.col("i")).alias("cx"), (G.cell(F.col("y"), limit) + F.col("j")).alias("cy"), ((F.col("i") == 0) & (F.col("j") == 0)).alias("same"))
-    guest = guest.join(hot, ["cx", "cy"], "left").select(*guest.columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+    keys = ["cx", "cy"]
+    if (hot := hot_list(home.select("cx", "cy"), ["cx", "cy"], hot_rows)) is not None:
+        # guests come from the cells around too: both sides of a crowded cell and its neighbours are split
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        near = hot.select("cx", "cy", "n_salts", F.inline(around)).select((F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"), F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("n_salts")).otherwise(1).alias("own"), "n_salts")
+        hot, keys = F.broadcast(near.groupBy("cx", "cy").agg(F.max("own").alias("m"), F.sum("n_salts").cast("int").alias("n"))), ["cx", "cy", "salt", "salt_b"]
+        m, n = F.coalesce("m", F.lit(1)), F.coalesce("n", F.lit(1))
+        salt, copy = (lambda v, k: F.pmod(F.xxhash64(v), k).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), k - 1)))
+        home = home.join(hot, ["cx", "cy"], "left").select(*home.columns, salt("a", m).alias("salt"), copy(n).alias("salt_b"))
+        guest = guest.join(hot, ["cx", "cy"], "left").select(*guest.columns, copy(m).alias("salt"), salt("b", n).alias("salt_b"))
     d2 = G.squared_distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    met = home.join(guest, ["cx", "cy", "salt"]).where((d2 <= limit * limit) & (~F.col("same") | (F.col("a") < F.col("b"))))
-    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), d2.alias("d2"))
+    met = home.join(guest, keys).where((d2 <= limit * limit) & (~F.col("same") | (F.col("a") < F.col("b"))))
+    first = F.col("a") < F.col("b")
+    at = [F.when(first, F.col(p)).otherwise(F.col(q)).alias(c) for c, p, q in (("x1", "ax", "bx"), ("y1", "ay", "by"), ("x2", "bx", "ax"), ("y2", "by", "ay"))]
+    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), d2.alias("d2"), *(at if ends else []))
 
 
 def typed_edges(nodes: DataFrame, short: float, long: float) -> DataFrame:
