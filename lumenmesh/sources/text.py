@@ -26,21 +26,30 @@ def edges_with_type(edges: DataFrame, nodes: DataFrame, short: float, long: floa
     return edges.join(a, "src").join(b, "dst").select("src", "dst", G.edge_type(d2, short, long).alias("con_type"))
 
 
-def tag_sections(lines: DataFrame, file: str = "file", no: str = "line_no", line: str = "value") -> DataFrame:
-    """Adds the section each line stands in; section headers end in a colon and are dropped."""
-    w = Window.partitionBy(file).orderBy(no).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def tag_sections(lines: DataFrame, file: str = "file", no: str = "line_no", line: str = "value", block: str | None = None) -> DataFrame:
+    """Adds the section each line stands in; section headers end in a colon and are dropped.
+
+    With `block`, the part of the file a line was read in, lines are put in order within each part only; the
+    last header of the parts before, one row for each part, is carried to it.
+    """
+    sofar = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.regexp_extract(F.trim(line), r"^([A-Za-z ]+):$", 1)
-    tagged = lines.withColumn("_h", F.when(head != "", head)).withColumn("section", F.last("_h", ignorenulls=True).over(w))
+    keys = [file] if block is None else [file, block]
+    tagged = lines.withColumn("_h", F.when(head != "", head)).withColumn("section", F.last("_h", ignorenulls=True).over(sofar(Window.partitionBy(*keys).orderBy(no))))
+    if block is not None:
+        last = tagged.groupBy(*keys).agg(F.max_by("section", no).alias("_l"))
+        before = F.last("_l", ignorenulls=True).over(Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+        tagged = tagged.join(last.select(*keys, before.alias("_b")), keys).withColumn("section", F.coalesce("section", "_b")).drop("_b")
     return tagged.where(F.col("_h").isNull() & (F.trim(line) != "")).drop("_h")
 
 
 def read_spec(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of flow specification files: sources, ports, links and gateways, each with its file.
 
-    A file is one record of the whole-text source; its lines are numbered by position.
+    Large files are read in parts; lines are in order within a part, parts by where they start.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    lines = tag_sections(whole)
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.rtrim("value").alias("value"))
+    lines = tag_sections(read, block="block")
     of = lambda s: lines.where(F.lower("section") == s.lower())
     port = F.regexp_extract("value", r"^\s*(\d+)_fso(\d+)", 1), F.regexp_extract("value", r"^\s*(\d+)_fso(\d+)", 2)
     link = [F.regexp_extract("value", LINK, k) for k in range(1, 7)]

@@ -425,6 +425,19 @@ def test_spec_counts_and_round_trip(spark, tmp_path):
     assert {tuple(r) for r in s.collect()} == {(1, 1, 2, 1), (2, 1, 1, 1), (2, 2, 3, 1), (3, 1, 2, 2)}
 
 
+def test_spec_is_read_in_parts(spark, tmp_path):
+    f = tmp_path / "spec.txt"
+    f.write_text("trafficSources:\n" + "".join(f"{k}\n" for k in range(300)) + "FSOLinks:\r\n" + "".join(f"{k}_fso1To{k + 1}_fso2 10Mbps\r\n" for k in range(300)) + "gateways:\n7\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    parts = text.read_spec(spark, str(f))
+    assert spark.read.text(str(f)).select("_metadata.file_block_start").distinct().count() > 5
+    got = {k: v.count() for k, v in parts.items()}
+    links = {(r["u"], r["v"], r["unit"]) for r in parts["links"].collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {"sources": 300, "ports": 0, "links": 300, "gateways": 1} and links == {(k, k + 1, "Mbps") for k in range(300)}
+
+
 def test_text_files(spark, tmp_path):
     n = _nodes(spark, [(1, 0.5, 0.0), (2, 3.0, 0.0)])
     e = spark.createDataFrame([(1, 2)], "src bigint, dst bigint")
