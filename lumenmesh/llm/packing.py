@@ -154,14 +154,18 @@ def pack(sizes: DataFrame, capacity: int = 2048, doc: str = "doc_id", size: str
     total = sum(histogram.values())
     segments, _ = plan({s: c for s, c in histogram.items() if s > 0}, capacity)
     segments.sort()
-    keys = np.array([(s << 44) + r for s, r, _, _ in segments], dtype=np.int64)
+    # a piece is numbered by the pieces of smaller sizes and its rank among its own: no number exceeds their count
+    sizes_ = np.array(sorted({s for s, _, _, _ in segments}), dtype=np.int64)
+    base = np.cumsum([0, *(histogram[s] for s in sizes_.tolist())], dtype=np.int64)[:-1]
+    keys = np.array([base[np.searchsorted(sizes_, s)] + r for s, r, _, _ in segments], dtype=np.int64)
     firsts = np.array([r for _, r, _, _ in segments], dtype=np.int64)
     starts = np.array([b for _, _, _, b in segments], dtype=np.int64)
 
     def find(size: pd.Series, rank: pd.Series) -> pd.Series:
         if not len(keys):
             return pd.Series([None] * len(size), dtype="Int64")
-        at = np.maximum(np.searchsorted(keys, (size.to_numpy(np.int64) << 44) + rank.to_numpy(np.int64), side="right") - 1, 0)
+        own = np.minimum(np.searchsorted(sizes_, size.to_numpy(np.int64)), len(sizes_) - 1)
+        at = np.maximum(np.searchsorted(keys, base[own] + rank.to_numpy(np.int64), side="right") - 1, 0)
         return pd.Series(starts[at] + rank.to_numpy(np.int64) - firsts[at] + 1).where(size.to_numpy() > 0, None).astype("Int64")
 
     # ranks by size: counted in hash buckets, so that no task ranks more than about RANKED rows

@@ -236,6 +236,18 @@ def test_pack_table(spark):
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+def test_pack_into_large_containers(spark):
+    """Capacities beyond 2^19 are as good as small ones."""
+    capacity = 1 << 30
+    rows = [(i, (i * 7_919_317 * 131) % capacity + 1) for i in range(500)] + [(1000, 3 * capacity + 5)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), capacity).collect()
+    load = {}
+    for x in out:
+        load[x["bin_id"]] = load.get(x["bin_id"], 0) + x["n_tokens"]
+    assert max(load.values()) <= capacity and set(load) == set(range(1, len(load) + 1)) and sum(load.values()) == sum(n for _, n in rows)
+    assert len(load) <= sum(load.values()) / capacity * 1.05 + 1
+
+
 def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, "測定 node " * 5000)], "doc_id bigint, text string")
     got = dict(map(tuple, packing.token_counts(df).collect()))
