@@ -185,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": general_sql.P1_FOUND,
         "p1_path_counts": general_sql.P1_PATHS,
         "p2_cover_cells": general_sql.P2_CELLS,
+        "p5_found": general_sql.P5_FOUND,
         "p6_found": general_sql.P6 + "select * from found",
         "p6_orphans_by_month": general_sql.P6 + "select ref_table, ref_month, cause, count(*) n_orphans from found group by 1, 2, 3",
         "p6_pending": general_sql.P6_PENDING,

@@ -115,3 +115,32 @@ state as (select b, k, top, cx, cy, bool_or(t0 <= t1) edge, count(*) filter (hit
 there as (select s.* from state s left join state p on p.b = s.b and p.k = s.k + 1 and p.cx = floor(s.cx / 4) and p.cy = floor(s.cy / 4) where s.k = s.top or p.edge)
 select k::int "level", not edge interior, count(*) n_cells from there where (edge and k = 0) or (not edge and inner_) group by 1, 2
 """
+
+_BOM = "chr(65279)"
+#: A cell without padding, quotes and byte-order marks.
+_CELL = "(case when len(trim({0}, E' \\t\\r\\n')) > 1 and trim({0}, E' \\t\\r\\n')[1] in ('\"', '''') and trim({0}, E' \\t\\r\\n')[1] = trim({0}, E' \\t\\r\\n')[-1] then trim(trim({0}, E' \\t\\r\\n')[2:-2], E' \\t\\r\\n') else trim({0}, E' \\t\\r\\n') end)"
+
+P5_FOUND = rf"""
+with recursive last as (select file_id, max({{'t': loaded_at, 's': series_id, 'q': file_seq, 'd': coalesce(nullif(delim, ''), ','), 'h': stat_header, 'b': body}}) m from stat_files where file_id is not null group by 1),
+file as (select file_id, m.s series_id, m.d delim, m.b body, row_number() over (partition by m.s order by m.q, file_id) k,
+  case when m.h is null or trim(replace(m.h, {_BOM}, ''), E' \t\r\n') = '' then null else [{_CELL.format("x")} for x in string_split(replace(m.h, {_BOM}, ''), m.d)] end raw from last where m.s is not null and m.q is not null),
+named as (select *, case when raw[-1] = '' then raw[:-2] else raw end as names from file),
+laid as (select *, last_value(names ignore nulls) over (partition by series_id order by k) layout from named),
+step as (select *, lag(layout) over (partition by series_id order by k) before from laid),
+new_one as (select series_id, file_id, k, i, layout[i] as name, list_contains(before, layout[i]) kept, before is null as opens from (select *, unnest(range(1, len(layout) + 1)) i from step)),
+old_one as (select series_id, file_id, k, i, before[i] as name, list_contains(layout, before[i]) kept from (select *, unnest(range(1, len(before) + 1)) i from step)),
+new_at as (select *, last_value(case when kept then name end ignore nulls) over b l, first_value(case when kept then name end ignore nulls) over a r, i - coalesce(max(case when kept then i end) over b, 0) turn from new_one
+  window b as (partition by file_id order by i rows between unbounded preceding and 1 preceding), a as (partition by file_id order by i rows between 1 following and unbounded following)),
+old_at as (select *, last_value(case when kept then name end ignore nulls) over b l, first_value(case when kept then name end ignore nulls) over a r, i - coalesce(max(case when kept then i end) over b, 0) turn from old_one
+  window b as (partition by file_id order by i rows between unbounded preceding and 1 preceding), a as (partition by file_id order by i rows between 1 following and unbounded following)),
+renamed as (select n.file_id, n.name, o.name was from new_at n join old_at o on n.file_id = o.file_id and not n.kept and not o.kept and n.l is not distinct from o.l and n.r is not distinct from o.r and n.turn = o.turn where not n.opens),
+origin as (select n.series_id, n.file_id, n.k, n.i, n.name, case when n.kept then n.name else r.was end as was from new_one n left join renamed r on r.file_id = n.file_id and r.name = n.name),
+col(series_id, k, name, id) as (select series_id, k, name, name || '@' || k from origin where was is null union all select o.series_id, o.k, o.name, c.id from col c join origin o on o.series_id = c.series_id and o.k = c.k + 1 and o.was = c.name),
+cell as (select file_id, i, {_CELL.format("cells[i]")} v from (select file_id, cells, unnest(range(1, len(cells) + 1)) i from (select file_id, string_split(replace(line, {_BOM}, ''), delim) cells from (select file_id, delim, unnest(regexp_split_to_array(body, '\r\n|\n|\r')) line from named) where trim(replace(line, {_BOM}, ''), E' \t') <> ''))),
+kind as (select file_id, i, max(case when regexp_full_match(v, '[-+]?\d+') then 0 when regexp_full_match(v, '[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?') then 1 else 2 end) t from cell where v not in ('', 'N/A', 'NA', 'null', 'None', '-', 'nan') group by 1, 2),
+seen as (select o.file_id, o.name, ['INT', 'DOUBLE', 'STRING'][t + 1] typ, lag(['INT', 'DOUBLE', 'STRING'][t + 1]) over (partition by o.series_id, c.id order by o.k) before from origin o join col c on c.series_id = o.series_id and c.k = o.k and c.name = o.name join kind on kind.file_id = o.file_id and kind.i = o.i)
+select file_id, 'renamed' change_kind, name column_name, was was_value from renamed
+union all select file_id, 'added', name, '' from new_one n where not kept and not opens and not exists (select 1 from renamed r where r.file_id = n.file_id and r.name = n.name)
+union all select file_id, 'removed', name, '' from old_one o where not kept and not exists (select 1 from renamed r where r.file_id = o.file_id and r.was = o.name)
+union all select file_id, 'type_changed', name, before from seen where before <> typ
+"""
