@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import capped, coverage, graph, measures, sight
+from ..operators import capped, coverage, graph, measures, proximity, sight
 from ..session import Scratch, table
 from ..sources import osm, stats, store, text
 from . import kernels as K
@@ -72,7 +72,7 @@ def typed_edges(spark, d):
 
 def edge_type_lookup(spark, d):
     n = nodes(spark, d).select("node_id")
-    return graph.edge_type_of(n.select(F.col("node_id").alias("src"), ((F.col("node_id") * 7 + 3) % 500).alias("dst")).where("src <> dst"), edges(spark, d)).distinct()
+    return graph.edge_type_of(n.select(F.col("node_id").alias("src"), ((F.col("node_id") * 7 + 3) % n.count()).alias("dst")).where("src <> dst"), edges(spark, d)).distinct()
 
 
 def degree_by_type(spark, d):
@@ -181,7 +181,7 @@ def gateway_capacity(spark, d):
 
 def _patterns(spark, d):
     c = nodes(spark, d).where("node_id % 50 <> 0")
-    return measures.pattern_nodes(c, PATTERNS, 50, lambda p, n: (n * 7919 + p * 104729 + n * p * 31) % 1000003)
+    return measures.pattern_nodes(c, PATTERNS, K.pattern_size(c.count(), PERCENT, PATTERNS)[0], lambda p, n: (n * 7919 + p * 104729 + n * p * 31) % 1000003)
 
 
 def pattern_sample(spark, d):
@@ -358,6 +358,68 @@ def rounded_positions(spark, d):
     return nodes(spark, d).select("node_id", G.half_away(F.col("x") - 250).alias("x"), G.half_away(F.col("y") - 250).alias("y"))
 
 
+# --- the map tables ---------------------------------------------------------
+
+#: Areas have local metres of their own; this far apart they share one plane without meeting.
+APART = 1_000_000.0
+
+
+def map_nodes(spark, d):
+    """Places with a known position, all areas in one plane; of several positions of a node the least counts."""
+    p = proximity.known_points(table(spark, d, "nodes")).groupBy(F.col("id").alias("node_id")).agg(F.min(F.struct("area", "x", "y")).alias("m"))
+    return p.select("node_id", (F.col("m.x") + F.col("m.area") * APART).alias("x"), F.col("m.y").alias("y"))
+
+
+def map_links(spark, d):
+    """Linked pairs of graph_edges, whichever graph names them; a pair of several types takes the least."""
+    e = table(spark, d, "graph_edges").where("src is not null and dst is not null and src <> dst and not (con_type <=> 'non_edge')")
+    return e.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("con_type").alias("con_type"))
+
+
+def map_gateways(spark, d):
+    return table(spark, d, "graph_gateways").where("node_id is not null").select("node_id").distinct()
+
+
+def map_buildings(spark, d):
+    """Outlines as rings in the common plane; broken ones are left out."""
+    r = proximity.local_rings(table(spark, d, "buildings"), table(spark, d, "map_areas")).where("size(xs) > 2 and size(xs) = size(ys)")
+    ring = F.zip_with("xs", "ys", lambda x, y: F.struct((x + F.col("area_id") * APART).alias("x"), y.alias("y")))
+    return r.where(F.forall("xs", lambda v: v.isNotNull()) & F.forall("ys", lambda v: v.isNotNull())).groupBy("building_id").agg(F.min(ring).alias("ring"))
+
+
+def map_typed_edges(spark, d):
+    return graph.typed_edges(map_nodes(spark, d), SHORT, LONG)
+
+
+def map_degree_by_type(spark, d):
+    return graph.degrees_by_type(map_typed_edges(spark, d), map_nodes(spark, d))
+
+
+def map_link_degrees(spark, d):
+    return graph.degrees(map_links(spark, d))
+
+
+def map_components(spark, d):
+    return graph.components(map_links(spark, d), map_gateways(spark, d))
+
+
+def map_hops(spark, d):
+    """Least hops of every node from a gateway."""
+    return graph.bfs(map_links(spark, d), map_gateways(spark, d), together=True).select("node_id", "hops")
+
+
+def map_reduction_candidates(spark, d):
+    return graph.reduction_candidates(map_links(spark, d), map_gateways(spark, d))
+
+
+def map_building_bins(spark, d):
+    return sight.building_bins(map_buildings(spark, d), 20.0)
+
+
+def map_sight_edges(spark, d):
+    return sight.sight_edges(map_nodes(spark, d), map_buildings(spark, d), SHORT, LONG, 20.0)
+
+
 # --- files written and read again -------------------------------------------
 
 
@@ -709,6 +771,7 @@ dynamic_bound_per_pattern average_bound link_numbering dynamic_spec_links spec_f
 sight_edges coarse_sight_edges supply_degrees supply_components components component_count bfs_levels shortest_path_lengths
 supply_hops gateway_per_component thinned_nodes plot_segments plot_node_kinds nodes_of_targets degree_ranges
 bound_series path_new_nodes shortest_path_parents shortest_path_edges static_spec_file residual_arcs rounded_positions
+map_typed_edges map_degree_by_type map_link_degrees map_components map_hops map_reduction_candidates map_building_bins map_sight_edges
 edge_list_round_trip spec_round_trip sight_file_round_trip stats_round_trip graph_store_round_trip map_round_trip building_box building_metres capped_edges flow_arcs
 gateway_choice greedy_cover disconnected_cover backbone_tree path_benefits best_path
 degree_reduction max_flow_value source_potential sink_potential dynamic_augment static_augment static_pattern_flows
@@ -739,8 +802,8 @@ b as (select *, (x - tx) * (x - tx) + (y - ty) * (y - ty) <= 400 hit, ti > i0 an
 )
 _P = (
     _E
-    + """, pt as (select p pattern_id, node_id from (select p, node_id, row_number() over (partition by p order by (node_id * 7919 + p * 104729 + node_id * p * 31) % 1000003, node_id) r
-  from n, range(0, 20) q(p) where node_id % 50 <> 0) where r <= 50),
+    + """, pt as (select p pattern_id, node_id from (select p, node_id, row_number() over (partition by p order by (node_id * 7919 + p * 104729 + node_id * p * 31) % 1000003, node_id) r, count(*) over (partition by p) m
+  from n, range(0, 20) q(p) where node_id % 50 <> 0) where r <= round(m * 0.1)),
 sd as (select node_id, count(*) degree from ends where con_type = 'short' group by 1),
 pd as (select pattern_id, coalesce(degree, 0) degree from pt left join sd using (node_id))"""
 )
@@ -751,6 +814,13 @@ _S = _E + ", both_ways as (select src a, dst b from e where con_type = 'short' u
 _C = _S + ", walk(node_id, c) as (select node_id, node_id from n union select b, c from walk join both_ways on a = node_id where c < b), comp as (select node_id, min(c) component from walk group by 1)"
 #: Breadth-first search from each gateway over short edges; the parent is the least one.
 _WALK = _S + ", walk(source, node_id, hops, parent) using key (source, node_id) as (select node_id, node_id, 0, null::bigint from n where node_id % 50 = 0 union (select w.source, b, min(w.hops) + 1, min(a) from walk w join both_ways on a = w.node_id left join recurring.walk o on o.source = w.source and o.node_id = b where o.node_id is null group by 1, 2))"
+_MAP = """mn as (select node_id, m.x + m.a * 1000000.0::double x, m.y y from (select node_id, min({'a': area_id, 'x': node_x, 'y': node_y}) m from nodes where node_id is not null and area_id is not null
+    and not isnan(node_x) and not isnan(node_y) and node_x <> -9999 and node_y <> -9999 group by 1)),
+mc as (select *, floor(x / 40) gx, floor(y / 40) gy from mn),
+me as (select a.node_id src, b.node_id dst, case when (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100 then 'short' else 'long' end con_type
+  from (select *, unnest([-1, 0, 1]) i from mc) a join mc b on b.gx = a.gx + i and b.gy between a.gy - 1 and a.gy + 1 and a.node_id < b.node_id where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600)"""
+_LINKS = """ml as (select least(src, dst) src, greatest(src, dst) dst from graph_edges where src is not null and dst is not null and src <> dst and con_type is distinct from 'non_edge' group by 1, 2),
+mg as (select distinct node_id from graph_gateways where node_id is not null)"""
 #: Whether a segment (x1, y1) to (x2, y2) crosses a square (qx, qy) of 6 m: a part of it inside, not the whole of it.
 _CUT = """greatest(0.0, case when x2 = x1 then (case when x1 > qx and x1 < qx + 6 then 0 else 2 end) else least((qx - x1) / (x2 - x1), (qx + 6 - x1) / (x2 - x1)) end,
     case when y2 = y1 then (case when y1 > qy and y1 < qy + 6 then 0 else 2 end) else least((qy - y1) / (y2 - y1), (qy + 6 - y1) / (y2 - y1)) end) t0,
@@ -818,7 +888,7 @@ def oracle_sql() -> dict[str, str]:
         "distance_pairs": w(_E, "select src, dst, round(d2, 6) d2 from d where d2 <= 1600"),
         "edge_types": w(_E, "select con_type, count(*) n_edges from e group by 1"),
         "typed_edges": w(_E, "select * from e"),
-        "edge_type_lookup": w(_E, ", p as (select distinct least(node_id, (node_id * 7 + 3) % 500) src, greatest(node_id, (node_id * 7 + 3) % 500) dst from n where node_id <> (node_id * 7 + 3) % 500) select src, dst, coalesce(con_type, 'non_edge') con_type from p left join e using (src, dst)"),
+        "edge_type_lookup": w(_E, ", p as (select distinct least(node_id, (node_id * 7 + 3) % m) src, greatest(node_id, (node_id * 7 + 3) % m) dst from (select *, count(*) over () m from n) where node_id <> (node_id * 7 + 3) % m) select src, dst, coalesce(con_type, 'non_edge') con_type from p left join e using (src, dst)"),
         "degree_by_type": w(_E, "select n.node_id, count(*) filter (con_type = 'short') short_degree, count(*) filter (con_type = 'long') long_degree from n left join ends using (node_id) group by 1"),
         "degree_summary": w(_E, """, g as (select n.node_id, k con_type, (select count(*) from ends where ends.node_id = n.node_id and ends.con_type = k) c from n, (values ('short'), ('long')) v(k))
             select con_type, count(*) n_nodes, (sum(c) / 2)::bigint n_edges, min(c) min_degree, max(c) max_degree, round(avg(c), 6) avg_degree, count(*) filter (c = 0) n_isolated from g group by 1"""),
@@ -875,6 +945,21 @@ def oracle_sql() -> dict[str, str]:
         "plot_segments": w(_E, "select src, dst, con_type, a.x x1, a.y y1, b.x x2, b.y y2 from e join n a on a.node_id = src join n b on b.node_id = dst where con_type = 'short'"),
         "plot_node_kinds": w(_N, "select node_id, x, y, case when node_id % 50 = 0 then 'gateway' when node_id % 2 = 0 then 'member' else 'other' end kind from n"),
         "building_box": "select area_id, min(list_min(building_lat)) min_lat, max(list_max(building_lat)) max_lat, min(list_min(building_lon)) min_lon, max(list_max(building_lon)) max_lon from buildings group by 1",
+        "map_typed_edges": w(_MAP, "select src, dst, con_type from me"),
+        "map_degree_by_type": w(_MAP, "select mn.node_id, count(*) filter (con_type = 'short') short_degree, count(*) filter (con_type = 'long') long_degree from mn left join (select src node_id, con_type from me union all select dst, con_type from me) using (node_id) group by 1"),
+        "map_link_degrees": w(_LINKS, "select node_id, count(*) degree from (select src node_id from ml union all select dst from ml) group by 1"),
+        "map_components": w(_LINKS, """, v as (select src node_id from ml union select dst from ml union select node_id from mg), b as (select src a, dst b from ml union all select dst, src from ml),
+            walk(node_id, component) using key (node_id) as (select node_id, node_id from v union (select b, min(w.component) from walk w join b on b.a = w.node_id join recurring.walk o on o.node_id = b where w.component < o.component group by 1))
+            select node_id, component from walk""", "recursive "),
+        "map_hops": w(_LINKS, """, b as (select src a, dst b from ml union all select dst, src from ml),
+            walk(node_id, hops) using key (node_id) as (select node_id, 0 from mg union (select b, min(w.hops) + 1 from walk w join b on b.a = w.node_id left join recurring.walk o on o.node_id = b where o.node_id is null group by 1))
+            select node_id, hops from walk""", "recursive "),
+        "map_reduction_candidates": w(_LINKS, ", g as (select node_id, count(a) degree from (select src node_id, 1 a from ml union all select dst, 1 from ml union all select node_id, null from mg) group by 1) select * from g where degree <= (select max(degree) - 2 from g) and (node_id in (select node_id from mg) or degree >= 1)"),
+        "map_building_bins": """with r as (select building_id, area_id, [(v - min_lat) * 111320 + area_id * 1000000.0::double for v in building_lat] xs, [(v - min_lon) * 111320 * cos(radians(min_lat)) for v in building_lon] ys from buildings join map_areas using (area_id)
+              where len(building_lat) > 2 and len(building_lat) = len(building_lon)),
+            o as (select building_id, list_min(xs) lx, list_max(xs) hx, list_min(ys) ly, list_max(ys) hy from (select distinct building_id, xs, ys from r)),
+            x as (select *, unnest(range(floor(lx / 20)::bigint, floor(hx / 20)::bigint + 1)) bx from o)
+            select building_id, bx, unnest(range(floor(ly / 20)::bigint, floor(hy / 20)::bigint + 1)) "by" from x""",
         "nodes_of_targets": w(_T, "select ti, tj, node_id from b where hit"),
         "degree_ranges": w(_E, ", g as (select n.node_id, count(*) filter (con_type = 'short') s, count(*) filter (con_type = 'long') l from n left join ends using (node_id) group by 1) select 'short_degree' series, min(s)::double least, max(s)::double most from g union all select 'long_degree', min(l), max(l) from g"),
         "bound_series": w(_P, "select 'static' series, pattern_id::int x, sum(degree)::double y from pd group by 2 union all select 'dynamic', pattern_id::int, sum(least(degree, 3)) from pd group by 2"),
