@@ -118,7 +118,12 @@ def sample_per(df: DataFrame, keys: list[str], ident: str, k: int | str, seed: i
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node_id, component): the least id of each connected component; by minima and pointer jumping."""
+    """(node_id, component): the least id of each connected component.
+
+    Every node points to another of its component, at first to itself. In each round a node, and what it
+    points to, is hooked to the least that its neighbours reach in two steps, and all pointers are
+    shortened by one step; about as many rounds as the logarithm of the longest path. Ends when nothing moves.
+    """
     spark = edges.sparkSession
     tmp = Scratch(spark, "components")
     both = edges.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.a", "e.b").where("a is not null and b is not null").distinct()
@@ -127,12 +132,16 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     every = (every if nodes is None else every.union(nodes.select(F.col("node_id").cast("bigint")))).where("node_id is not null").distinct()
     labels, path = tmp.cut(every.select("node_id", F.col("node_id").alias("component")))
     while True:
-        told = both.join(labels.withColumnRenamed("node_id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        hooked = labels.join(told.withColumnRenamed("a", "node_id"), "node_id", "left").select("node_id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        above = hooked.select(F.col("node_id").alias("component"), F.col("component").alias("up"))
-        nxt, new = tmp.cut(hooked.join(above, "component", "left").select("node_id", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
+        # what each node points to, and what that points to
+        far = labels.select(F.col("node_id").alias("component"), F.col("component").alias("far"))
+        two, two_path = tmp.cut(labels.join(far, "component").select("node_id", "component", "far"))
+        told = both.join(two.select(F.col("node_id").alias("b"), "far"), "b").groupBy("a").agg(F.min("far").alias("m"))
+        told, told_path = tmp.cut(two.join(told, two["node_id"] == told["a"], "left").select("node_id", "component", F.least("far", F.coalesce("m", "far")).alias("m")))
+        hooks = told.groupBy(F.col("component").alias("node_id")).agg(F.min("m").alias("h"))
+        nxt, new = tmp.cut(told.join(hooks, "node_id", "left").select("node_id", F.col("component").alias("old"), F.least("component", "m", F.coalesce("h", "m")).alias("component")))
         done = nxt.where("old <> component").isEmpty()
-        tmp.drop(path)
+        for p in (path, two_path, told_path):
+            tmp.drop(p)
         labels, path = nxt.select("node_id", "component"), new
         if done:
             return labels

@@ -417,11 +417,6 @@ def sink_potential(res: Flow, n: int, gateways) -> float:
     return f.run(SRC, n, frozenset([SNK]))
 
 
-def shortest_paths(adj: Graph, sources) -> dict[int, dict[int, int]]:
-    """Parents of the shortest-path tree of each source; the full graph never changes, so this is done once."""
-    return {s: bfs_tree(adj, [s])[1] for s in sources}
-
-
 def augment_dynamic(adj: Graph, base: Graph, gateways: list[int], max_new: int) -> tuple[Graph, list[list[int]]]:
     """Adds the new nodes of the path of most benefit, with all their edges, until max_new nodes are added.
 

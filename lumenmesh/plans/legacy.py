@@ -9,6 +9,7 @@ import heapq
 import math
 import random
 
+from ..functions.geometry import choose
 from . import kernels as K
 from .kernels import Graph, Grid
 
@@ -207,7 +208,7 @@ def average_flow(g: Graph, sinks: list[int], share: float, patterns: int, seed:
     if not candidates:
         return 0.0, 0.0
     k = min(len(candidates), math.ceil(share * len(g)))
-    n = min(math.comb(len(g), k), patterns)
+    n = min(choose(len(g), k), patterns)
     drawn = [K.pattern(candidates, k, seed, i) for i in range(n)]
     whole = None if from_pattern else K.max_flow(g, gates)
     return K.average([(K.max_flow(g, gates, p) if whole is None else whole, float(sum(K.degree(g, x) for x in p))) for p in drawn])
