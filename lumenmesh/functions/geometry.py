@@ -78,7 +78,7 @@ def meridian_metres(lat1: Column, lat2: Column) -> Column:
     return F.abs(arc(lat2) - arc(lat1))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value), with the value worked out once instead of copied into every place."""
     return F.transform(F.array(value), body)[0]
 
@@ -107,7 +107,7 @@ def parallel_metres(lat: Column, lon1: Column, lon2: Column, rounds: int = 8) ->
             return F.struct(v.alias("v"), cm.alias("cm"), (F.lit(f / 16) * v["c2"] * (4 + f * (4 - 3 * v["c2"]))).alias("c"))
 
         def state(lam: Column) -> Column:
-            return _let(_let(angles(lam), azimuth), middle)
+            return let(let(angles(lam), azimuth), middle)
 
         def following(m: Column) -> Column:
             v, cm, c = m["v"], m["cm"], m["c"]
@@ -121,11 +121,11 @@ def parallel_metres(lat: Column, lon1: Column, lon2: Column, rounds: int = 8) ->
             d = kb * v["ss"] * (cm + kb / 4 * (v["cs"] * (-1 + 2 * cm * cm) - kb / 6 * cm * (-3 + 4 * v["ss"] * v["ss"]) * (-3 + 4 * cm * cm)))
             return F.when(F.abs(following(m) - v["lam"]) < 1e-9, b * ka * (v["sigma"] - d))
 
-        lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda x, _: _let(state(x), following))
-        return _let(_let(lam, state), length)
+        lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda x, _: let(state(x), following))
+        return let(let(lam, state), length)
 
     u = F.atan(F.lit(1 - f) * F.tan(F.radians(lat)))
-    return _let(F.struct(F.sin(u).alias("s"), F.cos(u).alias("c"), F.abs(F.radians(lon2 - lon1)).alias("l")), with_basis)
+    return let(F.struct(F.sin(u).alias("s"), F.cos(u).alias("c"), F.abs(F.radians(lon2 - lon1)).alias("l")), with_basis)
 
 
 def grid_ray(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -166,7 +166,7 @@ def crosses(ax: Column, ay: Column, bx: Column, by: Column, ring: Column, eps: f
 
     def side_of(m: Column, of: Column) -> Column:
         """1 strictly inside, -1 strictly outside, 0 on the outline."""
-        return _let(F.struct((ax + dx * m).alias("x"), (ay + dy * m).alias("y")), lambda p: placed(p["x"], p["y"], of))
+        return let(F.struct((ax + dx * m).alias("x"), (ay + dy * m).alias("y")), lambda p: placed(p["x"], p["y"], of))
 
     def placed(px: Column, py: Column, of: Column) -> Column:
         hits = F.size(F.filter(of, lambda s: ((s["y1"] > py) != (s["y2"] > py)) & (px < s["ex"] * (py - s["y1"]) / s["ey"] + s["x1"])))
@@ -181,8 +181,8 @@ def crosses(ax: Column, ay: Column, bx: Column, by: Column, ring: Column, eps: f
 
     def judged(of: Column) -> Column:
         cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(of, cut), lambda t: t.isNotNull())))
-        return _let(cuts, lambda c: _let(F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda p, q: F.when(q - p > 1e-7, (p + q) / 2)), lambda m: m.isNotNull()), lambda m: F.transform(m, lambda v: side_of(v, of))))
+        return let(cuts, lambda c: let(F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda p, q: F.when(q - p > 1e-7, (p + q) / 2)), lambda m: m.isNotNull()), lambda m: F.transform(m, lambda v: side_of(v, of))))
 
     # each part is bound once: sides, cuts, pieces and places
-    found = _let(_let(sides, judged), lambda v: F.array_contains(v, 1) & F.array_contains(v, -1))
+    found = let(let(sides, judged), lambda v: F.array_contains(v, 1) & F.array_contains(v, -1))
     return F.coalesce(found, F.lit(False))

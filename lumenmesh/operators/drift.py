@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
 from ..session import Scratch
 
 #: Texts that stand for a missing value (fixed values).
@@ -370,21 +371,26 @@ def ingest(files: DataFrame, schema: dict[str, str], least_block: int = 256) ->
     raw = rows.join(layout, ["file_id", "delivery"])
     n = F.size("ids")
     spare = (F.size("cells") == n + 1) & (F.element_at("cells", -1) == "")
-    held = F.transform(F.when(spare, F.slice("cells", 1, n)).otherwise(F.col("cells")), lambda v, k: F.struct(F.when(k < n, F.get("ids", k)).otherwise(F.concat(F.lit("field_"), (k + 1).cast("string"))).alias("key"), v.alias("value")))
-    # a stray field_<position> may meet a column of that name; the later one counts
-    named = F.filter(held, lambda e: ~e["value"].isin(*MISSING))
-    last = F.map_from_entries(F.filter(named, lambda e, k: ~F.exists(F.slice(named, k + 2, F.size(named)), lambda later: later["key"] == e["key"])))
-    return enforce(raw.select("file_id", "series_id", "file_seq", "row_no", last.alias("v")), "v", schema)
+    stray = lambda k: let(F.concat(F.lit("field_"), (k + 1).cast("string")), lambda name: F.when(F.array_contains("ids", name), F.concat(name, F.lit("'"))).otherwise(name))
+    held = F.transform(F.when(spare, F.slice("cells", 1, n)).otherwise(F.col("cells")), lambda v, k: F.struct(F.when(k < n, F.get("ids", k)).otherwise(stray(k)).alias("key"), v.alias("value")))
+    named = F.map_from_entries(F.filter(held, lambda e: ~e["value"].isin(*MISSING)))
+    return enforce(raw.select("file_id", "series_id", "file_seq", "row_no", named.alias("v")), "v", schema)
 
 
 def enforce(df: DataFrame, values: str, schema: dict[str, str]) -> DataFrame:
-    """Splits a map of texts into typed columns and the rescue column."""
-    v = F.col(values)
-    cast = {n: v[n].try_cast(t) for n, t in schema.items()}
-    unfit = F.filter(F.array(*[F.when(v[n].isNotNull() & cast[n].isNull(), F.lit(n)) for n in schema]), lambda x: x.isNotNull())
+    """Splits a map of texts into typed columns and the rescue column.
+
+    A row is made by one generator, so that the map is worked out once and not for each column.
+    """
     known = F.array(*map(F.lit, schema))
-    rest = F.map_filter(v, lambda k, _: ~F.array_contains(known, k) | F.array_contains(unfit, k))
-    return df.select(*[c for c in df.columns if c != values], *[c.alias(n) for n, c in cast.items()], F.when(F.size(rest) > 0, F.to_json(rest)).alias("_rescued"))
+
+    def row(v: F.Column) -> F.Column:
+        cast = {n: v[n].try_cast(t) for n, t in schema.items()}
+        unfit = F.array(*[F.when(v[n].isNotNull() & c.isNull(), F.lit(n)) for n, c in cast.items()])
+        rest = let(unfit, lambda u: F.map_filter(v, lambda k, _: ~F.array_contains(known, k) | F.coalesce(F.array_contains(F.filter(u, lambda x: x.isNotNull()), k), F.lit(False))))
+        return F.struct(*[c.alias(n) for n, c in cast.items()], let(rest, lambda r: F.when(F.size(r) > 0, F.to_json(r))).alias("_rescued"))
+
+    return df.select(*[c for c in df.columns if c != values], F.inline(F.transform(F.array(F.col(values)), row)))
 
 
 def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
@@ -393,13 +399,14 @@ def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
     A column that is already there gets the values that its old type could not hold only where it is
     null; its type becomes the approved one. Values that still do not cast stay rescued.
     """
-    kept = F.from_json("_rescued", "map<string,string>")
-    df = table.withColumn("_m", kept)
-    cols = {}
-    for n, t in approved.items():
-        new = F.col("_m")[n].try_cast(t)
-        cols[n] = F.coalesce(F.col(n).try_cast(t), new) if n in table.columns else new
-    left = F.map_filter("_m", lambda k, v: ~F.array_contains(F.array(*[F.when(F.col("_m")[n].try_cast(t).isNotNull(), F.lit(n)).otherwise(F.lit("")) for n, t in approved.items()]), k))
-    rest = [F.when(F.size(left) > 0, F.to_json(left)).alias("_rescued")]
+
+    def row(m: F.Column) -> F.Column:
+        new = {n: m[n].try_cast(t) for n, t in approved.items()}
+        taken = F.filter(F.array(*[F.when(c.isNotNull(), F.lit(n)) for n, c in new.items()]), lambda x: x.isNotNull())
+        left = let(taken, lambda u: F.map_filter(m, lambda k, _: ~F.array_contains(u, k)))
+        return F.struct(*[c.alias(f"_new_{k}") for k, c in enumerate(new.values())], let(left, lambda x: F.when(F.size(x) > 0, F.to_json(x))).alias("_left"))
+
+    df = table.select("*", F.inline(F.transform(F.array(F.from_json("_rescued", "map<string,string>")), row)))
+    cols = {n: F.coalesce(F.col(n).try_cast(t), F.col(f"_new_{k}")) if n in table.columns else F.col(f"_new_{k}") for k, (n, t) in enumerate(approved.items())}
     old = [cols.get(c, F.col(c)).alias(c) for c in table.columns if c != "_rescued"]
-    return df.select(*old, *[c.alias(n) for n, c in cols.items() if n not in table.columns], *rest)
+    return df.select(*old, *[c.alias(n) for n, c in cols.items() if n not in table.columns], F.col("_left").alias("_rescued"))
