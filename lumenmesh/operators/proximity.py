@@ -293,13 +293,13 @@ def cover(p: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray
 
 
 def polygon_cells(regions: DataFrame, region: str, area: str, ring_x: str, ring_y: str) -> DataFrame:
-    """(region, area, level, cx, cy, interior, x1, y1, x2, y2): the cells of each polygon; sides only on boundary cells.
+    """(region, area, level, cx, cy, interior, sides): the cells of each polygon; sides only on boundary cells.
 
     Regions with a null id or area, and rings that `corners` rejects, have no cells. Polygons are covered
     many at a time, in pieces of about CHUNK sides.
     """
     r = regions.select(F.col(region).alias("region"), F.col(area).alias("area"), F.col(ring_x).cast("array<double>").alias("xs"), F.col(ring_y).cast("array<double>").alias("ys")).where("region is not null and area is not null and size(xs) > 2 and size(xs) = size(ys)")
-    schema = f"region {r.schema['region'].dataType.simpleString()}, area {r.schema['area'].dataType.simpleString()}, level int, cx bigint, cy bigint, interior boolean, " + ", ".join(f"{c} array<double>" for c in ("x1", "y1", "x2", "y2"))
+    schema = f"region {r.schema['region'].dataType.simpleString()}, area {r.schema['area'].dataType.simpleString()}, level int, cx bigint, cy bigint, interior boolean, sides array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,12 +321,12 @@ def polygon_cells(regions: DataFrame, region: str, area: str, ring_x: str, ring_
 
 def _batches(rings: list[np.ndarray], ids: pa.Array, areas: pa.Array) -> Iterator[pa.RecordBatch]:
     g = _Sides(rings)
-    names = ["region", "area", "level", "cx", "cy", "interior", "x1", "y1", "x2", "y2"]
+    names = ["region", "area", "level", "cx", "cy", "interior", "sides"]
+    ends = np.stack((g.x1, g.y1, g.x2, g.y2), axis=1)
     for poly, k, cx, cy, inner, side, counts in cover_all(rings):
-        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v[side])) for v in (g.x1, g.y1, g.x2, g.y2)]
+        sides = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(4 * counts))), pa.int32()), pa.array(ends[side].ravel()))
         of = pa.array(poly)
-        yield pa.RecordBatch.from_arrays([ids.take(of), areas.take(of), pa.array(np.full(len(poly), k, np.int32)), pa.array(cx), pa.array(cy), pa.array(inner), *lists], names=names)
+        yield pa.RecordBatch.from_arrays([ids.take(of), areas.take(of), pa.array(np.full(len(poly), k, np.int32)), pa.array(cx), pa.array(cy), pa.array(inner), sides], names=names)
 
 
 def local_rings(regions: DataFrame, areas: DataFrame, area: str = "area_id", lat: str = "building_lat", lon: str = "building_lon") -> DataFrame:
@@ -377,7 +377,12 @@ def containing_known(p: DataFrame, regions: DataFrame, area: str = "area_id", re
 
 
 def sides_contain(x: str, y: str) -> F.Column:
-    """The exact even-odd test as an expression over the deciding sides x1, y1, x2, y2 of a boundary cell."""
+    """The exact even-odd test as an expression over the deciding sides of a boundary cell: x1, y1, x2, y2 of one after the other."""
     px, py = F.col(x), F.col(y)
-    crosses = lambda s: ((s.y1 > py) != (s.y2 > py)) & (px < (s.x2 - s.x1) * (py - s.y1) / (s.y2 - s.y1) + s.x1)
-    return F.size(F.filter(F.arrays_zip("x1", "y1", "x2", "y2"), crosses)) % 2 == 1
+
+    def crossed(i: F.Column) -> F.Column:
+        x1, y1, x2, y2 = (F.get("sides", i + k) for k in range(4))
+        return ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+
+    places = F.when(F.size("sides") > 0, F.sequence(F.lit(0), F.size("sides") - 1, F.lit(4)))
+    return F.coalesce(F.size(F.filter(places, crossed)) % 2 == 1, F.lit(False))
