@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -195,17 +194,23 @@ def shred(df: DataFrame, payload: str = "payload", payload_kind: str = "payload_
     return df.select(*keep, F.col(payload).alias("_payload"), F.col(payload_kind).alias("_kind")).mapInArrow(run, ddl)
 
 
-def tables_by_path(nodes: DataFrame, record: str = "extract_id") -> dict[str, DataFrame]:
-    """The flat tables, one for each known schema path, written side by side in the shared folder.
+def store(nodes: DataFrame, record: str = "extract_id") -> DataFrame:
+    """The flat tables of all schema paths, written side by side in the shared folder, one folder each; read as one, with its path in each row.
 
-    A row has the record's key, the Dewey label, the label of its parent, position, key, value and the
-    parent's key. Elements are made once, whatever number of tables is read.
+    A row has the record's key, the Dewey label, position, key, value and the parent's key, as far as nodes has them.
     """
     kept = [record, "label", "pos", "key", "value", "parent_key", "schema_path"]
-    have = [c for c in kept if c in nodes.columns]
-    stored, _ = Scratch(nodes.sparkSession, "tables").cut(nodes.where("schema_path is not null").select(*have), by="schema_path")
-    parent = [F.slice("label", 1, F.size("label") - 1).alias("parent_label")] if "label" in have else []
-    return {s.path: stored.where(F.col("schema_path") == s.path).select(*have[:-1], *parent) for s in ROOT.paths()}
+    return Scratch(nodes.sparkSession, "tables").cut(nodes.where("schema_path is not null").select(*[c for c in kept if c in nodes.columns]), by="schema_path")[0]
+
+
+def tables_by_path(nodes: DataFrame, record: str = "extract_id") -> dict[str, DataFrame]:
+    """The flat tables by themselves, one for each known schema path, with the label of the parent.
+
+    Elements are made once, whatever number of tables is read.
+    """
+    stored = store(nodes, record)
+    parent = [F.slice("label", 1, F.size("label") - 1).alias("parent_label")] if "label" in stored.columns else []
+    return {s.path: stored.where(F.col("schema_path") == s.path).select(*stored.columns[:-1], *parent) for s in ROOT.paths()}
 
 
 def links(nodes: DataFrame, record: str = "extract_id") -> DataFrame:
@@ -214,13 +219,21 @@ def links(nodes: DataFrame, record: str = "extract_id") -> DataFrame:
     A way or relation is a child of its record only if it stands directly in it; a member is a child
     by its ref, also when it holds the way. child_pos is 0 for tags, which have no order.
     """
-    tables, out = tables_by_path(nodes, record), []
-    for s in ROOT.paths():
-        if s.above.kind != "member":
-            parent = F.col(record).cast("bigint") if s.above is ROOT else F.col("parent_key").try_cast("bigint")
-            pos = F.lit(0) if s.kind == "tag" else F.col("pos")
-            out.append(tables[s.path].select(F.lit(s.above.kind).alias("parent_kind"), parent.alias("parent_id"), F.lit(s.kind).alias("child_kind"), pos.cast("int").alias("child_pos"), F.col("key").alias("child_key")))
-    return reduce(DataFrame.union, out).distinct()
+    read = [s for s in ROOT.paths() if s.above.kind != "member"]
+    of = lambda value: F.create_map(*[F.lit(v) for s in read for v in (s.path, value(s))])[F.col("schema_path")]
+    direct = F.col("schema_path").isin([s.path for s in read if s.above is ROOT])
+    return (
+        store(nodes, record)
+        .where(F.col("schema_path").isin([s.path for s in read]))
+        .select(
+            of(lambda s: s.above.kind).alias("parent_kind"),
+            F.when(direct, F.col(record).cast("bigint")).otherwise(F.col("parent_key").try_cast("bigint")).alias("parent_id"),
+            of(lambda s: s.kind).alias("child_kind"),
+            F.when(of(lambda s: s.kind) == "tag", F.lit(0)).otherwise(F.col("pos")).cast("int").alias("child_pos"),
+            F.col("key").alias("child_key"),
+        )
+        .distinct()
+    )
 
 
 def unread(nodes: DataFrame, record: str = "extract_id") -> DataFrame:
